@@ -1,0 +1 @@
+"""Empty on purpose: a cache dump is a finished file, so every job here is a batch job."""
