@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from zonescope.functions.text import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
@@ -20,11 +22,13 @@ def _bits(text: Column) -> Column:
 
 def ipv4_number(text: Column) -> Column:
     """Dotted IPv4 text as a number, NULL when it is not valid."""
-    parts = F.split(text, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.element_at(parts, i + 1).try_cast("bigint")
-    return F.when(text.rlike(_IPV4), number)
+    def number(octets: Column) -> Column:
+        total = F.lit(0).cast("bigint")
+        for i in range(4):
+            total = total * 256 + F.get(octets, F.lit(i)).cast("bigint")
+        return total
+
+    return F.when(text.rlike(_IPV4), let(F.split(text, r"\."), number))
 
 
 def ipv4_text(number: Column) -> Column:
@@ -33,53 +37,66 @@ def ipv4_text(number: Column) -> Column:
     )
 
 
+def _no_groups() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _hex_tail(text: Column) -> Column:
+    """An IPv4 tail (``::ffff:1.2.3.4``) as two hex groups, NULL when it is not valid."""
+    def groups(v4: Column) -> Column:
+        return F.concat(
+            F.regexp_extract(text, r"^(.*:)[^:]*\z", 1), F.lower(F.hex(F.shiftright(v4, 16))),
+            F.lit(":"), F.lower(F.hex(v4.bitwiseAND(F.lit(65535)))))
+
+    tail = ipv4_number(F.regexp_extract(text, r"^.*:([^:]*)\z", 1))
+    return F.when(F.instr(text, ".") > 0, let(tail, groups)).otherwise(text)
+
+
 def ipv6_digits(text: Column) -> Column:
     """IPv6 text as its 32 hex digits, NULL when it is not valid."""
-    dotted = F.regexp_extract(text, r"^(.*:)([^:]*)\z", 2)
-    v4 = ipv4_number(dotted)
-    plain = F.when(
-        F.instr(text, ".") > 0,
-        F.concat(
-            F.regexp_extract(text, r"^(.*:)([^:]*)\z", 1),
-            F.lower(F.hex(F.shiftright(v4, 16))), F.lit(":"),
-            F.lower(F.hex(v4.bitwiseAND(F.lit(65535)))),
-        ),
-    ).otherwise(text)
-    halves = F.split(plain, "::")
-
     def groups(side: Column) -> Column:
-        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-
-    short = F.size(halves) == 2
-    left = groups(halves[0])
-    right = F.when(short, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    given = F.size(left) + F.size(right)
-    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0))), right)
-    ok = (
-        plain.rlike(r"^[0-9a-fA-F:]+\z")
-        & ((short & (given <= 7)) | ((F.size(halves) == 1) & (given == 8)))
-        & F.forall(whole, lambda g: g.rlike(r"^[0-9a-fA-F]{1,4}\z"))
-    )
-    return F.when(ok, F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+        return F.when(side == "", _no_groups()).otherwise(F.split(side, ":"))
+
+    def filled(sides: Column) -> Column:
+        # sides: the groups before and after ``::``, or all of them and NULL.
+        left, right = sides["left"], F.coalesce(sides["right"], _no_groups())
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        short = sides["right"].isNotNull()
+        ok = (sides["n"] <= 2) & ((short & (missing >= 1)) | (~short & (missing == 0)))
+        return F.when(ok, F.concat(
+            left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+    def digits(all_groups: Column) -> Column:
+        return F.when(
+            F.forall(all_groups, lambda g: g.rlike(r"^[0-9a-fA-F]{1,4}\z")),
+            F.lower(F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), "")))
+
+    def parted(halves: Column) -> Column:
+        return F.struct(
+            groups(F.get(halves, F.lit(0))).alias("left"),
+            groups(F.get(halves, F.lit(1))).alias("right"), F.size(halves).alias("n"))
+
+    sides = let(F.split(_hex_tail(text), "::"), parted)
+    return F.when(F.instr(text, ":") > 0, let(let(sides, filled), digits))
 
 
 def address(text: Column) -> Column:
     """IP text -> struct(family, hi, lo); NULL when the text is no address."""
-    v4 = ipv4_number(text)
-    digits = ipv6_digits(text)
-    zero = F.lit(0).cast("bigint")
-    mapped = digits.startswith("00000000000000000000ffff")
-    hi, lo = _bits(F.substring(digits, 1, 16)), _bits(F.substring(digits, 17, 16))
-    low32 = lo.bitwiseAND(F.lit(0xFFFFFFFF))
-
     def row(family: int, hi: Column, lo: Column) -> Column:
         return F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo"))
 
-    return (
-        F.when(v4.isNotNull(), row(4, zero, v4))
-        .when(digits.isNotNull() & mapped, row(4, zero, low32))
-        .when(digits.isNotNull(), row(6, hi, lo))
-    )
+    def from_digits(digits: Column) -> Column:
+        hi, lo = _bits(F.substring(digits, 1, 16)), _bits(F.substring(digits, 17, 16))
+        mapped = digits.startswith("00000000000000000000ffff")
+        return F.when(
+            mapped, row(4, F.lit(0).cast("bigint"), _bits(F.substring(digits, 25, 8)))
+        ).when(digits.isNotNull(), row(6, hi, lo))
+
+    def from_number(v4: Column) -> Column:
+        return F.when(v4.isNotNull(), row(4, F.lit(0).cast("bigint"), v4))
+
+    return F.when(F.instr(text, ":") > 0, let(ipv6_digits(text), from_digits)).otherwise(
+        let(ipv4_number(text), from_number))
 
 
 def _ones(bits: Column, width: int) -> Column:
@@ -100,24 +117,26 @@ def masked(family: Column, hi: Column, lo: Column, plen: Column) -> Column:
     )
 
 
-def ipv6_text(digits: Column) -> Column:
-    """32 hex digits in the shortest IPv6 form; an IPv4-mapped address prints as IPv4."""
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.regexp_replace(F.lower(digits.substr(i * 4 + 1, F.lit(4))), "^0{1,3}", ""),
-    )
-    full = F.array_join(groups, ":")
+def _shortest(full: Column) -> Column:
+    """Eight groups without leading zeros -> the leftmost longest run of zeros as ``::``."""
     short = F.when(F.lit(False), full)
-    for zeros in range(8, 1, -1):  # the leftmost of the longest runs of zero groups
+    for zeros in range(8, 1, -1):
         run = rf"^(.*?)(?:^|:)0(?::0){{{zeros - 1}}}(?:\z|:)(.*)\z"
-        short = short.when(
-            full.rlike(run),
-            F.concat(F.regexp_extract(full, run, 1), F.lit("::"), F.regexp_extract(full, run, 2)),
-        )
-    mapped = F.lower(digits).startswith("00000000000000000000ffff")
-    return F.when(mapped, ipv4_text(_bits(F.substring(digits, 25, 8)))).otherwise(
-        short.otherwise(full)
-    )
+        short = short.when(full.rlike(run), F.regexp_replace(full, run, "$1::$2"))
+    return short.otherwise(full)
+
+
+def ipv6_text(digits: Column) -> Column:
+    """32 hex digits in the shortest IPv6 form; an IPv4-mapped address prints as IPv4."""
+    def text(lower: Column) -> Column:
+        groups = F.transform(
+            F.sequence(F.lit(0), F.lit(7)),
+            lambda i: F.regexp_replace(lower.substr(i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+        mapped = lower.startswith("00000000000000000000ffff")
+        return F.when(mapped, let(_bits(F.substring(lower, 25, 8)), ipv4_text)).otherwise(
+            let(F.array_join(groups, ":"), _shortest))
+
+    return let(F.lower(digits), text)
 
 
 def network_text(family: Column, hi: Column, lo: Column, plen: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonescope import constants as C
 from zonescope.functions.ip import ipv6_text
+from zonescope.functions.text import let
 
 PARAMS = "array<struct<key:int,value:binary>>"
 
@@ -153,10 +154,14 @@ def _quoted(name: str, value: Column) -> Column:
 def param_text(key: Column, value: Column) -> Column:
     """A param as shown in reports, NULL when it is left out."""
     size = F.length(value)
-    alpn = _alpn(value)["items"]
     hexed = F.hex(value)
+
+    def alpn(list_: Column) -> Column:
+        return F.when(
+            F.size(list_["items"]) > 0, _quoted("alpn", F.array_join(list_["items"], ",")))
+
     return (
-        F.when(key == 1, F.when(F.size(alpn) > 0, _quoted("alpn", F.array_join(alpn, ","))))
+        F.when(key == 1, let(_alpn(value), alpn))
         .when(key == 4, F.when(size % 4 == 0, _quoted("ipv4hint", _chunks(value, 4, _ipv4))))
         .when(key == 6, F.when(size % 16 == 0, _quoted("ipv6hint", _chunks(value, 16, ipv6_text))))
         .when(key == 5, F.when(size > 0, F.concat(F.lit("echconfig=0x"), hexed)))
@@ -166,12 +171,15 @@ def param_text(key: Column, value: Column) -> Column:
 
 def strict_text(key: Column, value: Column) -> Column:
     """A param in its strict form, NULL when it breaks a rule (see ``violation``)."""
-    alpn = _alpn(value)
     size = F.length(value)
     hexed = F.hex(value)
+
+    def alpn(list_: Column) -> Column:
+        return F.when(~list_["cut"], _quoted("alpn", F.array_join(list_["items"], ",")))
+
     return (
         F.when(key == 0, F.concat(F.lit("reserved=0x"), hexed))
-        .when(key == 1, F.when(~alpn["cut"], _quoted("alpn", F.array_join(alpn["items"], ","))))
+        .when(key == 1, let(_alpn(value), alpn))
         .when(key == 4, F.when(size % 4 == 0, _quoted("ipv4hint", _chunks(value, 4, _ipv4))))
         .when(key == 6, F.when(size % 16 == 0, _quoted("ipv6hint", _chunks(value, 16, ipv6_text))))
         .otherwise(F.concat(F.format_string("key=0x%04X, value=0x", key), hexed))

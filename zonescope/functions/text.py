@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_LONG = 9223372036854775807
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole_number(text: Column) -> Column:
     """Decimal text as bigint: 0 when it is no number, the nearest bigint when it is too long."""
     too_long = F.when(text.startswith("-"), F.lit(-MAX_LONG - 1)).otherwise(F.lit(MAX_LONG))

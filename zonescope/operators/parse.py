@@ -159,15 +159,15 @@ def _local_state(lines: DataFrame, dialect: Dialect) -> DataFrame:
         "*",
         *(F.coalesce(before, _flip(F.lit(m), flips_before)).alias(f"before{m}") for m in (0, 1)),
     )
+    marks = []
     for m in (0, 1):
         outside = live & (F.col(f"before{m}") == 0)
-        df = df.withColumn(
-            f"owner{m}", F.last(F.when(outside, F.col("sets_owner")), True).over(so_far)
-        ).withColumn(
-            f"start{m}",
-            F.last(F.when(outside & starts, F.struct("rn", "ttl_text")), True).over(so_far),
-        )
-    return df
+        first = F.when(outside & starts, F.struct("rn", "ttl_text"))
+        marks += [
+            F.last(F.when(outside, F.col("sets_owner")), True).over(so_far).alias(f"owner{m}"),
+            F.last(first, True).over(so_far).alias(f"start{m}"),
+        ]
+    return df.select("*", *marks)
 
 
 def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
@@ -175,8 +175,9 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     state = ["gate", "attr", "known", "flips", "owner0", "owner1", "start0", "start1"]
     ends = local.groupBy(*BLOCK, "seg").agg(
         F.max("rn").alias("n"), F.max_by(F.struct(*state), "rn").alias("end")
-    ).select(*BLOCK, "seg", "n", "end.*").join(files, "file_key")
-    order = Window.partitionBy("source").orderBy(F.length("file"), "file", "block_start", "seg")
+    ).select(*BLOCK, "seg", "n", "end.*").join(
+        files.withColumn("name_length", F.length("file")), "file_key")
+    order = Window.partitionBy("source").orderBy("name_length", "file", "block_start", "seg")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -187,9 +188,10 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     )
     counts = (F.col("seg") == 1) | F.col("gate_in")
     df = df.select(
-        *BLOCK, "seg", "source", "file", "gate_in", "offset",
-        *(F.when(counts, F.col(c)).alias(c) for c in state[1:]),
-    ).withColumn("flips", F.coalesce("flips", F.lit(0)))
+        *BLOCK, "seg", "source", "file", "name_length", "gate_in", "offset",
+        *(F.when(counts, F.col(c)).alias(c) for c in state[1:] if c != "flips"),
+        F.when(counts, F.col("flips")).otherwise(0).alias("flips"),
+    )
     # ``known`` is the flag at the end of the segment wherever a line of it fixed the flag.
     df = df.withColumn("turns", F.sum("flips").over(so_far)).withColumn(
         "anchor",

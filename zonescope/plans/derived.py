@@ -47,6 +47,12 @@ def _hex(value: Column, digits: int) -> Column:
     return F.lpad(F.hex(value), digits, "0")
 
 
+def _v6(prefix: str, number: Column) -> Column:
+    """``prefix::`` followed by a number in its last two groups (the first one only if needed)."""
+    low, high = F.lower(F.hex(number % 65536)), F.lower(F.hex(F.floor(number / 65536)))
+    return _line(prefix, "::", F.when(number >= 65536, _line(high, ":")).otherwise(""), low)
+
+
 def server_lines(supplier: DataFrame) -> DataFrame:
     s = F.col("s_suppkey")
     owner = _line("ns", _str(s), ".dns.example.")
@@ -55,7 +61,7 @@ def server_lines(supplier: DataFrame) -> DataFrame:
     return supplier.select(s.alias("key"), _text(
         F.when(s % 10 == 9, _line(owner, "\t300\t\\-A\t;-$NXRRSET"))
         .otherwise(_line(owner, "\t300\tA\t", ip)),
-        F.when(s % 3 == 0, _line("\t\t\t300\tAAAA\t2001:db8::", F.lower(F.hex(s)))),
+        F.when(s % 3 == 0, _line("\t\t\t300\tAAAA\t", _v6("2001:db8", s))),
     ).alias("text"))
 
 
@@ -126,7 +132,7 @@ def host_lines(orders: DataFrame) -> DataFrame:
             _line("\t\t\t\t\t", F.substring(wire, 17, 4000), " )")))
         .otherwise(_text(_line(owner, "\t", ttl, "\t\\-TYPE65\t;-$NXRRSET"),
                          _line("\t\t\t", ttl, "\t\\-TYPE64\t;-$NXRRSET"))),
-        F.when(kind == 1, _line("\t\t\t", ttl, "\tAAAA\t2001:db8:1::", F.lower(F.hex(o)))),
+        F.when(kind == 1, _line("\t\t\t", ttl, "\tAAAA\t", _v6("2001:db8:1", o))),
     ).alias("text"))
 
 
@@ -142,7 +148,7 @@ def write_dump(spark: SparkSession, sf_dir: str) -> str:
     outside = outside_lines(table(spark, sf_dir, "part"))
 
     def fixed(text: str) -> DataFrame:
-        return spark.createDataFrame([(0, text)], "key bigint, text string")
+        return spark.range(0, 1, 1, 1).select(F.col("id").alias("key"), F.lit(text).alias("text"))
 
     sections = [
         fixed("; Start view _default"),
@@ -183,7 +189,7 @@ def write_ranges(spark: SparkSession, sf_dir: str) -> str:
     part = table(spark, sf_dir, "part").select(_line(
         block, _str(low), "-", block, _str(low + (p * 7) % 56), " PART", _str(p)).alias("value"))
     single = table(spark, sf_dir, "supplier").filter(s % 6 == 0).select(_line(
-        "2001:db8::", F.lower(F.hex(s)), "/128 leased to SUPPLIER", _str(s)).alias("value"))
+        _v6("2001:db8", s), "/128 leased to SUPPLIER", _str(s)).alias("value"))
     folder = new_folder(spark, "ranges")
     nation.filter("value IS NOT NULL").unionByName(part).unionByName(single).write.text(folder)
     return folder
@@ -300,7 +306,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.array(_line(zone, "\t3600\tIN\tNS\t", first))),
         asked(customer, "AAAA", c % 4 != 0, F.when(c % 5 == 0, 2).otherwise(0),
               F.when((c % 4 == 0) | (c % 5 == 0), none).otherwise(F.array(
-                  _line(zone, "\t", ttl, "\tIN\tAAAA\t2001:db8::", F.lower(F.hex(c))))),
+                  _line(zone, "\t", ttl, "\tIN\tAAAA\t", _v6("2001:db8", c)))),
               F.when(c % 5 == 0, F.array(_line(
                   zone, "\t60\tIN\tSOA\tsoa.example. host.example. 1 2 3 4 5"))).otherwise(none)),
         asked(customer.filter("c_custkey % 7 <> 0"), "MX", F.lit(True), F.lit(0),
