@@ -36,7 +36,7 @@ def _addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _networks(spark: SparkSession, sf: str) -> DataFrame:
-    return addr.range_networks(D.ranges(spark, sf))
+    return written(addr.range_networks(D.ranges(spark, sf)), "networks")
 
 
 # --- parsing -------------------------------------------------------------------------------------

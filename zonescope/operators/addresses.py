@@ -98,9 +98,10 @@ def range_networks(ranges: DataFrame) -> DataFrame:
         "client", "line_no", ends[0].alias("first"), ends[1].alias("last")
     ).filter("first <= last")
     # At block size 2^b only the block at each end of the span can be one that its parent does
-    # not cover, so every size gives two candidates at most.
+    # not cover, so every size up to that of the span gives two candidates at most.
+    largest = F.floor(F.log2(F.col("last") - F.col("first") + 1)).cast("int")
     sized = spans.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("b")
+        "*", F.explode(F.sequence(F.lit(0), largest)).alias("b")
     ).withColumn("size", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b")))
     size = F.col("size")
     low = F.ceil(F.col("first") / size).cast("bigint") * size

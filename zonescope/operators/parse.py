@@ -7,7 +7,7 @@ four are worked out in two levels, so that no task ever holds more than one inpu
 1. inside each block (one split), with windows, for both possible states at its start;
 2. over one summary row per block, which gives each block the state it starts with.
 
-The lines are shuffled once, by block. A block is cut in two segments at its first section
+The lines are shuffled and sorted once, by block. A block is cut in two segments at its first section
 marker: what lies before it counts only if the section was open when the block began.
 """
 
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from zonescope import constants as C
 from zonescope.functions import svcb
 from zonescope.functions.text import whole_number
+from zonescope.plans.workspace import written
 from zonescope.sources.dump import BLOCK, Dump
 
 WS, TOKEN = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
 STRIPE = 1 << 20  # lines of a source that one task may gather
+MAX_BLOCKS = 250_000  # block rows (a few hundred bytes each) that are worth a broadcast
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,6 @@ class Dialect:
     def record_line(self) -> str:
         """owner? ttl \\-? type rest, as five groups."""
         types = "|".join(t.replace(" ", WS + "+") for t in self.types)
-        types = types if "TYPE64" in self.types else types + "|TYPE64"
         return rf"(?d)^({TOKEN}+)?{WS}*([0-9]+){WS}+(\\-)?({types}){WS}+(.+)\z"
 
 
@@ -92,8 +93,7 @@ def classify(lines: DataFrame, dialect: Dialect) -> DataFrame:
     )
     matched = F.col("rest").isNotNull()
     negative = F.col("minus") == "\\-"
-    positive = matched & ~negative & F.col("type_text").rlike(
-        "^(?:" + "|".join(t.replace(" ", WS + "+") for t in dialect.types) + r")\z")
+    positive = matched & ~negative
     start = positive & (F.col("type_text") == "TYPE65") & F.col("rest").rlike(START_REST)
     has_close = line.contains(")")
     if dialect.compat:
@@ -126,57 +126,79 @@ def _flip(state: Column, times: Column) -> Column:
 
 
 def _local_state(lines: DataFrame, dialect: Dialect) -> DataFrame:
-    """State inside each block segment, for a start outside (0) and inside (1) an open value."""
-    whole = Window.partitionBy(*BLOCK).orderBy("mid")
-    df = classify(lines, dialect).withColumn(
-        "gate", F.last("marker", True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    """State inside each block segment, for a start outside (0) and inside (1) an open value.
+
+    All windows share one partitioning and order, so the lines are shuffled and sorted once. What
+    is carried forward is marked with its segment, as the first segment may turn out not to count.
+    """
+    block = Window.partitionBy(*BLOCK).orderBy("mid")
+    so_far = block.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = block.rowsBetween(Window.unboundedPreceding, -1)
+    df = classify(lines, dialect).select(
+        "*", F.last("marker", True).over(so_far).alias("gate"), F.row_number().over(block).alias("rn"),
     ).withColumn("seg", F.col("gate").isNotNull().cast("int"))
-    seg = Window.partitionBy(*BLOCK, "seg").orderBy("mid")
-    so_far = seg.rowsBetween(Window.unboundedPreceding, 0)
     # In the first segment the section is taken to be open; the summaries put that right.
-    df = df.withColumn(
-        "open", F.col("marker").isNull() & F.coalesce("gate", F.lit(True))
-    ).withColumn("live", F.col("open") & F.col("plain"))
+    is_open = F.col("marker").isNull() & F.coalesce("gate", F.lit(True))
+    df = df.withColumn("open", is_open).withColumn("live", F.col("open") & F.col("plain"))
     live, starts = F.col("live"), F.coalesce(F.col("form") == "start", F.lit(False))
     # A line maps the "value is open" flag to a fixed flag, flips it, or leaves it.
-    flips = F.when(live & starts & F.col("has_close"), 1).otherwise(0)
-    fixed = F.when(live & starts & ~F.col("has_close"), 1).when(
-        live & ~starts & F.col("has_close"), 0)
-    df = df.withColumn("fixed", fixed).select(
+    df = df.select(
         "*",
-        F.row_number().over(seg).alias("rn"),
-        F.last(F.when(F.col("open"), F.col("attr_mark")), True).over(so_far).alias("attr"),
-        F.sum(flips).over(so_far).alias("flips"),
-    ).withColumn(
-        "anchor",
-        F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "flips")), True).over(so_far),
-    ).withColumn(
-        "known", _flip(F.col("anchor.fixed"), F.col("flips") - F.col("anchor.flips"))
+        F.when(live & starts & F.col("has_close"), 1).otherwise(0).alias("flip"),
+        F.when(live & starts & ~F.col("has_close"), 1)
+        .when(live & ~starts & F.col("has_close"), 0).alias("fixed"),
     )
-    before = F.lag("known").over(seg)
-    flips_before = F.coalesce(F.lag("flips").over(seg), F.lit(0))
+    head_flips = F.sum(F.when(F.col("seg") == 0, F.col("flip")).otherwise(0)).over(so_far)
+    tail_flips = F.sum(F.when(F.col("seg") == 1, F.col("flip")).otherwise(0)).over(so_far)
+    attr = F.when(F.col("open") & F.col("attr_mark").isNotNull(), F.struct("seg", "attr_mark"))
     df = df.select(
         "*",
-        *(F.coalesce(before, _flip(F.lit(m), flips_before)).alias(f"before{m}") for m in (0, 1)),
+        F.when(F.col("seg") == 0, head_flips).otherwise(tail_flips).alias("flips"),
+        F.last(attr, True).over(so_far).alias("attr"),
+        F.lead("seg").over(block).alias("next_seg"),
+    )
+    # The fixed flag less the flips up to it, from which later lines count on; plus 2 in segment 1.
+    anchor = F.when(F.col("fixed").isNotNull(), _flip(F.col("fixed"), F.col("flips")) + 2 * F.col("seg"))
+    df = df.withColumn("anchor", F.last(anchor, True).over(earlier)).withColumn(
+        "flips_before", F.col("flips") - F.col("flip"))
+    df = df.withColumn("known_before", F.when(
+        F.floor(F.col("anchor") / 2) == F.col("seg"),
+        _flip(F.col("anchor") % 2, F.col("flips_before"))))
+    df = df.select(
+        "*",
+        F.coalesce("fixed", _flip(F.col("known_before"), F.col("flip"))).alias("known"),
+        *(F.coalesce("known_before", _flip(F.lit(m), F.col("flips_before"))).alias(f"before{m}")
+          for m in (0, 1)),
     )
     marks = []
     for m in (0, 1):
         outside = live & (F.col(f"before{m}") == 0)
-        first = F.when(outside & starts, F.struct("rn", "ttl_text"))
-        marks += [
-            F.last(F.when(outside, F.col("sets_owner")), True).over(so_far).alias(f"owner{m}"),
-            F.last(first, True).over(so_far).alias(f"start{m}"),
-        ]
-    return df.select("*", *marks)
+        owner = F.when(outside & F.col("sets_owner").isNotNull(), F.struct("seg", "sets_owner"))
+        first = F.when(outside & starts, 2 * F.col("rn") + F.col("seg"))
+        marks += [F.last(owner, True).over(so_far).alias(f"owner{m}"),
+                  F.last(first, True).over(so_far).alias(f"start{m}")]
+    df = df.select("*", *marks)
+    mine = F.col("seg")
+    may_be_inside = (F.col("before0") == 1) | (F.col("before1") == 1)
+    return df.select(
+        *BLOCK, "seg", "rn", "next_seg", "marker", "plain", "form", "ttl_text", "type_text",
+        "rest", "has_close", "sets_owner", "gate", "known", "flips", "before0", "before1",
+        F.when(live & may_be_inside, svcb.clean_hex(F.col("line"))).alias("body"),
+        F.when(F.col("attr.seg") == mine, F.col("attr.attr_mark")).alias("attr"),
+        *(F.when(F.col(f"owner{m}.seg") == mine, F.col(f"owner{m}.sets_owner")).alias(f"owner{m}")
+          for m in (0, 1)),
+        *(F.when(F.col(f"start{m}") % 2 == mine, F.floor(F.col(f"start{m}") / 2)).alias(f"start{m}")
+          for m in (0, 1)),
+    )
 
 
 def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per block: the state its two segments start with, and their first line number."""
-    state = ["gate", "attr", "known", "flips", "owner0", "owner1", "start0", "start1"]
-    ends = local.groupBy(*BLOCK, "seg").agg(
-        F.max("rn").alias("n"), F.max_by(F.struct(*state), "rn").alias("end")
-    ).select(*BLOCK, "seg", "n", "end.*").join(
-        files.withColumn("name_length", F.length("file")), "file_key")
+    """One row per block: the state its two segments start with, and its first line number."""
+    state = ["attr", "known", "owner0", "owner1", "start0", "start1"]
+    ends = local.filter("next_seg IS NULL OR next_seg <> seg").select(
+        *BLOCK, "seg", "gate", "flips", *state,
+        F.when(F.col("next_seg").isNull(), F.col("rn")).otherwise(0).alias("n"),
+    ).join(files.withColumn("name_length", F.length("file")), "file_key")
     order = Window.partitionBy("source").orderBy("name_length", "file", "block_start", "seg")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -189,31 +211,28 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     counts = (F.col("seg") == 1) | F.col("gate_in")
     df = df.select(
         *BLOCK, "seg", "source", "file", "name_length", "gate_in", "offset",
-        *(F.when(counts, F.col(c)).alias(c) for c in state[1:] if c != "flips"),
+        *(F.when(counts, F.col(c)).alias(c) for c in state),
         F.when(counts, F.col("flips")).otherwise(0).alias("flips"),
     )
     # ``known`` is the flag at the end of the segment wherever a line of it fixed the flag.
     df = df.withColumn("turns", F.sum("flips").over(so_far)).withColumn(
         "anchor",
-        F.last(F.when(F.col("known").isNotNull(), F.struct("known", "turns")), True).over(so_far),
+        F.last(F.when(F.col("known").isNotNull(), _flip(F.col("known"), F.col("turns"))), True)
+        .over(so_far),
     ).withColumn(
-        "value_open",
-        F.coalesce(_flip(F.col("anchor.known"), F.col("turns") - F.col("anchor.turns")),
-                   F.col("turns") % 2),
+        "value_open", _flip(F.coalesce("anchor", F.lit(0)), F.col("turns"))
     ).withColumn("open_in", F.lag("value_open", 1, 0).over(order))
     inside = F.col("open_in") == 1
-    start = F.when(inside, F.col("start1")).otherwise(F.col("start0"))
     df = df.withColumn(
         "owner", F.when(inside, F.col("owner1")).otherwise(F.col("owner0"))
     ).withColumn(
-        "start", F.when(start.isNotNull(), F.struct(
-            (F.col("offset") + start["rn"]).alias("seq"), start["ttl_text"].alias("ttl_text")))
+        "start", F.col("offset") + F.when(inside, F.col("start1")).otherwise(F.col("start0"))
     ).select(
         *BLOCK, "seg", "source", "gate_in", "offset", "open_in",
         F.last("attr", True).over(earlier).alias("attr_in"),
         F.last("owner", True).over(earlier).alias("owner_in"),
         F.last("start", True).over(earlier).alias("start_in"),
-        F.when(F.last("value_open").over(whole) == 1, F.last("start.seq", True).over(whole))
+        F.when(F.last("value_open").over(whole) == 1, F.last("start", True).over(whole))
         .alias("unclosed"),
     )
     entry = F.struct(
@@ -225,15 +244,22 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def line_states(dump: Dump, compat: bool = True) -> DataFrame:
+def line_states(
+    dump: Dump, compat: bool = True, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
     """Every line with the state in force: section gate, attribute, open value and owner.
 
-    ``seq`` is the number of the line in its source, empty lines not counted.
+    ``seq`` is the number of the line in its source, empty lines not counted; ``value_seq`` that
+    of the line that started the bracketed value.
+
+    The lines with their local state are written first, so the patterns and windows run once. The
+    block table is broadcast up to ``MAX_BLOCKS`` rows; a larger one is joined by shuffling.
     """
-    dialect = Dialect(compat)
-    lines = dump.lines.repartition(*BLOCK)
-    local = _local_state(lines, dialect)
-    df = local.join(_incoming_state(local, dump.files), BLOCK).withColumn(
+    local = written(_local_state(dump.lines.repartition(*BLOCK), Dialect(compat)), "lines")
+    blocks = written(_incoming_state(local, dump.files), "blocks")
+    if blocks.count() <= max_blocks:
+        blocks = F.broadcast(blocks)
+    df = local.join(blocks, BLOCK).withColumn(
         "at", F.when(F.col("seg") == 0, F.col("head")).otherwise(F.col("tail"))
     )
     inside = F.col("at.open_in") == 1
@@ -241,19 +267,17 @@ def line_states(dump: Dump, compat: bool = True) -> DataFrame:
     def pick(name: str) -> Column:
         return F.when(inside, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
 
-    start = pick("start")
     return df.select(
         F.col("at.source").alias("source"),
         (F.col("at.offset") + F.col("rn")).alias("seq"),
-        "line", "marker", "plain", "form", "ttl_text", "type_text", "rest", "has_close",
+        "body", "marker", "plain", "form", "ttl_text", "type_text", "rest", "has_close",
         (F.col("marker").isNull() & F.coalesce(F.col("gate"), F.col("at.gate_in")))
         .alias("in_cache"),
         pick("before").alias("in_value"),
         F.coalesce("attr", "at.attr_in", F.lit(C.NO_ATTRIBUTE)).alias("attribute"),
         F.coalesce(pick("owner"), F.col("at.owner_in")).alias("owner"),
         "sets_owner",
-        F.coalesce(F.col("at.offset") + start["rn"], F.col("at.start_in.seq")).alias("value_seq"),
-        F.coalesce(start["ttl_text"], F.col("at.start_in.ttl_text")).alias("value_ttl"),
+        F.coalesce(F.col("at.offset") + pick("start"), F.col("at.start_in")).alias("value_seq"),
         F.col("at.unclosed").alias("unclosed"),
     )
 
@@ -275,12 +299,11 @@ def resolved_lines(states: DataFrame, compat: bool = True) -> DataFrame:
         F.when(~inside, F.col("sets_owner")).alias("registers"),
         F.when(negative, F.col("type_text")).otherwise(
             F.try_element_at(routes, F.col("type_text"))).alias("rtype"),
-        whole_number(F.when(F.col("kind").isin("start", "body", "close"), F.col("value_ttl"))
-                     .otherwise(F.col("ttl_text"))).alias("ttl"),
+        F.when(~inside, whole_number(F.col("ttl_text"))).alias("ttl"),
         "attribute",
         F.when(negative, F.lower(F.expr("substr(rest, 4)"))).otherwise("").alias("rcode"),
         F.when(F.col("kind") == "start", svcb.clean_hex(F.regexp_replace("rest", START_REST, "")))
-        .when(inside, svcb.clean_hex(F.col("line")))
+        .when(inside, F.col("body"))
         .when(negative, "").otherwise(F.col("rest")).alias("rest"),
         F.when(F.col("kind").isin("start", "body", "close"), F.col("value_seq"))
         .alias("value_seq"),
