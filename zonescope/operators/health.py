@@ -75,8 +75,8 @@ def combine_types(responses: DataFrame, qtypes: list[str]) -> DataFrame:
     """
     body = F.struct("answered", "rcode", *LISTS, "ttl_a", "auth_ns", "auth_type")
     first = responses.filter(F.col("attempt") == 1).groupBy("server", "qname").agg(*(
-        F.min_by(F.when(F.col("qtype") == t, body), F.when(F.col("qtype") == t, F.col("sent_at")))
-        .alias(f"t{i}") for i, t in enumerate(qtypes)))
+        F.min_by(body, F.when(F.col("qtype") == t, F.struct("sent_at"))).alias(f"t{i}")
+        for i, t in enumerate(qtypes)))
     kept, going = [], F.lit(True)
     for i in range(len(qtypes)):
         going = going & F.coalesce(F.col(f"t{i}.answered"), F.lit(False))
@@ -111,11 +111,10 @@ def answers(responses: DataFrame, qtype: str = "A", attempts: int = 1) -> DataFr
 def probed(names: DataFrame, responses: DataFrame, resolver: str) -> DataFrame:
     """Adds the resolver's ``status`` to each domain; no captured reply is a status of its own."""
     replies = answers(responses.filter(F.col("server") == resolver)).select(
-        F.col("qname"), F.lit(True).alias("answered"), "rcode", "n_answers")
+        "qname", status(F.lit(True), F.col("rcode"), F.col("n_answers")).alias("status"))
     return names.withColumn("qname", fully_qualified(F.col("domain"))).join(
         replies, "qname", "left"
-    ).withColumn("status", status(F.col("answered"), F.col("rcode"), F.col("n_answers"))).drop(
-        "qname", "answered", "rcode", "n_answers")
+    ).withColumn("status", F.coalesce("status", F.lit(C.NO_REPLY))).drop("qname")
 
 
 def failing_negatives(
