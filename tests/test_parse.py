@@ -117,87 +117,112 @@ def test_golden_dump(spark, tmp_path, split_bytes):
     assert {d for _, d in owners} == GOLDEN_DOMAINS
 
 
-def test_carriage_returns_change_nothing(spark, tmp_path):
-    rows, owners = parsed(spark, tmp_path, GOLDEN.replace("\n", "\r\n"))
-    assert plain(rows) == GOLDEN_RECORDS
-    assert {d for _, d in owners} == GOLDEN_DOMAINS
+# One dump per oddity; all are parsed in one job, each file as a source of its own.
+CASES = {
+    "views": [
+        "; glue", "a.example.\t1\tA\t1.1.1.1", "; Address database dump", "\t2\tA\t2.2.2.2",
+        "; Start view other", "; Cache dump of view 'other'", "\t3\tA\t3.3.3.3"],
+    "marker": [
+        "a.example.\t1\tA\t1.1.1.1", '\t1\tTXT\t"Start view of things"', "\t1\tA\t2.2.2.2"],
+    "blanks": [
+        "a.example.\t1\tA\t1.1.1.1", "b.example.\t1\tNS\tns.example. ", "\t1\tTXT\tx ",
+        "\t1\tNS\tns2.example. "],
+    "unclosed": ["a.example.\t1\tTYPE65\t\\# 3 (", "\t000100", "b.example.\t1\tA\t1.1.1.1"],
+    "unbracketed": ["a.example.\t1\tA\t1.1.1.1", "\t1\tTYPE65\t\\# 3 000100"],
+    "short": ["a.example.\t1\tTYPE65\t\\# 0 (", "\t)"],
+    "numbers": [
+        f"a.example.\t{'9' * 30}\tMX\t+7 m.example.", "\t1\tMX\tx  m.example.",
+        f"\t1\tMX\t-{'9' * 30} n.example."],
+    "no_dot": [
+        "a.example.\t1\tA\t1.1.1.1", "nodot\t1\tA\t2.2.2.2", "odd\t1\tTYPE65\t\\# 3 (",
+        "\t000100 )", "\t1\tA\t3.3.3.3"],
+    "common": [
+        'a.example.\t1\tTXT\t"v=spf1 a mx -all"', "b.example.\t1\tIN A\t1.1.1.1",
+        "c.example.\t1\tIN PTR\tp.example.", "d.example.\t1\tTYPE65\t\\# 3 ( 000100 )",
+        "\t1\tTYPE65\t\\# 3 (", "\t000200 )", "\t1\t\\-TYPE64\t;-$NXRRSET"],
+    "crlf": [line + "\r" for line in GOLDEN.splitlines()],
+}
+
+
+def _by_case(spark, folder, compat):
+    files = {f"{name}.txt": "\n".join((OPEN, *lines) if name != "crlf" else lines) + "\n"
+             for name, lines in CASES.items()}
+    rows, owners = parsed(spark, folder, files, compat)
+
+    def mine(source, name):
+        return source.endswith(f"/{name}.txt")
+
+    return {name: (plain(r for r in rows if mine(r[0], name)),
+                   {d for s, d in owners if mine(s, name)}) for name in CASES}
 
 
-def _values(spark, tmp_path, *lines, compat=True):
-    rows, owners = parsed(spark, tmp_path, "\n".join((OPEN, *lines)) + "\n", compat)
-    return [(r[1], r[2], r[3], r[6]) for r in plain(rows)], {d for _, d in owners}
+@pytest.fixture(scope="module")
+def compat(spark, tmp_path_factory):
+    return _by_case(spark, tmp_path_factory.mktemp("compat"), True)
 
 
-def test_state_carries_over_views(spark, tmp_path):
-    rows, _ = parsed(spark, tmp_path, "\n".join([
-        OPEN, "; glue", "a.example.\t1\tA\t1.1.1.1", "; Address database dump", "\t2\tA\t2.2.2.2",
-        "; Start view other", "; Cache dump of view 'other'", "\t3\tA\t3.3.3.3"]))
-    assert [(r[1], r[3], r[4], r[6]) for r in plain(rows)] == [
+@pytest.fixture(scope="module")
+def relaxed(spark, tmp_path_factory):
+    return _by_case(spark, tmp_path_factory.mktemp("relaxed"), False)
+
+
+def values(rows):
+    return [(r[1], r[2], r[3], r[6]) for r in rows]
+
+
+def test_carriage_returns_change_nothing(compat):
+    assert compat["crlf"] == (GOLDEN_RECORDS, GOLDEN_DOMAINS)
+
+
+def test_state_carries_over_views(compat):
+    rows, _ = compat["views"]
+    assert [(r[1], r[3], r[4], r[6]) for r in rows] == [
         ("a.example.", 1, "glue", "1.1.1.1"), ("a.example.", 3, "glue", "3.3.3.3")]
 
 
-def test_marker_words_inside_a_value_close_the_section(spark, tmp_path):
-    values, _ = _values(
-        spark, tmp_path, "a.example.\t1\tA\t1.1.1.1", '\t1\tTXT\t"Start view of things"',
-        "\t1\tA\t2.2.2.2")
-    assert [v[3] for v in values] == ["1.1.1.1"]
+def test_marker_words_inside_a_value_close_the_section(compat):
+    assert [r[6] for r in compat["marker"][0]] == ["1.1.1.1"]
 
 
-def test_trailing_blanks(spark, tmp_path):
-    lines = ("a.example.\t1\tA\t1.1.1.1", "b.example.\t1\tNS\tns.example. ", "\t1\tTXT\tx ",
-             "\t1\tNS\tns2.example. ")
-    values, owners = _values(spark, tmp_path, *lines)
-    assert [(v[0], v[3]) for v in values] == [("a.example.", "1.1.1.1"), ("a.example.", "x ")]
+def test_trailing_blanks(compat, relaxed):
+    rows, owners = compat["blanks"]
+    assert [(r[1], r[6]) for r in rows] == [("a.example.", "1.1.1.1"), ("a.example.", "x ")]
     assert owners == {"a.example."}
-    values, owners = _values(spark, tmp_path, *lines, compat=False)
-    assert [(v[0], v[3]) for v in values] == [
+    assert [(r[1], r[6]) for r in relaxed["blanks"][0]] == [
         ("a.example.", "1.1.1.1"), ("b.example.", "ns.example."), ("b.example.", "x"),
         ("b.example.", "ns2.example.")]
 
 
-def test_unclosed_value_is_dropped_but_its_owner_stays(spark, tmp_path):
-    values, owners = _values(
-        spark, tmp_path, "a.example.\t1\tTYPE65\t\\# 3 (", "\t000100", "b.example.\t1\tA\t1.1.1.1")
-    assert values == [] and owners == {"a.example."}
+def test_unclosed_value_is_dropped_but_its_owner_stays(compat):
+    assert compat["unclosed"] == ([], {"a.example."})
 
 
-def test_unbracketed_value_takes_the_length_digits_in(spark, tmp_path):
-    lines = ("a.example.\t1\tA\t1.1.1.1", "\t1\tTYPE65\t\\# 3 000100")
-    values, _ = _values(spark, tmp_path, *lines)
-    assert values[1][3] == "SVCB(priority=12288, target=., params=[])"  # 3 000100 -> 30001000
-    values, _ = _values(spark, tmp_path, *lines, compat=False)
-    assert values[1][3] == "SVCB(priority=1, target=., params=[])"
+def test_unbracketed_value_takes_the_length_digits_in(compat, relaxed):
+    # 3 000100 -> 30001000 -> priority 0x3000
+    assert compat["unbracketed"][0][1][6] == "SVCB(priority=12288, target=., params=[])"
+    assert relaxed["unbracketed"][0][1][6] == "SVCB(priority=1, target=., params=[])"
 
 
-def test_short_value_is_kept_without_text(spark, tmp_path):
-    values, _ = _values(spark, tmp_path, "a.example.\t1\tTYPE65\t\\# 0 (", "\t)")
-    assert [(v[1], v[3]) for v in values] == [("TYPE65", None)]
+def test_short_value_is_kept_without_text(compat):
+    assert [(r[2], r[6]) for r in compat["short"][0]] == [("TYPE65", None)]
 
 
-def test_numbers(spark, tmp_path):
-    rows, _ = parsed(spark, tmp_path, "\n".join([
-        OPEN, f"a.example.\t{'9' * 30}\tMX\t+7 m.example.", "\t1\tMX\tx  m.example.",
-        f"\t1\tMX\t-{'9' * 30} n.example."]))
-    assert [(r[3], r[7], r[6]) for r in plain(rows)] == [
+def test_numbers(compat):
+    assert [(r[3], r[7], r[6]) for r in compat["numbers"][0]] == [
         (2**63 - 1, 7, "m.example."), (1, 0, " m.example."), (1, -(2**63), "n.example.")]
 
 
-def test_owner_without_a_final_dot(spark, tmp_path):
-    values, owners = _values(
-        spark, tmp_path, "a.example.\t1\tA\t1.1.1.1", "nodot\t1\tA\t2.2.2.2",
-        "odd\t1\tTYPE65\t\\# 3 (", "\t000100 )", "\t1\tA\t3.3.3.3")
-    assert [(v[0], v[3]) for v in values] == [
+def test_owner_without_a_final_dot(compat):
+    rows, owners = compat["no_dot"]
+    assert [(r[1], r[6]) for r in rows] == [
         ("a.example.", "1.1.1.1"), ("a.example.", "2.2.2.2"),
         ("odd", "SVCB(priority=1, target=., params=[])"), ("odd", "3.3.3.3")]
     assert owners == {"a.example.", "odd"}
 
 
-def test_relaxed_reads_common_shapes(spark, tmp_path):
-    values, owners = _values(
-        spark, tmp_path, 'a.example.\t1\tTXT\t"v=spf1 a mx -all"', "b.example.\t1\tIN A\t1.1.1.1",
-        "c.example.\t1\tIN PTR\tp.example.", "d.example.\t1\tTYPE65\t\\# 3 ( 000100 )",
-        "\t1\tTYPE65\t\\# 3 (", "\t000200 )", "\t1\t\\-TYPE64\t;-$NXRRSET", compat=False)
-    assert values == [
+def test_relaxed_reads_common_shapes(relaxed):
+    rows, owners = relaxed["common"]
+    assert values(rows) == [
         ("a.example.", "TXT", 1, '"v=spf1 a mx -all"'), ("b.example.", "A", 1, "1.1.1.1"),
         ("c.example.", "PTR", 1, "p.example."),
         ("d.example.", "TYPE65", 1, "SVCB(priority=1, target=., params=[])"),
@@ -253,8 +278,9 @@ def test_value_over_many_stripes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(parse, "STRIPE", 4)
     value = "0001" + "00" + "00FF0028" + "AB" * 40
     pieces = [f"\t\t{value[i:i + 2]}" for i in range(0, len(value), 2)]
-    values, _ = _values(spark, tmp_path, "a.example.\t1\tTYPE65\t\\# 47 (", *pieces, "\t\t)")
-    assert values[0][3] == f"SVCB(priority=1, target=., params=[key255=0x{'AB' * 40}])"
+    lines = [OPEN, "a.example.\t1\tTYPE65\t\\# 47 (", *pieces, "\t\t)"]
+    rows, _ = parsed(spark, tmp_path, "\n".join(lines))
+    assert rows[0][7] == f"SVCB(priority=1, target=., params=[key255=0x{'AB' * 40}])"
 
 
 def test_long_lines_stop_the_scan(spark, tmp_path):
