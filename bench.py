@@ -36,7 +36,10 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.files.openCostInBytes", "256k")  # the tables are small: keep 8 tasks busy
+        # The tables are small: cut them finely enough to keep all cores busy.
+        .config("spark.sql.files.maxPartitionBytes", "512k")
+        .config("spark.sql.files.openCostInBytes", "64k")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

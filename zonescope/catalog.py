@@ -32,7 +32,7 @@ def _resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _addresses(spark: SparkSession, sf: str) -> DataFrame:
-    return addr.ns_addresses(D.cache(spark, sf).records)
+    return written(addr.ns_addresses(D.cache(spark, sf).records), "addresses")
 
 
 def _networks(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +180,7 @@ def report_sizes(spark: SparkSession, sf: str) -> DataFrame:
 # --- name-server addresses -----------------------------------------------------------------------
 
 def ns_address_join(spark: SparkSession, sf: str) -> DataFrame:
-    return _addresses(spark, sf).select("domain", "ns", "rtype", "ip")
+    return addr.ns_addresses(D.cache(spark, sf).records).select("domain", "ns", "rtype", "ip")
 
 
 def ns_ip_list(spark: SparkSession, sf: str) -> DataFrame:

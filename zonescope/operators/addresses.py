@@ -154,8 +154,10 @@ def ns_ownership(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     Addresses are counted first; lists are built only for the ones that show theirs.
     """
     counts = ip_counts(addresses)
-    shown = counts.filter(F.col("n_domains") <= C.LIST_LIMIT)
-    lists = addresses.join(shown, ["source", "ip"], "left_semi").groupBy("source", "ip").agg(
+    shown = counts.filter(F.col("n_domains") <= C.LIST_LIMIT).select("source", "ip")
+    lists = spread_join(
+        addresses, shown, ["source", "ip"], "left_semi", ["domain", "seq", "ns"]
+    ).groupBy("source", "ip").agg(
         F.array_join(F.array_sort(F.collect_list("domain")), "|").alias("domains"))
     return counts.join(lists, ["source", "ip"], "left").join(
         attribute_ips(counts, networks), "ip"
