@@ -37,8 +37,7 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         # The tables are small: cut them finely enough to keep all cores busy.
-        .config("spark.sql.files.maxPartitionBytes", "512k")
-        .config("spark.sql.files.openCostInBytes", "64k")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
