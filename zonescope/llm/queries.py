@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from zonescope.llm import mixing, quality, urls
+from zonescope.llm import bpe, mixing, quality, urls
 from zonescope.plans.workspace import written
 
 
@@ -26,6 +26,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(values, fences)
 
 
+def bpe_vocabulary(spark: SparkSession):
+    """The rank file is read on the driver; its few megabytes are broadcast."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.shared(spark, bpe.read_ranks(path, public_tokenizers.PATTERN))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, bpe_vocabulary(spark)).select("doc_id", "digest.*")
+
+
 #: The production rules on urls: verdict, host, path.
 URL_RULES = (
     ("block", "net", "/"),
@@ -43,5 +54,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_url_filters": op10_url_filters,
 }
