@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonescope.llm import bpe, mixing, quality, urls
+from zonescope.llm import bpe, language, mixing, quality, unigram, urls
 from zonescope.plans.workspace import written
 
 
@@ -13,12 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.with_token_counts(docs, spark.sparkContext.broadcast(pieces)).drop("text")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     keyed = written(mixing.sized(docs).drop("text", "source"), "mix-sizes")
     return mixing.mix(keyed, mixing.mix_plan(keyed))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = language.held_out(F.col("doc_id"))
+    model = language.fit(language.bin_counts(docs.filter(F.col("doc_id").isNotNull() & ~rest)))
+    scored = language.with_language(docs, spark.sparkContext.broadcast(model))
+    return scored.select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     values = written(quality.with_values(quality.measured(docs), keep=["doc_id"]), "measures")
@@ -52,7 +67,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_url_filters": op10_url_filters,
