@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonescope.llm import bpe, language, mixing, quality, unigram, urls
+from zonescope.llm import bpe, language, minhash, mixing, quality, unigram, urls
 from zonescope.plans.workspace import written
 
 
@@ -52,6 +52,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe_vocabulary(spark)).select("doc_id", "digest.*")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=2).withColumnRenamed("id", "doc_id")
+
+
 #: The production rules on urls: verdict, host, path.
 URL_RULES = (
     ("block", "net", "/"),
@@ -72,5 +77,6 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
