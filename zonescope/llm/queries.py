@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonescope.llm import bpe, language, minhash, mixing, quality, unigram, urls
+from zonescope.llm import (
+    bpe, embeddings, language, minhash, mixing, quality, unigram, urls,
+)
 from zonescope.plans.workspace import written
 
 
@@ -41,6 +43,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(values, fences)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return embeddings.near_vectors(vectors).withColumnRenamed("id", "vec_id")
+
+
 def bpe_vocabulary(spark: SparkSession):
     """The rank file is read on the driver; its few megabytes are broadcast."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -76,6 +83,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
