@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonescope.llm import (
-    bpe, embeddings, language, minhash, mixing, quality, unigram, urls,
+    bpe, embeddings, language, lines, minhash, mixing, quality, unigram, urls,
 )
 from zonescope.plans.workspace import written
 
@@ -59,6 +59,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe_vocabulary(spark)).select("doc_id", "digest.*")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dropped = written(lines.dropped_lines(docs).groupBy("id").agg(
+        F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near")), "dropped")
+    counted = docs.select("doc_id", F.coalesce(
+        F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return counted.join(dropped, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        count("n_dropped"), count("n_near"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, width=2).withColumnRenamed("id", "doc_id")
@@ -85,6 +97,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
