@@ -131,8 +131,50 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """
 
+REVISITS = """
+WITH v AS (SELECT *, unnest([0, 1, 2, 3]) AS visit FROM pages),
+c AS (
+  SELECT page_id || '-' || visit AS record_id, page_id, visit,
+    1700000000 + page_id * 10 + visit * 86400 AS ts,
+    visit = 0 OR visit = 2 AND page_id % 4 = 0 AS is_full,
+    lower(regexp_extract(url, '^([^/]*://[^/?#]*)', 1))
+      || CASE WHEN regexp_extract(url, '^[^/]*://[^/?#]*([^?#]*)', 1) = '' THEN '/'
+        ELSE regexp_extract(url, '^[^/]*://[^/?#]*([^?#]*)', 1) END
+      || regexp_extract(url, '^[^?#]*([?][^#]+)', 1) AS canonical_url,
+    CASE WHEN visit = 2 AND page_id % 4 = 0 THEN md5(html || '2') WHEN visit IN (0, 1) THEN md5(html)
+      WHEN visit = 3 AND page_id % 7 <> 0 THEN md5(html) END AS etag,
+    CASE WHEN visit = 0 OR visit = 2 AND page_id % 4 <> 0 THEN 't' || page_id END AS modified,
+    CASE visit WHEN 0 THEN 'd0' WHEN 1 THEN 'd1' WHEN 3 THEN 'd3'
+      ELSE CASE WHEN page_id % 4 = 0 THEN 'd2' END END AS date,
+    CASE WHEN visit = 2 AND page_id % 4 <> 0 THEN 'c2' END AS cache,
+    CASE WHEN visit = 0 THEN length(html) WHEN visit = 1 THEN 0
+      WHEN visit = 2 AND page_id % 4 = 0 THEN length(html) + 1 END AS size
+  FROM v),
+f AS (
+  SELECT canonical_url, ts, arg_max(c, record_id) AS r FROM c WHERE is_full GROUP BY ALL),
+j AS (
+  SELECT c.*, f.r, coalesce(f.r.etag = c.etag, f.r.modified = c.modified) AS agree
+  FROM c ASOF LEFT JOIN f ON c.canonical_url = f.canonical_url AND c.ts > f.ts),
+m AS (
+  SELECT *, CASE WHEN is_full THEN 'full' WHEN r IS NULL THEN 'orphan' WHEN agree THEN 'resolved'
+    WHEN NOT agree THEN 'mismatch' ELSE 'unchecked' END AS resolution FROM j),
+h AS (
+  SELECT *, resolution = 'resolved' AS good, CASE WHEN visit = 1 THEN 'W/' || etag ELSE etag END
+    AS own_etag FROM m)
+SELECT record_id, canonical_url, resolution, CASE WHEN good THEN r.record_id END AS refers_to,
+  array_to_string(list_filter([
+    'cache-control=' || CASE WHEN good THEN coalesce(cache, r.cache) ELSE cache END,
+    'content-length=' || CASE WHEN good THEN r.size ELSE size END,
+    'date=' || CASE WHEN good THEN coalesce(date, r.date) ELSE date END,
+    'etag=' || CASE WHEN good THEN coalesce(own_etag, r.etag) ELSE own_etag END,
+    'last-modified=' || CASE WHEN good THEN coalesce(modified, r.modified) ELSE modified END
+  ], lambda x: x IS NOT NULL), ';') AS merged_headers
+FROM h
+"""
+
 ORACLES = {
     "op2_source_mixing": MIXING,
     "op4_quality_rules": QUALITY,
+    "op6_revisit_resolution": REVISITS,
     "op10_url_filters": URLS,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zonescope.llm import (
     bpe, embeddings, language, lines, minhash, mixing, quality, unigram, urls,
+    warc,
 )
 from zonescope.plans.workspace import written
 
@@ -48,6 +49,43 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(vectors).withColumnRenamed("id", "vec_id")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Four captures of each page: a response, and visits that were answered in different ways.
+
+    The second visit sends the entity tag, the third the modification time (for every fourth page
+    it is a new response), the fourth the first entity tag (for every seventh page no validator).
+    Urls come in different spellings.
+    """
+    visits = pages.withColumn("visit", F.explode(F.array(*map(F.lit, range(4)))))
+    return visits.selectExpr(
+        "concat(page_id, '-', visit) AS record_id",
+        "1700000000 + page_id * 10 + visit * 86400 AS captured_at",
+        "CASE visit WHEN 1 THEN replace(replace(url, 'http', 'HTTP'), 'example', 'Example') "
+        "WHEN 2 THEN regexp_replace(regexp_replace(url, '^(http://[^/?#]*)', '$1:80'), "
+        "'^(https://[^/?#]*)', '$1:443') WHEN 3 THEN concat(split_part(url, '#', 1), '#visit') "
+        "ELSE url END AS url",
+        "CASE WHEN visit = 0 OR visit = 2 AND page_id % 4 = 0 THEN 'response' ELSE 'revisit' END "
+        "AS warc_type",
+        "CASE WHEN visit = 0 OR visit = 2 AND page_id % 4 = 0 THEN 200 ELSE 304 END AS status",
+        "CASE WHEN visit = 0 THEN map('ETag', md5(html), 'Last-Modified', concat('t', page_id), "
+        "'Content-Length', string(length(html)), 'Date', 'd0') "
+        "WHEN visit = 1 THEN map('etag', concat('W/', md5(html)), 'Content-Length', '0', "
+        "'Date', 'd1') "
+        "WHEN visit = 2 AND page_id % 4 = 0 THEN map('ETag', md5(concat(html, '2')), "
+        "'Content-Length', string(length(html) + 1), 'Date', 'd2') "
+        "WHEN visit = 2 THEN map('Last-Modified', concat('t', page_id), 'Cache-Control', 'c2') "
+        "WHEN page_id % 7 = 0 THEN map('Date', 'd3') "
+        "ELSE map('ETag', md5(html), 'Date', 'd3') END AS headers")
+
+
+def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolved_revisits(captures(table(spark, sf_dir, "pages")))
+    listed = F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"])))
+    return found.select("record_id", "canonical_url", "resolution", "refers_to",
+                        F.array_join(listed, ";").alias("merged_headers"))
+
+
 def bpe_vocabulary(spark: SparkSession):
     """The rank file is read on the driver; its few megabytes are broadcast."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -96,6 +134,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_revisit_resolution": op6_revisit_resolution,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
