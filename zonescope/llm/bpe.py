@@ -322,22 +322,31 @@ def decode(rows: DataFrame, vocabulary: Broadcast, ids: str = "ids", to: str = "
     return rows.withColumn(to, F.arrow_udf(bytes_of, "binary")(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, vocabulary: Broadcast, text: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, vocabulary: Broadcast, text: str = "text", to: str = "digest",
+    with_ids: bool = False,
+) -> DataFrame:
     """The documents with a struct of the number of ids and digests of ids and decoded bytes.
 
-    Encodes and decodes in one pass, so the ids themselves do not leave the task.
+    Encodes and decodes in one pass; the ids themselves leave the task only if asked for.
     """
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
+              ("decoded_sha256", pa.string())]
+
     def digests(texts: pa.Array) -> pa.Array:
-        own, out = codec(vocabulary), []
+        own, out, packed = codec(vocabulary), [], []
         for group in by_size(texts.to_pylist(), lambda t: len(t or ""), GROUP_BYTES):
             for row, raw in zip(rows := own.encode(group), own.decode(rows), strict=True):
                 ids = np.frombuffer(row, np.int32).tolist()
-                out.append({
-                    "n_tokens": len(ids),
-                    "ids_sha256": hashlib.sha256(
-                        ",".join([own.numerals[i] for i in ids]).encode()).hexdigest(),
-                    "decoded_sha256": hashlib.sha256(raw).hexdigest()})
-        return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                                        ("decoded_sha256", pa.string())]))
-    kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
-    return docs.withColumn("digest", F.arrow_udf(digests, kind)(F.col(text)))
+                listed = ",".join([own.numerals[i] for i in ids])
+                out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
+                            hashlib.sha256(raw).hexdigest()))
+            packed += rows if with_ids else []
+        columns = [pa.array([row[i] for row in out], kind) for i, (_, kind) in enumerate(fields)]
+        names = [name for name, _ in fields]
+        if with_ids:
+            columns, names = [*columns, id_lists(packed)], [*names, "ids"]
+        return pa.StructArray.from_arrays(columns, names=names)
+    kind = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (
+        ", ids: array<int>" if with_ids else "")
+    return docs.withColumn(to, F.arrow_udf(digests, f"struct<{kind}>")(F.col(text)))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonescope.llm.components import components
+from zonescope.llm.text import own
 from zonescope.plans.workspace import written
 
 BANDS, ROWS = 40, 5
@@ -315,3 +316,11 @@ def near_duplicates(
             F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return joined.withColumn("kept", F.coalesce(
         F.col("id") == F.col("component_id"), F.lit(True)))
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents without those whose group has a smaller id; documents without an id stay."""
+    found = near_duplicates(docs, doc_id, **options).filter("not kept").select(
+        F.col("id").alias(own("id"))).distinct()
+    gone = written(found, "near-gone")
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(own("id")), "left_anti")
