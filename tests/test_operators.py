@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from zonescope.operators import addresses, health, lists, reports, trace
 from zonescope.operators.joins import spread_join
 from zonescope.sinks import lines
-from zonescope.sources.ranges import split_ranges
-from zonescope.sources.responses import RAW_RESPONSES, RESPONSES
+from zonescope.sources.ranges import scan_ranges, split_ranges
+from zonescope.sources.responses import RAW_RESPONSES, RESPONSES, scan_responses
 
 RECORDS = ("source string, seq bigint, domain string, rtype string, ttl bigint, attribute string, "
            "rcode string, rdata string, priority bigint, wire string")
@@ -36,28 +36,22 @@ def test_spread_join_equals_a_plain_join(spark):
         assert Counter(map(tuple, spread.select("k", "i", "v").collect())) == plain
 
 
-def test_long_lists_come_in_parts(spark):
+def test_long_lists_are_one_row_at_any_size(spark):
     rows = [("hot." if i % 3 else f"d{i % 7}.", "TXT", f"t{i}") for i in range(300)]
     df = records(spark, *rows).repartition(5)
     whole = {r.domain: r.value for r in reports.txt_report(df).collect()}
-    parts = reports.txt_report(df, max_items=60, stripe=32).collect()
-    assert max(len(p.value.split(",")) for p in parts) <= 60
-    assert len([p for p in parts if p.domain == "hot."]) == 10
-    for domain, value in whole.items():
-        mine = sorted((p.part, p.value) for p in parts if p.domain == domain)
-        assert ",".join(v for _, v in mine) == value
     assert whole["hot."].split(",") == [t for d, _, t in rows if d == "hot."]
+    for stripe in (2, 32):
+        got = reports.txt_report(df, stripe=stripe).collect()
+        assert len(got) == len(whole) and {r.domain: r.value for r in got} == whole
 
 
 def test_mx_report(spark):
     rows = [("a.", "MX", "m1.", "", 10), ("a.", "MX", "", "nxrrset", 0), ("b.", "MX", "", "nxrrset", 0),
             ("b.", "MX", "m2.", "", 5), ("c.", "MX", "", "nxdomain", 0)]
-    for bounds in ({}, {"max_items": 1, "stripe": 1}):
-        got = reports.mx_report(records(spark, *rows), **bounds).orderBy("domain", "part").collect()
-        merged = {}
-        for r in got:
-            merged.setdefault(r.domain, []).append(r.value)
-        assert {k: ",".join(v) for k, v in merged.items()} == {"a.": "10 m1.,0 ", "c.": "0 "}
+    for bounds in ({}, {"stripe": 1}):
+        got = {r.domain: r.value for r in reports.mx_report(records(spark, *rows), **bounds).collect()}
+        assert got == {"a.": "10 m1.,0 ", "c.": "0 "}
 
 
 def test_first_value_reports(spark):
@@ -83,9 +77,15 @@ def test_record_detail(spark):
                              "MX: [], PTR: [], TXT: []")
     hot = records(spark, *[("a.", "A", f"1.1.1.{i}") for i in range(40)], ("a.", "A", "", "nxrrset"),
                   *[("a.", "A", f"2.2.2.{i}") for i in range(40)])
-    parts = reports.record_detail(hot, owners, max_items=10, stripe=16).filter("domain = 'a.'")
-    text = " ".join(r.detail for r in parts.orderBy("part").collect())
-    assert text.count("IP=1.1.1.") == 40 and "2.2.2." not in text and "nxrrset" not in text
+    for stripe in (2, 16, 1000):
+        text, = [r.detail for r in reports.record_detail(hot, owners, stripe=stripe).collect()
+                 if r.domain == "a."]
+        assert text.count("IP=1.1.1.") == 40 and "2.2.2." not in text and "nxrrset" not in text
+        shown = {r.domain: r.detail for r in reports.record_detail(df, owners, stripe=stripe).collect()}
+        assert shown == got
+    nested = {r.domain: r for r in reports.nested_records(df, owners).collect()}
+    assert [x.rdata for x in nested["a."].NSs] == ["n1.", "n2."] and nested["empty."].As == []
+    assert [x.rcode for x in nested["a."].As] == ["", "nxrrset", ""]
     probes = spark.createDataFrame([("a.",), ("no.",), ("a.",)], "domain string")
     found = {r.domain: (r.found, r.text) for r in reports.lookup(probes, df, owners).collect()}
     assert found == {"a.": (True, f"Domain (a.): {want}"), "no.": (False, "未找到域名: no.")}
@@ -112,11 +112,9 @@ def test_ns_addresses(spark):
     assert {r.ip for r in addresses.ns_ips(df).collect()} == {"1.1.1.1", "::1", ""}
     assert {r.ip for r in addresses.ns_ips(df, compat=False).collect()} == {"1.1.1.1", "::1"}
     assert addresses.ns_addresses(df, compat=False).count() == 5
-    whole = {r.ip: (r.n_domains, r.domains) for r in addresses.ip_domains(found).collect()}
-    assert whole == {"1.1.1.1": (3, "a.|a.|b."), "::1": (2, "a.|b."), "": (1, "a.")}
-    parts = addresses.ip_domains(found, max_items=1).collect()
-    assert sorted(d for p in parts if p.ip == "1.1.1.1" for d in p.domains.split("|")) == [
-        "a.", "a.", "b."]
+    assert Counter((r.ip, r.n_domains, r.domain) for r in addresses.ip_domains(found).collect()) == {
+        ("1.1.1.1", 3, "a."): 2, ("1.1.1.1", 3, "b."): 1, ("::1", 2, "a."): 1, ("::1", 2, "b."): 1,
+        ("", 1, "a."): 1}
 
 
 RANGE_LINES = [
@@ -232,10 +230,11 @@ def test_ns_disagreement(spark):
         odd = health.ns_disagreement(df, captured, "r", rows_per_task)
         assert sorted((r.domain, r.ns, r.expected_a, r.actual_a) for r in odd.collect()) == [
             ("a.", "n2.", ["1", "2"], []), ("a.", "n2.", ["1", "2"], []), ("b.", "n1.", ["3"], ["9"])]
-    text = lines.disagreement_lines(odd, "r").orderBy("domain", "line_no")
+    text = lines.disagreement_lines(odd, "r").orderBy("domain", "place")
     assert [r.line for r in text.collect()] == [
         "a. NS不一致：ns（r）结果-[1 2]-[]", " " * 12 + "ns（n2.）结果-[]-[]",
-        " " * 12 + "ns（n2.）结果-[]-[]", "b. NS不一致：ns（r）结果-[3]-[x.]", " " * 12 + "ns（n1.）结果-[9]-[]"]
+        " " * 12 + "ns（n2.）结果-[]-[]", "", "b. NS不一致：ns（r）结果-[3]-[x.]",
+        " " * 12 + "ns（n1.）结果-[9]-[]", ""]
     counts = health.check_counts({"x": (odd, reports.of_type(df, "NS"))}).first()
     assert (counts.hits, counts.total) == (2, 3)
 
@@ -313,6 +312,61 @@ def test_written_lines(spark, tmp_path):
         lines.write_lines(lines.ip_lines(addresses.ns_ips(df)), str(tmp_path / "ptr"), "1")
 
 
+def read_files(folder, source):
+    found = sorted((folder / f"source={source}").glob("part-*"))
+    return [x for f in found for x in f.read_text().split("\n")[:-1]]
+
+
+def test_blocks_are_written_whole_and_by_dump(spark, tmp_path):
+    rows = [(s, f"d{d}.", k, f"n{k}.", ["1"], [], ["2"], []) for s in ("one", "two")
+            for d in range(30) for k in range(3)]
+    odd = spark.createDataFrame(rows, "source string, domain string, seq bigint, ns string, "
+                                "expected_a array<string>, expected_cname array<string>, "
+                                "actual_a array<string>, actual_cname array<string>").repartition(7)
+    odd = odd.withColumn("seq", F.col("seq") + 1)
+    folder = lines.write_lines(lines.disagreement_lines(odd, "r"), str(tmp_path / "odd"), "1")
+    for source in ("one", "two"):
+        text = read_files(tmp_path / "odd" / "run=1", source)
+        blocks = ["\n".join(text[i:i + 5]) for i in range(0, len(text), 5)]
+        want = [f"d{d}." for d in range(30)]
+        assert sorted(b.split(" ")[0] for b in blocks) == sorted(want)
+        for block in blocks:
+            head, *odd_ones, blank = block.split("\n")
+            assert "（r）" in head and blank == ""
+            assert [x.strip()[3:6] for x in odd_ones] == ["n0.", "n1.", "n2."]
+
+
+def test_two_dumps_give_two_outputs(spark, tmp_path):
+    owned = spark.createDataFrame(
+        [("x", "ME", "1.1.1.1", 1, "a."), ("y", "US", "2.2.2.2", 1, "b."), ("y", "US", "3.3.3.3", 1, "c.")],
+        "source string, client string, ip string, n_domains bigint, domains string")
+    lines.write_lines(lines.ownership_lines(owned), str(tmp_path / "own"), "1")
+    folder = tmp_path / "own" / "run=1"
+    header = "NS IP归属,NS IP,解析域名数,域名清单"
+    assert read_files(folder, "x") == [header, "ME,1.1.1.1,1,a."]
+    assert read_files(folder, "y")[0] == header and len(read_files(folder, "y")) == 3
+
+
+def test_range_lines_keep_file_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("10.0.0.0/8 FIRST\n10.0.0.0/0008 ZEROS\n")
+    (tmp_path / "b.txt").write_text("10.0.0.0/8 SECOND\n" + "192.0.2.0/24 PAD\n" * 500)
+    networks = addresses.range_networks(scan_ranges(spark, str(tmp_path)))
+    ip = spark.createDataFrame([("10.1.1.1",)], "ip string")
+    found = addresses.attribute_ips(ip, networks).first()
+    assert (found.client, found.plen, found.n_matches) == ("FIRST", 8, 3)
+
+
+def test_captures_as_files(spark, tmp_path):
+    df = replies(spark, ("r", "a.", {"answered": False}), ("r", "b.", {"rr_a": ["1"]}))
+    negatives = spark.createDataFrame(
+        [("s", "a.", "nxrrset"), ("s", "b.", "nxrrset")], "source string, domain string, rcode string")
+    for fmt in ("parquet", "json"):
+        df.write.format(fmt).save(str(tmp_path / fmt))
+        captured = scan_responses(spark, str(tmp_path / fmt), fmt)
+        failing = health.failing_negatives(negatives, captured, "r").collect()
+        assert [(r.domain, r.status) for r in failing] == [("a.", "无响应")]
+
+
 def test_list_helper_keeps_duplicates(spark):
     df = records(spark, ("a.", "NS", "n."), ("a.", "NS", "n."))
     assert lists.joined(df, ["domain"], F.col("rdata")).first().value == "n.,n."

@@ -7,7 +7,6 @@ import re
 import duckdb
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from zonescope.catalog import QUERIES
@@ -78,11 +77,8 @@ def test_filters_and_columns_reach_the_scan(spark):
         "z1.example.", records, derived.cache(spark, SF).domains))
 
 
-def test_block_table_without_broadcast(spark):
-    from zonescope.operators import parse
-    dump = derived.dump(spark, SF)
-    small = parse.resolved_lines(parse.line_states(dump))
-    large = parse.resolved_lines(parse.line_states(dump, max_blocks=0))
-    counts = [df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-              for df in (small, large)]
-    assert counts[0] == counts[1]
+def test_reports_need_no_join_or_window(spark):
+    records = derived.cache(spark, SF).records
+    for report in (reports.spf_report, reports.txt_report, reports.mx_report, reports.ptr_report):
+        text = plan(report(records))
+        assert not re.search("Join|Window", text) and text.count("Exchange hash") <= 2

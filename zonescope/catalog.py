@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from zonescope import constants as C
 from zonescope.functions import ip
 from zonescope.functions.arrays import bag_equal, bounded_contains
 from zonescope.operators import addresses as addr
@@ -16,7 +17,7 @@ from zonescope.plans.workspace import new_folder, written
 from zonescope.sinks import lines
 
 Query = Callable[[SparkSession, str], DataFrame]
-LISTED = ["domain", "part", "value"]
+LISTED = ["domain", "value"]
 
 
 def _text(items: str) -> Column:
@@ -94,7 +95,7 @@ def negative_domains(spark: SparkSession, sf: str) -> DataFrame:
 def domain_lookup(spark: SparkSession, sf: str) -> DataFrame:
     cache = D.cache(spark, sf)
     return reports.point_lookup("z1.example.", cache.records, cache.domains).select(
-        "domain", "found", "part", "text")
+        "domain", "found", "text")
 
 
 def page_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +109,7 @@ def bulk_lookup(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("z"), F.col("c_custkey").cast("string"), F.lit(".example.")).alias("domain"))
     probes = page_hosts(spark, sf).unionByName(zones)
     return reports.lookup(probes, cache.records, cache.domains).select(
-        "domain", "found", "part", "text")
+        "domain", "found", "text")
 
 
 def domain_ns(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,6 +121,16 @@ def record_detail(spark: SparkSession, sf: str) -> DataFrame:
     return reports.record_detail(cache.records, cache.domains).drop("source")
 
 
+def nested_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested rows, each list flattened to text."""
+    cache = D.cache(spark, sf)
+    nested = reports.nested_records(cache.records, cache.domains)
+    text = lambda name: F.array_join(F.transform(name, lambda x: F.concat_ws(
+        " ", x["ttl"].cast("string"), x["attribute"], x["rcode"], x["rdata"],
+        x["priority"].cast("string"))), ",").alias(name)
+    return nested.select("domain", *(text(name) for name, _, _ in reports.DETAIL))
+
+
 def https_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.https_report(D.cache(spark, sf).records).select("domain", "value")
 
@@ -301,6 +312,16 @@ def _read_back(spark: SparkSession, report: str, report_lines: DataFrame) -> Dat
     return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
+def _read_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, place, line): the lines of each source as a reader of its files meets them."""
+    text = spark.read.text(folder).select(
+        "source", F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"))
+    order = Window.partitionBy("source").orderBy("file", "start", "id")
+    return text.select("source", F.row_number().over(order).alias("place"), "line")
+
+
 def report_files(spark: SparkSession, sf: str) -> DataFrame:
     records = D.cache(spark, sf).records
     made = {
@@ -336,14 +357,23 @@ def parent_child_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ns_disagreement_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with the domain of the head line above them, and their place under it."""
     blocks = lines.disagreement_lines(written(_disagreement(spark, sf), "odd"), D.RESOLVER)
-    return _read_back(spark, "ns_disagreement", blocks)
+    folder = lines.write_lines(blocks, new_folder(spark, "ns_disagreement"), "20250101000000")
+    read = _read_in_order(spark, folder)
+    is_head = F.instr("line", C.NS_DIFFERS) > 0
+    so_far = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return read.select(
+        F.last(F.when(is_head, F.substring_index("line", C.NS_DIFFERS, 1)), True).over(so_far).alias(
+            "domain"),
+        (F.col("place") - F.last(F.when(is_head, F.col("place")), True).over(so_far)).alias("place"),
+        "line")
 
 
 _ALL = (
     dump_records, dump_parse, section_gate, attribute_carry, owner_inherit, stitched_values,
     negative_records, domain_registry, cache_summary, negative_domains, domain_lookup, bulk_lookup,
-    domain_ns, record_detail, https_report, type64_report, svcb_params, svcb_violations, ptr_report,
+    domain_ns, record_detail, nested_records, https_report, type64_report, svcb_params, svcb_violations, ptr_report,
     txt_report, spf_report, spf_report_relaxed, mx_report, single_ns, single_ns_count, report_sizes,
     ns_address_join, ns_ip_list, ns_ip_domains, ip_ranges, ip_attribution, ns_ip_ownership,
     probe_status, probe_latency, response_normalise, failing_negatives, bag_equality,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from zonescope import constants as C
 from zonescope.functions import ip
 from zonescope.operators.joins import ROWS_PER_TASK, spread_join
-from zonescope.operators.lists import LINE_ITEMS
 from zonescope.operators.reports import of_type
 
 
@@ -45,20 +44,14 @@ def ip_counts(addresses: DataFrame) -> DataFrame:
     return addresses.groupBy("source", "ip").agg(F.count("*").alias("n_domains"))
 
 
-def ip_domains(addresses: DataFrame, max_items: int = LINE_ITEMS) -> DataFrame:
-    """(source, ip, n_domains, part, domains): the domains behind each address.
+def ip_domains(addresses: DataFrame) -> DataFrame:
+    """(source, ip, n_domains, domain): the domains behind each address, one row each.
 
-    A domain is repeated when several of its name servers share the address. The list of an
-    address with over ``max_items`` entries is spread over parts of about that size.
+    A domain is repeated when several of its name servers share the address.
     """
-    hashed = F.xxhash64("domain", "seq", "ns")
-    parts = F.ceil(F.col("n_domains") / max_items)
     return spread_join(
         addresses, ip_counts(addresses), ["source", "ip"], row_id=["domain", "seq", "ns"]
-    ).withColumn(
-        "part", F.when(F.col("n_domains") > max_items, F.pmod(hashed, parts)).otherwise(0)
-    ).groupBy("source", "ip", "n_domains", "part").agg(
-        F.array_join(F.array_sort(F.collect_list("domain")), "|").alias("domains"))
+    ).select("source", "ip", "n_domains", "domain")
 
 
 def range_networks(ranges: DataFrame) -> DataFrame:
@@ -69,11 +62,11 @@ def range_networks(ranges: DataFrame) -> DataFrame:
     """
     slash = F.split("range", "/")
     base = ip.address(slash[0])
-    plen_text = F.get(slash, F.lit(1))
+    plen_text = F.regexp_replace(F.get(slash, F.lit(1)), "^0+(?=[0-9])", "")
     v6_text = F.instr(slash[0], ":") > 0
     cidr = ranges.select(
         "client", "line_no", base.alias("at"),
-        F.when(plen_text.rlike(r"^[0-9]{1,7}\z"), plen_text.try_cast("int")).alias("bits"),
+        F.when(plen_text.rlike(r"^[0-9]{1,3}\z"), plen_text.try_cast("int")).alias("bits"),
         v6_text.alias("v6"),
     ).filter(
         (F.size(slash) == 2) & F.col("at").isNotNull()
@@ -140,7 +133,7 @@ def attribute_ips(
     best = spread_join(
         masked, unique, ["family", "plen", "hi", "lo"], row_id=["ip"], rows_per_task=rows_per_task
     ).groupBy("ip").agg(
-        F.max_by(F.struct("client", "plen"), F.struct("plen", -F.col("line_no"))).alias("best"),
+        F.min_by(F.struct("client", "plen"), F.struct(-F.col("plen"), "line_no")).alias("best"),
         F.sum("n").alias("n_matches"),
     )
     return distinct.join(best, "ip", "left").select(

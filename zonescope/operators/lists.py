@@ -1,53 +1,37 @@
-"""Ordered lists per key that stay bounded for hot keys."""
+"""Ordered lists per key, gathered in two steps so that no group of lines is unbounded."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonescope.operators.parse import STRIPE
 
-LINE_ITEMS = 100_000  # a list with more items than this is given in parts
 
-
-def with_parts(
-    items: DataFrame, keys: list[str], carry: dict[str, Column] | None = None,
-    max_items: int = LINE_ITEMS, stripe: int = STRIPE,
-) -> DataFrame:
-    """Adds ``part``: 0, or for a key with over ``max_items`` rows the number of the stripe of
-    lines a row lies in. Parts in order are the whole list, and none has over ``stripe`` rows.
-
-    ``carry`` names minimums over the whole key (NULL for keys in one part, which can work them
-    out by themselves). Rows are counted per key and stripe, so a hot key is never one group.
-    """
-    carry = carry or {}
-    at = F.floor(F.col("seq") / stripe)
-    whole = Window.partitionBy(*keys)
-    items = items.withColumn("stripe", at)
-    big = (
-        items.groupBy(*keys, "stripe")
-        .agg(F.count("*").alias("n"), *(c.alias(name) for name, c in carry.items()))
-        .select(*keys, "stripe", F.sum("n").over(whole).alias("total"),
-                *(F.min(name).over(whole).alias(name) for name in carry))
-        .filter(F.col("total") > max_items)
-    )
-    return items.join(big, [*keys, "stripe"], "left").withColumn(
-        "part", F.when(F.col("total").isNull(), 0).otherwise(F.col("stripe"))
-    ).drop("stripe", "total")
-
-
-def in_order(value: Column) -> Column:
-    """Aggregate: the values of a group in line order."""
+def in_order(value: Column, order: str = "seq") -> Column:
+    """Aggregate: the values of a group in the order of a column."""
     return F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col("seq"), value.alias("value")))),
+        F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("value")))),
         lambda x: x["value"],
     )
 
 
-def joined(items: DataFrame, keys: list[str], value: Column, sep: str = ",",
-           max_items: int = LINE_ITEMS, stripe: int = STRIPE) -> DataFrame:
-    """(keys, part, value): the values of each key in line order, joined with ``sep``."""
-    return (
-        with_parts(items, keys, max_items=max_items, stripe=stripe)
-        .groupBy(*keys, "part").agg(F.array_join(in_order(value), sep).alias("value"))
-    )
+def stripe_of(seq: Column, stripe: int = STRIPE) -> Column:
+    return F.floor(seq / stripe)
+
+
+def joined(
+    items: DataFrame, keys: list[str], value: Column, sep: str = ",", stripe: int = STRIPE,
+    head: Column | None = None,
+) -> DataFrame:
+    """(keys, value): the values of each key in line order, joined with ``sep``.
+
+    The lines of a key are joined per stripe first, and then the texts of its stripes, so a hot key
+    is sorted in pieces of at most ``stripe`` lines. ``head`` is a minimum that is carried along.
+    """
+    carried = [] if head is None else [head.alias("head")]
+    pieces = items.groupBy(*keys, stripe_of(F.col("seq"), stripe).alias("stripe")).agg(
+        F.array_join(in_order(value), sep).alias("piece"), *carried)
+    return pieces.groupBy(*keys).agg(
+        F.array_join(in_order(F.col("piece"), "stripe"), sep).alias("value"),
+        *[F.min("head").alias("head") for _ in carried])

@@ -26,7 +26,6 @@ from zonescope.sources.dump import BLOCK, Dump
 
 WS, TOKEN = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
 STRIPE = 1 << 20  # lines of a source that one task may gather
-MAX_BLOCKS = 250_000  # block rows (a few hundred bytes each) that are worth a broadcast
 
 
 @dataclass(frozen=True)
@@ -198,8 +197,8 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     ends = local.filter("next_seg IS NULL OR next_seg <> seg").select(
         *BLOCK, "seg", "gate", "flips", *state,
         F.when(F.col("next_seg").isNull(), F.col("rn")).otherwise(0).alias("n"),
-    ).join(files.withColumn("name_length", F.length("file")), "file_key")
-    order = Window.partitionBy("source").orderBy("name_length", "file", "block_start", "seg")
+    ).join(files, "file_key")
+    order = Window.partitionBy("source").orderBy("file", "block_start", "seg")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -210,7 +209,7 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     )
     counts = (F.col("seg") == 1) | F.col("gate_in")
     df = df.select(
-        *BLOCK, "seg", "source", "file", "name_length", "gate_in", "offset",
+        *BLOCK, "seg", "source", "file", "gate_in", "offset",
         *(F.when(counts, F.col(c)).alias(c) for c in state),
         F.when(counts, F.col("flips")).otherwise(0).alias("flips"),
     )
@@ -244,21 +243,17 @@ def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def line_states(
-    dump: Dump, compat: bool = True, max_blocks: int = MAX_BLOCKS
-) -> DataFrame:
+def line_states(dump: Dump, compat: bool = True) -> DataFrame:
     """Every line with the state in force: section gate, attribute, open value and owner.
 
     ``seq`` is the number of the line in its source, empty lines not counted; ``value_seq`` that
     of the line that started the bracketed value.
 
-    The lines with their local state are written first, so the patterns and windows run once. The
-    block table is broadcast up to ``MAX_BLOCKS`` rows; a larger one is joined by shuffling.
+    The lines with their local state are written first, so the patterns and windows run once. So is
+    the block table; Spark broadcasts it when its measured size is under the session's threshold.
     """
     local = written(_local_state(dump.lines.repartition(*BLOCK), Dialect(compat)), "lines")
     blocks = written(_incoming_state(local, dump.files), "blocks")
-    if blocks.count() <= max_blocks:
-        blocks = F.broadcast(blocks)
     df = local.join(blocks, BLOCK).withColumn(
         "at", F.when(F.col("seg") == 0, F.col("head")).otherwise(F.col("tail"))
     )

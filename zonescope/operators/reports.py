@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonescope import constants as C
-from zonescope.operators.lists import LINE_ITEMS, in_order, joined, with_parts
+from zonescope.operators.lists import joined, stripe_of
 from zonescope.operators.parse import STRIPE
 
 DOMAIN = ["source", "domain"]
@@ -17,7 +17,7 @@ def of_type(records: DataFrame, *rtypes: str) -> DataFrame:
 
 
 def ns_names(records: DataFrame, **bounds: int) -> DataFrame:
-    """(source, domain, part, value): the name servers of each domain in file order."""
+    """(source, domain, value): the name servers of each domain in file order."""
     return joined(of_type(records, "NS"), DOMAIN, F.col("rdata"), **bounds)
 
 
@@ -35,20 +35,12 @@ def spf_report(records: DataFrame, **bounds: int) -> DataFrame:
     return joined(spf, DOMAIN, F.col("rdata"), **bounds)
 
 
-def mx_report(
-    records: DataFrame, max_items: int = LINE_ITEMS, stripe: int = STRIPE
-) -> DataFrame:
+def mx_report(records: DataFrame, **bounds: int) -> DataFrame:
     """Every MX of a domain as ``priority server``, unless its first MX is a negative NXRRSET."""
-    mx = of_type(records, "MX")
-    first = F.min(F.struct("seq", "rcode"))
     text = F.concat_ws(" ", F.col("priority").cast("string"), F.col("rdata"))
-    return (
-        with_parts(mx, DOMAIN, {"head": first}, max_items, stripe)
-        .groupBy(*DOMAIN, "part")
-        .agg(F.coalesce(F.max("head"), first).alias("head"),
-             F.array_join(in_order(text), ",").alias("value"))
-        .filter("head.rcode <> 'nxrrset'").drop("head")
-    )
+    listed = joined(of_type(records, "MX"), DOMAIN, text, head=F.min(F.struct("seq", "rcode")),
+                    **bounds)
+    return listed.filter("head.rcode <> 'nxrrset'").drop("head")
 
 
 def first_of_type(records: DataFrame, rtype: str) -> DataFrame:
@@ -106,46 +98,64 @@ def _item_text() -> Column:
     return text
 
 
-def record_detail(
-    records: DataFrame, domains: DataFrame, max_items: int = LINE_ITEMS, stripe: int = STRIPE
-) -> DataFrame:
-    """(source, domain, part, detail): one line per domain with its records of every type.
+def record_detail(records: DataFrame, domains: DataFrame, stripe: int = STRIPE) -> DataFrame:
+    """(source, domain, detail): one line per domain with its records of every type.
 
     Of a type, the items before its first negative entry are shown, or that entry when it comes
-    first. A list over ``max_items`` goes on in the lines of further parts.
+    first. Items are joined per stripe of lines, up to the stripe's own first negative entry, and
+    then the stripes up to the one where the list stops.
     """
     keys = [*DOMAIN, "rtype"]
-    negative = F.min(F.when(F.col("rcode") != "", F.col("seq")))
-    items = with_parts(records.drop("wire"), keys, {"first": F.min("seq"), "stop": negative},
-                       max_items, stripe)
-    lists = items.groupBy(*keys, "part").agg(
-        F.coalesce(F.max("first"), F.min("seq")).alias("first"),
-        F.coalesce(F.max("stop"), negative).alias("stop"),
-        F.array_sort(F.collect_list(F.struct("seq", _item_text().alias("text")))).alias("items"),
-    )
-    shown = F.filter("items", lambda x: F.col("stop").isNull() | (x["seq"] < F.col("stop"))
-                     | ((x["seq"] == F.col("stop")) & (F.col("stop") == F.col("first"))))
-    texts = lists.select(
-        *DOMAIN, "part", "rtype",
-        F.concat(F.lit("["), F.array_join(F.transform(shown, lambda x: x["text"]), " "),
-                 F.lit("]")).alias("text"),
-    )
-    bare = domains.select(*DOMAIN, F.lit(0).cast("bigint").alias("part"))
-    every = texts.unionByName(bare, allowMissingColumns=True).groupBy(*DOMAIN, "part").agg(
+    negative = F.when(F.col("rcode") != "", F.col("seq"))
+    pieces = records.drop("wire").withColumn("text", _item_text()).groupBy(
+        *keys, stripe_of(F.col("seq"), stripe).alias("stripe")).agg(
+        F.min("seq").alias("first"), F.min(negative).alias("stop"),
+        F.min_by("text", negative).alias("stop_text"),
+        F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("items"))
+    shown = F.filter("items", lambda x: F.col("stop").isNull() | (x["seq"] < F.col("stop")))
+    pieces = pieces.withColumn("piece", F.when(F.size(shown) > 0, F.array_join(
+        F.transform(shown, lambda x: x["text"]), " "))).drop("items")
+    lists = pieces.groupBy(*keys).agg(
+        F.min("first").alias("first"), F.min("stop").alias("stop"),
+        F.min_by("stop_text", "stop").alias("stop_text"),
+        F.array_sort(F.collect_list(F.struct("stripe", "piece"))).alias("pieces"))
+    before = F.filter("pieces", lambda x: x["piece"].isNotNull() & (
+        F.col("stop").isNull() | (x["stripe"] <= stripe_of(F.col("stop"), stripe))))
+    text = F.when(F.col("first") == F.col("stop"), F.col("stop_text")).otherwise(
+        F.array_join(F.transform(before, lambda x: x["piece"]), " "))
+    texts = lists.select(*DOMAIN, "rtype", F.concat(F.lit("["), text, F.lit("]")).alias("text"))
+    every = texts.unionByName(domains.select(*DOMAIN), allowMissingColumns=True).groupBy(*DOMAIN).agg(
         *(F.coalesce(F.max(F.when(F.col("rtype") == t, F.col("text"))), F.lit("[]")).alias(t)
           for _, t, _ in DETAIL)
     )
-    pieces: list[Column] = []
+    cells: list[Column] = []
     for i, (name, rtype, _) in enumerate(DETAIL):
-        before = "" if i == 0 else "," if name == "TYPE64" else ", "
-        pieces += [F.lit(f"{before}{name}: "), F.col(rtype)]
-    return every.select(*DOMAIN, "part", F.concat(*pieces).alias("detail"))
+        sep = "" if i == 0 else "," if name == "TYPE64" else ", "
+        cells += [F.lit(f"{sep}{name}: "), F.col(rtype)]
+    return every.select(*DOMAIN, F.concat(*cells).alias("detail"))
+
+
+def nested_records(records: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row per domain with a list of structs for each record type, in line order.
+
+    A list is one cell, so Spark's limit on a row (2 GB) bounds the records of a domain here; the
+    record table itself has no such limit.
+    """
+    item = F.struct("seq", "ttl", "attribute", "rcode", "rdata", "priority")
+    lists = records.groupBy(*DOMAIN).agg(*(
+        F.array_sort(F.collect_list(F.when(F.col("rtype") == t, item))).alias(name)
+        for name, t, _ in DETAIL))
+    names = [name for name, _, _ in DETAIL]
+    joined_lists = domains.select(*DOMAIN).distinct().join(lists, DOMAIN, "left")
+    return joined_lists.select(
+        *DOMAIN, *(F.coalesce(name, F.array().cast(lists.schema[name].dataType)).alias(name)
+                   for name in names))
 
 
 def lookup(
     probes: DataFrame, records: DataFrame, domains: DataFrame, **bounds: int
 ) -> DataFrame:
-    """(domain, found, part, text) for every probed name, found or not.
+    """(domain, found, text) for every probed name, found or not.
 
     Only the records of probed names are read on.
     """
@@ -155,7 +165,7 @@ def lookup(
         **bounds)
     found = F.col("detail").isNotNull()
     return names.join(detail, "domain", "left").select(
-        "source", "domain", found.alias("found"), F.coalesce("part", F.lit(0)).alias("part"),
+        "source", "domain", found.alias("found"),
         F.when(found, F.concat(F.lit("Domain ("), F.col("domain"), F.lit("): "), F.col("detail")))
         .otherwise(F.concat(F.lit(C.NOT_FOUND), F.col("domain"))).alias("text"),
     )

@@ -209,7 +209,7 @@ def _sql(select: str, *more: str) -> str:
 
 
 def _report(source: str) -> str:
-    return _sql(f"SELECT domain, CAST(0 AS BIGINT) AS part, value FROM {source}")
+    return _sql(f"SELECT domain, value FROM {source}")
 
 
 SPF = "(SELECT domain, value FROM txt WHERE c % 6 <= 1)"
@@ -331,12 +331,23 @@ UNION ALL SELECT 'ns_ip', ip FROM (SELECT DISTINCT ip FROM address)
 """
 
 BLOCKS = """
-SELECT domain || ' NS不一致：ns（192.0.2.53）结果-[' || any_value(expected_a) || ']-[]' AS line
-FROM differ GROUP BY domain
-UNION ALL SELECT repeat(' ', length(domain) + 10) || 'ns（' || ns || '）结果-[' || actual_a || ']-[]'
-FROM differ
+odd AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY pos) AS place FROM differ)
+SELECT domain, 0 AS place,
+  domain || ' NS不一致：ns（192.0.2.53）结果-[' || any_value(expected_a) || ']-[]' AS line
+FROM odd GROUP BY domain
+UNION ALL SELECT domain, place,
+  repeat(' ', length(domain) + 10) || 'ns（' || ns || '）结果-[' || actual_a || ']-[]' FROM odd
+UNION ALL SELECT domain, max(place) + 1, '' FROM odd GROUP BY domain
 """
 
+NESTED = "SELECT o.domain, " + ", ".join(
+    f"""coalesce(string_agg(concat_ws(' ', ttl, attribute, rcode, rdata, priority), ','
+      ORDER BY pos) FILTER (rtype = '{t}'), '') AS "{name}" """
+    for name, t in (("NSs", "NS"), ("As", "A"), ("AAAAs", "AAAA"), ("ANY", "ANY"),
+                    ("TYPE65", "TYPE65"), ("TYPE64", "TYPE64"), ("CNAME", "CNAME"), ("MX", "MX"),
+                    ("PTR", "PTR"), ("TXT", "TXT"))
+) + " FROM owner o LEFT JOIN rec r ON r.domain = o.domain GROUP BY o.domain"
+
 RECORD_COLUMNS = "domain, rtype, ttl, attribute, rcode, rdata, priority"
 
 ORACLES: dict[str, str] = {
@@ -355,17 +366,18 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (rcode = 'nxrrset') AS nxrrset FROM neg"""),
     "negative_domains": _sql("SELECT domain, rcode FROM neg"),
     "domain_lookup": _sql("""
-        SELECT domain, true AS found, CAST(0 AS BIGINT) AS part,
+        SELECT domain, true AS found,
                'Domain (' || domain || '): ' || detail AS text
         FROM detail WHERE domain = 'z1.example.'"""),
     "bulk_lookup": _sql("""
-        SELECT p.domain, d.domain IS NOT NULL AS found, CAST(0 AS BIGINT) AS part,
+        SELECT p.domain, d.domain IS NOT NULL AS found,
                CASE WHEN d.domain IS NULL THEN '未找到域名: ' || p.domain
                  ELSE 'Domain (' || p.domain || '): ' || detail END AS text
         FROM probe p LEFT JOIN detail d ON d.domain = p.domain""", LOOKUP),
     "domain_ns": _report(
         "(SELECT domain, string_agg(ns, ',' ORDER BY pos) AS value FROM zone_ns GROUP BY domain)"),
-    "record_detail": _sql("SELECT domain, CAST(0 AS BIGINT) AS part, detail FROM detail"),
+    "record_detail": _sql("SELECT domain, detail FROM detail"),
+    "nested_records": _sql(NESTED),
     "https_report": _sql("SELECT domain, value FROM https_text"),
     "type64_report": _sql(f"SELECT domain, value FROM {TYPE64}"),
     "svcb_params": _sql("""
@@ -386,8 +398,7 @@ ORACLES: dict[str, str] = {
     "ns_address_join": _sql("SELECT domain, ns, rtype, ip FROM address"),
     "ns_ip_list": _sql("SELECT DISTINCT ip FROM address"),
     "ns_ip_domains": _sql("""
-        SELECT ip, count(*) AS n_domains, CAST(0 AS BIGINT) AS part,
-               string_agg(domain, '|' ORDER BY domain) AS domains FROM address GROUP BY ip"""),
+        SELECT ip, count(*) OVER (PARTITION BY ip) AS n_domains, domain FROM address"""),
     "ip_ranges": _sql("""
         SELECT client, 4 AS family, (net // 16777216) || '.' || ((net // 65536) % 256) || '.'
           || ((net // 256) % 256) || '.' || (net % 256) || '/' || plen AS network, plen FROM network
@@ -429,5 +440,5 @@ ORACLES: dict[str, str] = {
     "parent_child_file": _sql("""
         SELECT domain || '|[' || replace(child_ns, ',', ' ') || ']|[' || replace(parent_ns, ',', ' ')
           || ']' AS line FROM traced WHERE mismatch""", RESPONSES),
-    "ns_disagreement_file": _sql(BLOCKS, RESPONSES),
+    "ns_disagreement_file": _sql(BLOCKS.split("\n", 2)[2], RESPONSES, BLOCKS.split("\n", 2)[1]),
 }

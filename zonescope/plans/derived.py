@@ -129,7 +129,7 @@ def host_lines(orders: DataFrame) -> DataFrame:
             _line(owner, "\t", ttl, "\tTYPE65\t\\# ", _str(F.floor(F.length(wire) / 2)), " ( ",
                   F.substring(wire, 1, 8)),
             _line("\t\t\t\t\t", F.substring(wire, 9, 8)),
-            _line("\t\t\t\t\t", F.substring(wire, 17, 4000), " )")))
+            _line("\t\t\t\t\t", F.substring(wire, F.lit(17), F.length(wire)), " )")))
         .otherwise(_text(_line(owner, "\t", ttl, "\t\\-TYPE65\t;-$NXRRSET"),
                          _line("\t\t\t", ttl, "\t\\-TYPE64\t;-$NXRRSET"))),
         F.when(kind == 1, _line("\t\t\t", ttl, "\tAAAA\t", _v6("2001:db8:1", o))),

@@ -12,7 +12,7 @@ from zonescope.functions.text import bracketed
 def bar_lines(report: DataFrame, *columns: str) -> DataFrame:
     """The columns joined with bars, NULL as nothing."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    return report.select(F.concat_ws("|", *cells).alias("line"))
+    return report.select("source", F.concat_ws("|", *cells).alias("line"))
 
 
 def report_lines(report: DataFrame) -> DataFrame:
@@ -20,14 +20,16 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 
 def ip_lines(ips: DataFrame) -> DataFrame:
-    return ips.select(F.col("ip").alias("line"))
+    return ips.select("source", F.col("ip").alias("line"))
 
 
 def ownership_lines(ownership: DataFrame) -> DataFrame:
-    """CSV without quoting, with a header line."""
-    header = ownership.sparkSession.createDataFrame([(C.OWNERSHIP_HEADER,)], "line string")
-    return header.unionByName(ownership.select(F.concat_ws(
-        ",", "client", "ip", F.col("n_domains").cast("string"), "domains").alias("line")))
+    """CSV without quoting; ``place`` 0 is the header line of each source."""
+    rows = ownership.select("source", F.lit(1).alias("place"), F.concat_ws(
+        ",", "client", "ip", F.col("n_domains").cast("string"), "domains").alias("line"))
+    header = ownership.select("source").distinct().select(
+        "source", F.lit(0).alias("place"), F.lit(C.OWNERSHIP_HEADER).alias("line"))
+    return header.unionByName(rows)
 
 
 def failing_lines(failing: DataFrame) -> DataFrame:
@@ -35,32 +37,42 @@ def failing_lines(failing: DataFrame) -> DataFrame:
 
 
 def parent_child_lines(mismatch: DataFrame) -> DataFrame:
-    return mismatch.select(F.concat_ws(
+    return mismatch.select("source", F.concat_ws(
         "|", "domain", bracketed(F.col("child_ns")), bracketed(F.col("parent_ns"))).alias("line"))
 
 
 def disagreement_lines(disagreement: DataFrame, resolver: str) -> DataFrame:
-    """One block of lines per domain: the expected answer, then one line per odd name server.
+    """One block of lines per domain: the expected answer, one line per odd name server, a blank.
 
-    The name-server lines are single rows, numbered by ``seq``, so a domain with very many of
-    them is never gathered. ``line_no`` 0 is the head line.
+    A name-server line does not name its domain: its place in the block does. The lines are single
+    rows with a place (0 for the head line), so a domain with very many is never gathered.
     """
     def result(server, a, cname):
         return F.format_string(C.NS_RESULT, server, bracketed(a), bracketed(cname))
 
-    head = disagreement.groupBy("source", "domain").agg(
-        F.first("expected_a").alias("a"), F.first("expected_cname").alias("c")
-    ).select("source", "domain", F.lit(0).cast("bigint").alias("line_no"), F.concat(
-        "domain", F.lit(C.NS_DIFFERS), result(F.lit(resolver), F.col("a"), F.col("c"))
-    ).alias("line"))
+    heads = disagreement.groupBy("source", "domain").agg(
+        F.first("expected_a").alias("a"), F.first("expected_cname").alias("c"),
+        F.max("seq").alias("last"))
+    head = F.concat("domain", F.lit(C.NS_DIFFERS), result(F.lit(resolver), F.col("a"), F.col("c")))
+    ends = F.explode(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("place"), head.alias("line")),
+        F.struct((F.col("last") + 1).alias("place"), F.lit("").alias("line")))).alias("end")
+    outer = heads.select("source", "domain", ends).select("source", "domain", "end.*")
     indent = F.repeat(F.lit(" "), F.octet_length("domain") + 10)
-    odd = disagreement.select("source", "domain", F.col("seq").alias("line_no"), F.concat(
+    odd = disagreement.select("source", "domain", F.col("seq").alias("place"), F.concat(
         indent, result(F.col("ns"), F.col("actual_a"), F.col("actual_cname"))).alias("line"))
-    return head.unionByName(odd)
+    return outer.unionByName(odd)
 
 
 def write_lines(lines: DataFrame, path: str, run: str) -> str:
-    """Write the ``line`` column under ``path/run=<run>`` and return that folder."""
+    """Write the lines under ``path/run=<run>``, a folder ``source=<source>`` for each dump.
+
+    Lines with a ``place`` are written in order: by source, domain where they have one, and place,
+    through the files of a source in name order. Returns the folder of the run.
+    """
     folder = f"{path}/run={run}"
-    lines.select("line").write.text(folder)
+    order = [c for c in ("source", "domain", "place") if c in lines.columns]
+    if "place" in order:
+        lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("source", "line").write.partitionBy("source").text(folder)
     return folder

@@ -10,9 +10,10 @@ from zonescope.sources.dump import bounded_line, text_lines
 
 
 def scan_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, range, client). ``line_no`` rises in file order; it need not be dense."""
+    """(line_no, range, client). ``line_no`` is (file, block, place) and so in file order."""
     lines = text_lines(spark, path).select(
-        F.monotonically_increasing_id().alias("line_no"),
+        F.struct("file", "block_start", F.monotonically_increasing_id().alias("place")).alias(
+            "line_no"),
         F.regexp_replace(bounded_line(F.col("line"), C.MAX_RANGE_LINE), r"\r\z", "").alias("line"),
     )
     return split_ranges(lines)
