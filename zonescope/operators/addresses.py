@@ -9,6 +9,7 @@ from zonescope import constants as C
 from zonescope.functions import ip
 from zonescope.operators.joins import ROWS_PER_TASK, spread_join
 from zonescope.operators.reports import of_type
+from zonescope.plans.workspace import written
 
 
 def ns_addresses(
@@ -49,8 +50,10 @@ def ip_domains(addresses: DataFrame) -> DataFrame:
 
     A domain is repeated when several of its name servers share the address.
     """
+    counts = written(ip_counts(addresses), "ip-counts")
     return spread_join(
-        addresses, ip_counts(addresses), ["source", "ip"], row_id=["domain", "seq", "ns"]
+        addresses, counts, ["source", "ip"], row_id=["domain", "seq", "ns"],
+        counts=counts.withColumnRenamed("n_domains", "n"),
     ).select("source", "ip", "n_domains", "domain")
 
 
@@ -130,6 +133,7 @@ def attribute_ips(
     masked = parsed.join(F.broadcast(lengths), "family").withColumn(
         "net", ip.masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("plen"))
     ).select("ip", "family", "plen", "net.hi", "net.lo")
+    masked = written(masked, "masked")  # read for the hot networks and for the join
     best = spread_join(
         masked, unique, ["family", "plen", "hi", "lo"], row_id=["ip"], rows_per_task=rows_per_task
     ).groupBy("ip").agg(
@@ -146,10 +150,11 @@ def ns_ownership(addresses: DataFrame, networks: DataFrame) -> DataFrame:
 
     Addresses are counted first; lists are built only for the ones that show theirs.
     """
-    counts = ip_counts(addresses)
+    counts = written(ip_counts(addresses), "ip-counts")
     shown = counts.filter(F.col("n_domains") <= C.LIST_LIMIT).select("source", "ip")
     lists = spread_join(
-        addresses, shown, ["source", "ip"], "left_semi", ["domain", "seq", "ns"]
+        addresses, shown, ["source", "ip"], "left_semi", ["domain", "seq", "ns"],
+        counts=counts.withColumnRenamed("n_domains", "n"),
     ).groupBy("source", "ip").agg(
         F.array_join(F.array_sort(F.collect_list("domain")), "|").alias("domains"))
     return counts.join(lists, ["source", "ip"], "left").join(

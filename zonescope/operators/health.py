@@ -126,15 +126,19 @@ def failing_negatives(
 
 
 def chase_cnames(
-    answers: DataFrame, limit: int = C.CNAME_LIMIT, rows_per_task: int = ROWS_PER_TASK
+    answers: DataFrame, limit: int = C.CNAME_LIMIT, rows_per_task: int = ROWS_PER_TASK,
+    asked_for: DataFrame | None = None,
 ) -> DataFrame:
     """(server, qname, rr_a, rr_cname, hops): each answer after following its first CNAME at the
     same server, ``limit`` times at most. A name without a reply ends the chain with empty lists.
 
     Only names that are still aliases are joined again, and the loop ends when none is left.
+    ``asked_for`` (server, qname) limits the chains to those that start there.
     """
     replies = answers.select("server", "qname", "rr_a", "rr_cname")
     reached = replies.withColumn("hops", F.lit(0))
+    if asked_for is not None:
+        reached = reached.join(asked_for, ["server", "qname"], "left_semi")
     done = reached.filter(F.size("rr_cname") == 0)
     waiting = reached.filter(F.size("rr_cname") > 0)
     target = replies.select(
@@ -167,12 +171,16 @@ def ns_disagreement(
         fully_qualified(F.col("domain")).alias("qname"))
     expected = answers(responses.filter(F.col("server") == resolver), attempts=2).select(
         "qname", F.col("rr_a").alias("expected_a"), F.col("rr_cname").alias("expected_cname"))
-    actual = chase_cnames(written(answers(responses), "answers"), rows_per_task=rows_per_task).select(
+    asked_for = pairs.select(F.col("ns").alias("server"), "qname").distinct()
+    actual = chase_cnames(
+        written(answers(responses), "answers"), rows_per_task=rows_per_task, asked_for=asked_for,
+    ).select(
         F.col("server").alias("ns"), "qname", F.col("rr_a").alias("actual_a"),
         F.col("rr_cname").alias("actual_cname"))
     both = spread_join(
         spread_join(pairs, actual, ["ns", "qname"], "left", ["seq"], rows_per_task),
-        expected, ["qname"], "left", ["source", "seq"], rows_per_task)
+        expected, ["qname"], "left", ["source", "seq"], rows_per_task,
+        counts=pairs.groupBy("qname").agg(F.count("*").alias("n")))
     lists = ["expected_a", "expected_cname", "actual_a", "actual_cname"]
     both = both.select("source", "domain", "seq", "ns",
                        *(F.coalesce(c, no_items()).alias(c) for c in lists))

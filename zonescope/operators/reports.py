@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zonescope import constants as C
 from zonescope.operators.lists import joined, stripe_of
 from zonescope.operators.parse import STRIPE
+from zonescope.sources.responses import probe_names
 
 DOMAIN = ["source", "domain"]
 
@@ -159,7 +160,7 @@ def lookup(
 
     Only the records of probed names are read on.
     """
-    names = probes.select("domain").distinct()
+    names = probe_names(probes)
     detail = record_detail(
         records.join(names, "domain", "left_semi"), domains.join(names, "domain", "left_semi"),
         **bounds)

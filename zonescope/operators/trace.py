@@ -88,8 +88,11 @@ def delegation_trace(
     address = {"A": "rr_a", "AAAA": "rr_aaaa"}.get(qtype)
     walkers = names.select("domain", F.col("domain").alias("name")).distinct()
     for _ in range(depth + 1):
+        # A name keeps its question over all hops: the hops read the replies to these names only.
+        wanted = walkers.select(fully_qualified(F.col("name")).alias("qname")).distinct()
+        asked = written(replies.join(wanted, "qname", "left_semi"), "asked")
         outcomes = _walk(
-            walkers.select("name").distinct(), replies, root["auth_ns"], address, hops, stop_on_rcode)
+            walkers.select("name").distinct(), asked, root["auth_ns"], address, hops, stop_on_rcode)
         reached = written(spread_join(
             walkers, outcomes, ["name"], row_id=["domain"], rows_per_task=rows_per_task), "trace")
         results = results.unionByName(reached.filter("outcome = 'end'").select(
