@@ -127,25 +127,27 @@ def one_edit(a: Column, b: Column) -> Column:
     ``one`` with at most one. A character that fits keeps a bit; an edit keeps it (replaced), moves
     it down (only in b) or up (only in a).
     """
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
-
-    def step(state: Column, at: Column) -> Column:
-        char = F.get(chars_b, at)
-        fits = sum((F.when(F.get(chars_a, at + (d - 1)) == char, F.lit(1 << d)).otherwise(0)
-                    for d in range(3)), F.lit(0)).cast("long")
-        none = state["none"].bitwiseAND(fits)
-        edited = state["none"].bitwiseOR(F.shiftright(state["none"], 1))
-        one = state["one"].bitwiseAND(fits).bitwiseOR(edited).bitwiseOR(
-            F.shiftleft(none, 1)).bitwiseAND(F.lit(7).cast("long"))
-        return F.struct(none.alias("none"), one.alias("one"))
-
-    start = F.struct(F.lit(2).cast("long").alias("none"), F.lit(6).cast("long").alias("one"))
+    def read(pair: Column) -> Column:
+        def step(state: Column, at: Column) -> Column:
+            char = F.get(pair["b"], at)
+            fits = sum((F.when(F.get(pair["a"], at + (d - 1)) == char, F.lit(1 << d)).otherwise(0)
+                        for d in range(3)), F.lit(0)).cast("long")
+            none = state["none"].bitwiseAND(fits)
+            edited = state["none"].bitwiseOR(F.shiftright(state["none"], 1))
+            one = state["one"].bitwiseAND(fits).bitwiseOR(edited).bitwiseOR(
+                F.shiftleft(none, 1)).bitwiseAND(F.lit(7).cast("long"))
+            return F.struct(none.alias("none"), one.alias("one"))
+
+        start = F.struct(F.lit(2).cast("long").alias("none"), F.lit(6).cast("long").alias("one"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(pair["b"]) - 1), start, step,
+                           lambda s: s["one"])
+
+    # The characters are bound to a lambda's variable, so they are cut once and not at every step.
+    chars = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
     ends = F.length(a) - F.length(b)
-    read = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), start, step,
-                       lambda s: s["one"])
-    return (F.abs(ends) <= 1) & (F.when(F.length(b) > 0, F.call_function(
-        "shiftright", read, ends + 1).bitwiseAND(
-        F.lit(1).cast("long")) == 1).otherwise(F.length(a) <= 1))
+    last = F.call_function("shiftright", F.transform(chars, read)[0], ends + 1)
+    return (F.abs(ends) <= 1) & F.when(F.length(b) > 0, last.bitwiseAND(
+        F.lit(1).cast("long")) == 1).otherwise(F.length(a) <= 1)
 
 
 def linked_lines(first: DataFrame, lines: DataFrame) -> DataFrame:
