@@ -48,8 +48,10 @@ MISS = 1e-6
 BLOCK = 256
 #: A component with this many members in a bucket gets blocks of its own.
 POOLED = 64
-CACHE = 500_000
+CACHE = 200_000
 CHUNK = 2048
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _random = np.random.default_rng(20_250_101)
@@ -103,6 +105,12 @@ def band_hashes(least: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sliced(column: pa.Array):
+    """The values as bytes, a slice at a time."""
+    for at in range(0, len(column), SLICE):
+        yield from column.slice(at, SLICE).cast(pa.large_binary()).to_pylist()
+
+
 SKETCH = "struct<n: bigint, key: binary, bands: array<bigint>, sig: binary>"
 
 
@@ -110,7 +118,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(id, n, key, bands, sig): set size and digest, buckets, bytes to compare."""
     def sketch(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.cast(pa.large_binary()).to_pylist():
+        for t in sliced(texts):
             found = shingles(t, width)
             if not len(found):
                 out.append({"n": 0, "key": None, "bands": None, "sig": None})
@@ -179,12 +187,11 @@ def verified(
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
 
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t, width).tobytes()
-                         for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
+        return pa.array((shingles(t, width).tobytes() for t in sliced(texts)), pa.binary())
 
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        for x, y in zip(sliced(a), sliced(b), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
