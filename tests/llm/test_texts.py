@@ -134,7 +134,8 @@ def test_bpe_equals_the_tokenizer_and_decodes(spark, texts, vocabulary, referenc
     docs, shared = frame(spark, texts), bpe.shared(spark, vocabulary)
     encoded = bpe.encode(docs, shared)
     got = {r.doc_id: r for r in bpe.decode(encoded, shared).collect()}
-    digests = {r.doc_id: r.digest for r in bpe.round_trip(docs, shared, with_ids=True).collect()}
+    digests = {r.doc_id: r.digest for r in bpe.round_trip(
+        docs, shared, with_ids=True, cache=100).collect()}
     for i, t in enumerate(texts):
         want = reference.encode_ordinary(t or "")
         assert got[i].ids == want and bytes(got[i].bytes) == (t or "").encode(), repr(t)[:80]
@@ -146,11 +147,10 @@ def test_bpe_equals_the_tokenizer_and_decodes(spark, texts, vocabulary, referenc
 
 def test_bpe_long_words_and_small_caches(vocabulary, reference, monkeypatch):
     rng = random.Random(6)
-    monkeypatch.setattr(bpe, "CACHE", 50)
     monkeypatch.setattr(bpe, "GROUP_BYTES", 500)
     words = ["".join(rng.choice("abcdeinst") for _ in range(rng.randint(60, 300))) for _ in range(40)]
     words += ["a" * 999, "aab" * 300, "é" * 500, "=" * 1000, "1" * 700]
-    codec = bpe.Codec(vocabulary)
+    codec = bpe.Codec(vocabulary, cache=50)
     rows = codec.encode(words + [" ".join(words)] + words)
     for word, row in zip(words, rows, strict=False):
         assert np.frombuffer(row, np.int32).tolist() == reference.encode_ordinary(word)

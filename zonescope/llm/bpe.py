@@ -2,7 +2,7 @@
 
 A task cuts its texts into pre-tokens with the tokenizer's pattern and encodes each distinct one once
 in an in-process DuckDB: rows (word, position, token) join the merge table, a recursive query
-contracts pairs until no word changes, and an ordered aggregation gives the ids. Decoding joins ids
+contracts pairs until no word changes, and the rows in order are the ids. Decoding joins ids
 with the vocabulary and aggregates the bytes in order, once per distinct run of ids.
 
 Each round contracts a word's leftmost pair of least rank, and with it all pairs whose contraction
@@ -36,13 +36,18 @@ from pyspark.sql import functions as F
 
 #: Entries of a cache, bytes of text encoded at a time, and bytes from which a word is long.
 CACHE, GROUP_BYTES, LONG = 600_000, 4 << 20, 64
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 512
 #: Words go to one recursive query up to this many bytes, so its memory is bounded.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 19
 DUCKDB = {"threads": 1, "memory_limit": "2GB", "temp_directory": ""}
 
 #: Where a space has no other white space beside it, a pre-token starts at it, whatever the pattern's
 #: letters and signs are: so such texts are cut at their spaces first.
 SPACES_MEET = re.compile(r" \s|\s ")
+USUAL = "\n\t\r"
+RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in f" {USUAL}"]
+MEETING = ["  ", *(pair for c in USUAL for pair in (f" {c}", f"{c} "))]
 
 ENCODE = """
 WITH RECURSIVE s(k, t, f, l, done) AS (
@@ -73,7 +78,7 @@ WITH RECURSIVE s(k, t, f, l, done) AS (
   after AS (SELECT *, lag(hit) OVER (ORDER BY k) AS gone FROM chosen)
   SELECT k, CASE WHEN hit THEN rank ELSE t END, f, CASE WHEN hit THEN last ELSE l END, done
   FROM after WHERE gone IS NOT TRUE))
-SELECT (k // 2147483648)::INT AS word, list(t ORDER BY k) AS ids FROM s WHERE done GROUP BY 1
+SELECT (k // 2147483648)::INT AS word, t AS id FROM s WHERE done ORDER BY k
 """
 #: Whether the new token joins neither neighbour, whatever they become, under the pair's rank.
 AROUND = """
@@ -135,17 +140,24 @@ def read_ranks(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tuple(ranks[r] for r in range(len(ranks))), pattern, digest)
 
 
+def spaces_meet(text: str) -> bool:
+    """Whether white space stands beside a space; plain searches tell for most texts."""
+    if any(c in text for c in RARE):
+        return SPACES_MEET.search(text) is not None
+    return any(pair in text for pair in MEETING)
+
+
 class Cache(dict):
     """Bounded: when full, it goes back to the keys that were asked for again."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
-        self.again: set = set()
+        self.most, self.again = most, set()
 
     def fresh(self, keys: set) -> set:
         """The keys that are not held; those held stay for what follows."""
-        if len(self) > CACHE:
-            kept = {k: self[k] for k in self.again} if len(self.again) < CACHE // 2 else {}
+        if len(self) > self.most:
+            kept = {k: self[k] for k in self.again} if len(self.again) < self.most // 2 else {}
             kept |= {k: self[k] for k in keys & self.keys()}
             self.again = set()
             self.clear()
@@ -158,13 +170,13 @@ class Cache(dict):
 class Codec:
     """Encodes and decodes batches of one task with bounded caches."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, cache: int = CACHE):
         self.tokens = vocabulary.tokens
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.pattern = regex.compile(vocabulary.pattern)
         self.numerals = [str(i) for i in range(len(self.tokens))]
         self.starts_word = np.array([t[:1] == b" " for t in self.tokens])
-        self.words, self.after_space, self.runs = Cache(), Cache(), Cache()
+        self.words, self.after_space, self.runs = Cache(cache), Cache(cache), Cache(cache)
         self.db = duckdb.connect(":memory:", config=DUCKDB)
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r, t[i - 1], t[i])
                   for t, r in self.ranks.items() for i in range(1, len(t))
@@ -192,13 +204,11 @@ class Codec:
             pa.array(np.frombuffer(b"".join(words), np.uint8)))
         self.db.register("words", pa.table(
             {"word": pa.array(range(len(words)), pa.int64()), "bytes": lists}))
-        found = self.db.sql(query).to_arrow_table().combine_chunks()
+        found = self.db.sql(query).to_arrow_table()
         self.db.unregister("words")
-        order = np.argsort(found["word"].to_numpy())
-        ids = found["ids"].chunk(0)
-        starts = ids.offsets.to_numpy().astype(np.int64) * 4
-        packed = ids.values.to_numpy().astype(np.int32, copy=False).tobytes()
-        for i, j in zip(starts[:-1][order].tolist(), starts[1:][order].tolist(), strict=True):
+        starts = np.searchsorted(found["word"].to_numpy(), np.arange(len(words) + 1)) * 4
+        packed = found["id"].to_numpy().astype(np.int32, copy=False).tobytes()
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             yield packed[i:j]
 
     def learn(self, words: set[str]) -> None:
@@ -225,7 +235,7 @@ class Codec:
     def encode_group(self, texts: list[str | None]) -> list[bytes]:
         find, cut = self.pattern.findall, []
         for text in texts:
-            if not text or SPACES_MEET.search(text):
+            if not text or spaces_meet(text):
                 cut.append((find(text or ""), []))
             else:
                 head, *rest = text.split(" ")
@@ -284,15 +294,15 @@ def by_size(items: list, size, most: int) -> Iterator[list]:
         yield part
 
 
-#: The codec of a worker process, by the digest of its vocabulary.
-_codecs: dict[str, Codec] = {}
+#: The codec of a worker process, by the digest of its vocabulary and the size of its caches.
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(vocabulary: Broadcast) -> Codec:
-    key = vocabulary.value.digest
+def codec(vocabulary: Broadcast, cache: int = CACHE) -> Codec:
+    key = vocabulary.value.digest, cache
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(vocabulary.value)
+        _codecs[key] = Codec(vocabulary.value, cache)
     return _codecs[key]
 
 
@@ -324,28 +334,33 @@ def decode(rows: DataFrame, vocabulary: Broadcast, ids: str = "ids", to: str = "
 
 def round_trip(
     docs: DataFrame, vocabulary: Broadcast, text: str = "text", to: str = "digest",
-    with_ids: bool = False,
+    with_ids: bool = False, cache: int = CACHE,
 ) -> DataFrame:
     """The documents with a struct of the number of ids and digests of ids and decoded bytes.
 
-    Encodes and decodes in one pass; the ids themselves leave the task only if asked for.
+    Encodes and decodes in one pass, a slice of a batch at a time; the ids themselves leave the task
+    only if asked for. ``cache`` bounds the entries of each cache of a worker, about 200 bytes each.
     """
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string())]
 
-    def digests(texts: pa.Array) -> pa.Array:
-        own, out, packed = codec(vocabulary), [], []
-        for group in by_size(texts.to_pylist(), lambda t: len(t or ""), GROUP_BYTES):
-            for row, raw in zip(rows := own.encode(group), own.decode(rows), strict=True):
-                ids = np.frombuffer(row, np.int32).tolist()
-                listed = ",".join([own.numerals[i] for i in ids])
-                out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
-                            hashlib.sha256(raw).hexdigest()))
-            packed += rows if with_ids else []
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(vocabulary, cache)
+        for texts in batches:
+            for at in range(0, max(1, len(texts)), SLICE):
+                yield digest(own, texts.slice(at, SLICE).to_pylist())
+
+    def digest(own: Codec, texts: list[str | None]) -> pa.Array:
+        rows, out = own.encode(texts), []
+        for row, raw in zip(rows, own.decode(rows), strict=True):
+            ids = np.frombuffer(row, np.int32).tolist()
+            listed = ",".join([own.numerals[i] for i in ids])
+            out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
+                        hashlib.sha256(raw).hexdigest()))
         columns = [pa.array([row[i] for row in out], kind) for i, (_, kind) in enumerate(fields)]
         names = [name for name, _ in fields]
         if with_ids:
-            columns, names = [*columns, id_lists(packed)], [*names, "ids"]
+            columns, names = [*columns, id_lists(rows)], [*names, "ids"]
         return pa.StructArray.from_arrays(columns, names=names)
     kind = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (
         ", ids: array<int>" if with_ids else "")
