@@ -10,11 +10,13 @@ representatives into buckets. Verification is in two passes:
    verified on the full sets, and what they link becomes a component.
 2. All pairs of a bucket that are still in different components are compared. Members meet in blocks
    of bounded size, one row per pair of blocks, and blocks within one component are skipped, so that
-   a large group of copies costs no pair per pair of members. Survivors are verified on the full
-   sets, the best per representative and component first; pairs whose components were joined by
-   then need no more.
+   a large group of copies costs no pair per pair of members. Shingles that no other member has are
+   counted: with u and v of them, and at most c others in common, a pair's similarity is at most
+   c / (c + u + v), which is about exact for copies that were edited apart. Survivors are verified on
+   the full sets, the best per pair of components first; pairs whose components were joined by then
+   need no more.
 
-Nothing is capped: a pair that shares a band and is not dropped by the posterior bound ends in one
+Nothing is capped: a pair that shares a band and is not dropped by one of the two bounds ends in one
 component or is verified. With 40 bands of 5 values a pair of similarity 0.8 shares no band with
 probability 1.2e-7.
 
@@ -210,10 +212,24 @@ def best(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.max(F.struct("matches", "a", "b")).alias("p")).select("p.*")
 
 
-def block_pairs(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
+def own_shingles(
+    ids: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
+) -> DataFrame:
+    """(id, alone): how many shingles of a document no other of ``ids`` has; no row for none."""
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array((shingles(t, width).view(np.int64) for t in sliced(texts)),
+                        pa.list_(pa.int64()))
+    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(
+        ids, "id", "left_semi")
+    each = found.select("id", F.explode(F.arrow_udf(hashes, "array<bigint>")("t")).alias("h"))
+    owners = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return owners.filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def block_pairs(members: DataFrame, rule: list[tuple[int, int]], percent: int) -> DataFrame:
     """(a, b, matches) of surviving pairs that share a bucket but no component.
 
-    ``members`` is (band, id, component, sig) for the buckets that hold several components.
+    ``members`` is (band, id, component, sig, n, alone) for the buckets that hold several components.
     """
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     pools = written(sizes.select("band", "component", F.when(
@@ -222,7 +238,7 @@ def block_pairs(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
     placed = members.join(pools.drop("n"), ["band", "component"]).join(pool_sizes, ["band", "pool"])
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col("size") / BLOCK)).cast("int")
     blocks = written(placed.withColumn("block", block).groupBy("band", "pool", "block").agg(
-        F.collect_list(F.struct("id", "component", "sig")).alias("rows")), "near-blocks")
+        F.collect_list(F.struct("id", "component", "sig", "n", "alone")).alias("rows")), "near-blocks")
     within = blocks.filter((F.col("pool") == -1) & (F.size("rows") > 1)).select(
         F.col("rows").alias("x"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))
     left, right = blocks.alias("l"), blocks.alias("r")
@@ -241,7 +257,9 @@ def block_pairs(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
                 meet = one[1][:, None] != two[1][None, :]
                 if not y.is_valid:
                     meet = np.triu(meet, 1)
-                i, j = np.nonzero(meet)
+                alone = one[4][:, None] + two[4][None, :]
+                shared = np.minimum.outer(one[3] - one[4], two[3] - two[4])
+                i, j = np.nonzero(meet & (100 * shared >= percent * (shared + alone)))
                 for at in range(0, len(i), 1 << 16):
                     p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
                     matches = surviving(one[2][p], two[2][q], rule)
@@ -256,10 +274,11 @@ def block_pairs(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
-def block_arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_arrays(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
     values = rows.values
     return (values.field("id").to_numpy(), values.field("component").to_numpy(),
-            signature_rows(values.field("sig")))
+            signature_rows(values.field("sig")), values.field("n").to_numpy(),
+            values.field("alone").to_numpy())
 
 
 def near_duplicates(
@@ -272,7 +291,7 @@ def near_duplicates(
     reps = written(known.groupBy("key").agg(F.min("id").alias("rep")), "near-reps")
     chosen = written(known.join(reps.select(F.col("key").alias("k"), "rep"), (
         F.col("key") == F.col("k")) & (F.col("id") == F.col("rep"))).select(
-        "id", "bands", "sig").dropDuplicates(["id", "sig"]), "near-chosen")
+        "id", "n", "bands", "sig").dropDuplicates(["id", "sig"]), "near-chosen")
     sigs = chosen.select("id", "sig")
     banded = chosen.select("id", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(
@@ -295,9 +314,17 @@ def near_duplicates(
     open_buckets = written(labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).filter(
         "low < high").select("band"), "near-open")
-    members = written(labelled.join(open_buckets, "band", "left_semi").join(
-        sigs, "id").select("band", "id", "component", "sig"), "near-members")
-    rest = written(block_pairs(members, rule), "near-rest")
+    near = written(labelled.join(open_buckets, "band", "left_semi"), "near-meeting")
+    ids = written(near.select("id").distinct(), "near-meeting-ids")
+    alone = written(own_shingles(ids, docs, doc_id, text, width), "near-alone")
+    # An id with several texts counts none as its own, as the bound is for one set.
+    single = table.join(ids, "id", "left_semi").groupBy("id").agg(
+        F.count_distinct("key").alias("sets")).filter("sets = 1").join(alone, "id")
+    known = written(chosen.select("id", "n", "sig").join(ids, "id", "left_semi").join(
+        single, "id", "left").select(
+        "id", "n", "sig", F.coalesce("alone", F.lit(0)).alias("alone")), "near-known")
+    members = written(near.join(known, "id"), "near-members")
+    rest = written(block_pairs(members, rule, percent), "near-rest")
     done = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-open-pairs")
 
     for last in (False, False, True):
