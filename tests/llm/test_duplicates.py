@@ -83,6 +83,44 @@ def test_lines_equal_brute_force(spark, monkeypatch):
     assert cleaned[None] == docs[0][1] and cleaned[900] is None
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowd", [3, 16])
+def test_lines_a_few_edits_apart_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    rng = random.Random(9)
+    base = ["".join(rng.choice(ALPHABET) for _ in range(rng.choice([24, 47, 48, 71, 72, 95, 96, 99, 130])))
+            for _ in range(12)]
+    own = []
+    for i in range(130):
+        x = base[0] if i < 40 else rng.choice(base)
+        for _ in range(rng.randint(0, 7)):
+            x = edited(rng, x)
+        own.append(x)
+    own = [x for x in own if len(x) >= lines.MIN_CHARS]
+
+    def linked(a, b):
+        most = max(1, min(4, min(len(a), len(b)) // 24))
+        return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    label, seen, equal, want = classes(sorted(set(own)), linked), set(), set(), set()
+    for i, x in enumerate(own):
+        if label[x] in seen:
+            want.add((i, 0, x not in equal))
+        seen.add(label[x])
+        equal.add(x)
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in lines.dropped_lines(df, max_edits=4).collect()}
+    assert got == want and len(got) > lines.dropped_lines(df).count()
+
+
 def test_lines_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dropped_lines(df).count() == 0

@@ -1,17 +1,18 @@
-"""Drop lines that an earlier document or place has, equal or one edit away; DataFrame operations only.
+"""Drop lines that an earlier document or place has, equal or a few edits away; DataFrame operations only.
 
 Lines of ``min_chars`` characters or more are compared; shorter ones always stay. Equal lines are one
-node from the start. One edit leaves one of two segments as it is, so a line is listed under both
-halves of itself together with its length, and probes the halves that a line one shorter would have
-at the places where one edit can leave them (segment join with threshold + 1 segments). What remains
-beside an equal segment again holds the one edit, so entries that meet are split again in the same
-way: twice before any pair is made, and for as long as more than ``CROWD`` lines meet in one segment.
-A crowd so needs a number of rounds logarithmic in its line length, not its pairs. When one
-character is left, all lines of that length that meet are one edit apart and link to the first.
-
-Candidate pairs are verified with a banded bit-parallel automaton: bit d of a word says that d - 1
-more characters of one line than of the other are read, with no edit or with one. Linked lines are
-one class. Of a class, the first line of the document with the smallest id stays.
+node from the start. Two lines are linked when they are at most k characters apart (replaced, more or
+less), where k is one for each ``CHARS_PER_EDIT`` characters of the shorter line, at least 1 and at
+most ``max_edits``. k edits leave one of k + 1 segments of the shorter line as it is, so a line is
+listed under its own segments and probes those that a line up to k shorter would have, at the places
+where the edits before and after can leave them (segment join with multi-match-aware substrings).
+Probes are first looked up in a bitmap of bounded size over the segments that exist, so nearly all of
+them end where they are made; a full bitmap lets more through and loses nothing.
+
+Candidate pairs are verified with Spark's banded Levenshtein distance. In a segment where more than
+``CROWD`` lines meet, all are compared with its first line; after that only lines that are still in
+different components are, in blocks of the crowd, and only links come out. Linked lines are one
+class. Of a class, the first line of the document with the smallest id stays.
 
 Defined results. Documents without an id keep all lines and count for nothing. Rows with equal ids
 are one document and are treated alike. Null texts stay null, and have no lines. Empty lines and line
@@ -29,10 +30,16 @@ from zonescope.llm.text import WORD, own
 from zonescope.plans.workspace import written
 
 MIN_CHARS = 24
-#: Lines that may meet in one segment before it is split again.
+#: Characters of a line for each edit that it may have, so that segments have 12 or more.
+CHARS_PER_EDIT = 24
+#: Edits of the query; a call without the parameter, as in the pipeline, links lines one edit apart.
+MAX_EDITS = 4
+#: Lines that may meet in one segment before pairs of them wait for the components.
 CROWD = 16
-#: Splits before pairs are made: entries of a pair share 7/8 of their line.
-SPLITS = 2
+#: Lines of a crowd that a task compares with the others.
+BLOCK = 512
+#: The bitmaps have 2^21 words of 64 bits at most: 16 MB.
+WORD_BITS = 21
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -43,137 +50,176 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
         "node": F.xxhash64("line"), "check": F.xxhash64("line", F.lit(1))})
 
 
-def halves(entry: dict[str, Column], line: Column) -> list[dict[str, Column]]:
-    """Split what remains of an entry: one half is equal, the other holds the edit.
+def allowed(chars: Column, max_edits: int) -> Column:
+    """Edits between a line of ``chars`` characters and one that is not shorter."""
+    return F.greatest(F.lit(1), F.least(
+        F.lit(max_edits), F.floor(chars / CHARS_PER_EDIT))).cast("int")
 
-    ``longer`` is 1 for entries that probe from a line one longer than those of the segment; what is
-    right of the edit is one place further there. ``start`` and ``size`` are the remainder in the
-    shorter line; a single character is tried on both sides of the extra one.
+
+def shifts(max_edits: int) -> Column:
+    """At (k * n + d) * n + i, n = max_edits + 1: the shifts at which to probe for segment i.
+
+    Of a line d longer than the listed one, these are all that i edits before the segment and k - i
+    edits after it can leave; the listed segment itself is at d = 0, shift 0.
     """
-    size = entry["size"]
-    cut = F.when(size == 1, F.lit(1)).otherwise(F.floor(size / 2).cast("int"))
-    rest = F.when(size == 1, F.lit(0)).otherwise(cut)
-    left = F.substring(line, entry["start"], cut)
-    right = F.substring(line, entry["start"] + rest + entry["longer"], size - rest)
-    return [
-        {"segment": F.xxhash64(entry["segment"], F.lit("left"), left), "longer": entry["longer"],
-         "start": entry["start"] + cut, "size": size - cut},
-        {"segment": F.xxhash64(entry["segment"], F.lit("right"), right),
-         "longer": entry["longer"], "start": entry["start"], "size": rest},
-    ]
-
-
-def first_entries(size: Column) -> list[dict[str, Column]]:
-    """A line among those of its length, and as a probe among those one shorter."""
-    return [{"segment": F.xxhash64(size - longer), "longer": F.lit(longer), "start": F.lit(1),
-             "size": size - longer} for longer in (0, 1)]
-
-
-def split(entries: list[dict[str, Column]], line: Column) -> list[dict[str, Column]]:
-    return [half for entry in entries for half in halves(entry, line)]
-
-
-def structs(entries: list[dict[str, Column]]) -> Column:
-    return F.array(*[F.struct(*[v.cast("long" if k == "segment" else "int").alias(k)
-                                for k, v in e.items()]) for e in entries])
-
-
-def listed(entries: DataFrame) -> DataFrame:
-    """(segment, first, n): segments with a line to find and another one, written."""
-    found = F.when(F.col("longer") == 0, F.col("node"))
-    return written(entries.groupBy("segment").agg(
-        F.min(found).alias("first"), F.count("*").alias("n")).filter(
-        F.col("first").isNotNull() & (F.col("n") > 1)), "line-segments")
-
-
-def split_again(entries: DataFrame, lines: DataFrame, times: int) -> DataFrame:
-    """The entries split, written; ``lines`` is (node, line)."""
-    joined = entries.join(lines, "node")
-    entries = [{k: F.col(k) for k in ("segment", "longer", "start", "size")}]
-    for _ in range(times):
-        entries = split(entries, F.col("line"))
-    return written(joined.select("node", F.explode(structs(entries)).alias("e")).select(
-        "node", "e.*"), "line-entries")
-
-
-def candidates(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) pairs of nodes that may be one edit apart."""
-    entries, pairs = split_again(first, lines, SPLITS), None
-    while not entries.isEmpty():
-        segments = listed(entries)
-        few = entries.join(segments.filter(f"n <= {CROWD}").select("segment"), "segment")
-        one = few.filter("longer = 0").select("segment", F.col("node").alias("a"))
-        two = few.select("segment", F.col("node").alias("b"), "longer")
-        met = one.join(two, "segment").filter("a < b or (longer = 1 and a != b)").select("a", "b")
-        crowds = segments.filter(f"n > {CROWD}").select("segment", "first")
-        crowd = written(entries.join(crowds, "segment"), "line-crowds")
-        # With one character left, lines of one length differ in it alone; with none, a probe has
-        # one character more.
-        star = crowd.filter("size <= 1 and (longer = 0 or size = 0) and node != first").select(
-            F.col("first").alias("a"), F.col("node").alias("b"))
-        found = met.unionByName(star).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = written(found, "line-pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        entries = split_again(crowd.filter("size > 0").drop("first"), lines, 1)
-    return pairs.distinct() if pairs is not None else first.select(
-        F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    every = range(max_edits + 1)
+    lists = [[s for s in range(-k, k + 1) if abs(s) <= i and abs(s - d) <= k - i and (d or s)]
+             for k in every for d in every for i in every]
+    return F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists])
+
+
+def segments(every: DataFrame, max_edits: int, min_chars: int, probes: bool) -> DataFrame:
+    """(node, segment) of the lines' own segments, or of the other places that they probe."""
+    n = max_edits + 1
+    longer = F.sequence(F.lit(0), F.lit(max_edits if probes else 0))
+    table = every.select("node", "line", F.length("line").alias("chars"),
+                         F.explode(longer).alias("longer"))
+    table = table.withColumn("size", F.col("chars") - F.col("longer")).filter(
+        F.col("size") >= min_chars).withColumn("k", allowed(F.col("size"), max_edits))
+    table = table.filter("longer <= k").withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("k")))).selectExpr(
+        "*", "cast(i * size div (k + 1) as int) as start",
+        "cast((i + 1) * size div (k + 1) as int) as stop")
+    if not probes:
+        return table.selectExpr("node", "xxhash64(size, i, substring("
+                                "line, start + 1, stop - start)) as segment")
+    # The stretch that holds all places of a segment is cut once from the line.
+    table = table.withColumn("before", F.least("start", "k")).selectExpr(
+        "node", "chars", "size", "k", "longer", "i", "start", "stop", "before",
+        "substring(line, start - before + 1, before + stop - start + k) as part")
+    table = table.withColumn("shift", F.explode(F.get(
+        shifts(max_edits), (F.col("k") * n + F.col("longer")) * n + F.col("i"))))
+    return table.filter("before + shift >= 0 and stop + shift <= chars").selectExpr(
+        "node", "xxhash64(size, i, substring(part, before + shift + 1, stop - start)) as segment")
+
+
+def word(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+
+
+def mask(name: str) -> Column:
+    """Three bits of a word for a key."""
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({name}, {WORD_BITS + 6 * i}) & 63 as int))"
+                             for i in range(3)))
+
+
+def bitmap(keys: DataFrame, name: str) -> DataFrame:
+    """(word, bits) over the keys of a table of one column."""
+    key = keys.columns[0]
+    return written(keys.groupBy(word(F.col(key)).alias("word")).agg(
+        F.bit_or(mask(key)).alias("bits")), name)
+
+
+def maybe_in(table: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be in a bitmap: all that are, and few others."""
+    return table.withColumn("mask", mask(key)).join(
+        F.broadcast(bits), (word(F.col(key)) == F.col("word")) & (
+            F.col("mask").bitwiseAND(F.col("bits")) == F.col("mask"))).select(*table.columns)
+
+
+def meeting_entries(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """(segment, node, found) where two lines meet; ``found`` for a line's own segments."""
+    listed = segments(every, max_edits, min_chars, False)
+    several = F.min("node") < F.max("node")
+    bits = written(listed.groupBy("segment").agg(several.alias("several")).groupBy(
+        word(F.col("segment")).alias("word")).agg(
+        F.bit_or(mask("segment")).alias("bits"),
+        F.bit_or(F.when(F.col("several"), mask("segment"))).alias("shared")), "line-bits")
+    hits = written(maybe_in(segments(every, max_edits, min_chars, True), "segment",
+                            bits.select("word", "bits")), "line-probes")
+    of_hits = hits.select(word(F.col("segment")).alias("word"), mask("segment").alias("bits"))
+    either = bits.filter("shared is not null").select("word", F.col("shared").alias("bits"))
+    wanted = written(either.unionByName(of_hits).groupBy("word").agg(
+        F.bit_or("bits").alias("bits")), "line-wanted-bits")
+    entries = maybe_in(listed, "segment", wanted).withColumn("found", F.lit(True)).unionByName(
+        hits.withColumn("found", F.lit(False)))
+    entries = written(entries.groupBy("segment", "node").agg(F.max("found").alias("found")),
+                      "line-entries")
+    met = written(entries.groupBy("segment").agg(
+        F.max("found").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select(
+        "segment"), "line-segments")
+    return written(entries.join(met, "segment", "left_semi"), "line-first")
+
+
+def near(a: Column, b: Column, max_edits: int) -> Column:
+    """Whether two lines are as many edits apart as the shorter one may have, or fewer."""
+    apart = F.levenshtein(a, b, max_edits)
+    return (apart >= 0) & (apart <= allowed(F.least(F.length(a), F.length(b)), max_edits))
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """Whether two strings are at most one edit apart, in a band of three diagonals.
+    """Whether two strings are at most one edit apart."""
+    return near(a, b, 1)
 
-    After j characters of b, bit d is set when j + d - 1 of a can be read: ``none`` without an edit,
-    ``one`` with at most one. A character that fits keeps a bit; an edit keeps it (replaced), moves
-    it down (only in b) or up (only in a).
-    """
-    def read(pair: Column) -> Column:
-        def step(state: Column, at: Column) -> Column:
-            char = F.get(pair["b"], at)
-            fits = sum((F.when(F.get(pair["a"], at + (d - 1)) == char, F.lit(1 << d)).otherwise(0)
-                        for d in range(3)), F.lit(0)).cast("long")
-            none = state["none"].bitwiseAND(fits)
-            edited = state["none"].bitwiseOR(F.shiftright(state["none"], 1))
-            one = state["one"].bitwiseAND(fits).bitwiseOR(edited).bitwiseOR(
-                F.shiftleft(none, 1)).bitwiseAND(F.lit(7).cast("long"))
-            return F.struct(none.alias("none"), one.alias("one"))
-
-        start = F.struct(F.lit(2).cast("long").alias("none"), F.lit(6).cast("long").alias("one"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(pair["b"]) - 1), start, step,
-                           lambda s: s["one"])
-
-    # The characters are bound to a lambda's variable, so they are cut once and not at every step.
-    chars = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
-    ends = F.length(a) - F.length(b)
-    last = F.call_function("shiftright", F.transform(chars, read)[0], ends + 1)
-    return (F.abs(ends) <= 1) & F.when(F.length(b) > 0, last.bitwiseAND(
-        F.lit(1).cast("long")) == 1).otherwise(F.length(a) <= 1)
-
-
-def linked_lines(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, component) of the lines that are one edit from another."""
+
+def linked_lines(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """(node, component) of the lines that are linked with another."""
+    first = meeting_entries(every, max_edits, min_chars)
+    wanted = written(first.select("node").distinct(), "line-wanted")
+    texts = maybe_in(every.select("node", "line"), "node", bitmap(wanted, "line-wanted-bits"))
+    lines = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.first("line").alias("line")), "line-texts")
+    sizes = written(first.groupBy("segment").agg(
+        F.min(F.when(F.col("found"), F.col("node"))).alias("first"), F.count("*").alias("n")),
+        "line-sizes")
+
+    few = first.join(sizes.filter(f"n <= {CROWD}").select("segment"), "segment")
+    one = few.filter("found").select("segment", F.col("node").alias("a"))
+    two = few.select("segment", F.col("node").alias("b"), "found")
+    met = one.join(two, "segment").filter("a < b or (a != b and not found)").select("a", "b")
+    crowd = written(first.join(sizes.filter(f"n > {CROWD}"), "segment"), "line-crowds")
+    star = crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = written(met.unionByName(star).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     text = lambda n: lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
-    pairs = written(candidates(first, lines), "line-candidates")
-    joined = pairs.join(text("a"), "a").join(text("b"), "b")
-    return components(joined.filter(one_edit(F.col("line_a"), F.col("line_b"))).select("a", "b"))
+    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(
+        near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
+    found = components(edges)
+    if crowd.isEmpty():
+        return found
+    rest = written(crowd_edges(crowd, found, lines, max_edits), "line-crowd-edges")
+    return components(edges.unionByName(rest))
+
+
+def crowd_edges(
+    crowd: DataFrame, found: DataFrame, lines: DataFrame, max_edits: int,
+) -> DataFrame:
+    """(a, b) links between lines of a crowd that are in different components."""
+    labelled = written(crowd.select("segment", "node", "found").join(
+        found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"),
+        "left").select("segment", "node", "found", F.coalesce("component", "node").alias("label")),
+        "line-crowd-labels")
+    blocks = written(labelled.groupBy("segment").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"),
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select(
+        "segment", "blocks"), "line-crowd-blocks")
+    members = written(labelled.join(blocks, "segment").join(lines, "node"), "line-crowd-members")
+    one = members.filter("found").select(
+        "segment", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
+        F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("line").alias("line_a"))
+    two = members.select(
+        "segment", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("line").alias("line_b"),
+        F.col("found").alias("found_b"))
+    return one.join(two, (one["segment"] == two["segment"]) & (one["block"] == two["block"]) & (
+        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & near(
+        F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
 
 def dropped_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
+    max_edits: int = 1,
 ) -> DataFrame:
     """(id, at, near) of the lines to drop; ``near`` where no equal line comes earlier."""
     if min_chars < 16:
         raise ValueError("lines must be long enough for the splits before the first pairs")
+    if not 1 <= max_edits < 32:
+        raise ValueError("max_edits must be from 1 to 31")
     every = occurrences(docs, doc_id, text, min_chars)
-    names = [f"segment_{i}" for i in range(4)]
-    found = split(first_entries(F.length("line")), F.col("line"))
-    nodes = every.select("id", "node", "check", F.length("line").alias("chars"), *[
-        e["segment"].alias(n) for e, n in zip(found, names, strict=True)])
-    nodes = written(nodes.groupBy("node", "check").agg(
-        F.min("id").alias("winner"), F.count("*").alias("n"), F.first("chars").alias("chars"),
-        *[F.first(n).alias(n) for n in names]), "line-nodes")
-    first, lines = meeting_lines(nodes, every, names)
-    classes = written(line_classes(nodes, linked_lines(first, lines)), "line-classes")
+    nodes = written(every.groupBy("node", "check").agg(
+        F.min("id").alias("winner"), F.count("*").alias("n")), "line-nodes")
+    linked = linked_lines(every, max_edits, min_chars)
+    classes = written(line_classes(nodes, linked), "line-classes")
 
     hits = written(every.select("id", "at", "node", "check").join(classes, ["node", "check"]),
                    "line-hits")
@@ -187,21 +233,6 @@ def dropped_lines(
         "id", "at", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def meeting_lines(
-    nodes: DataFrame, every: DataFrame, names: list[str],
-) -> tuple[DataFrame, DataFrame]:
-    """(node, segment, longer, start, size) of entries that meet another, and (node, line)."""
-    places = split(first_entries(F.col("chars")), F.lit(""))
-    entries = nodes.select("node", F.explode(structs([
-        place | {"segment": F.col(n)} for place, n in zip(places, names, strict=True)
-    ])).alias("e")).select("node", "e.*")
-    first = written(entries.join(listed(entries).select("segment"), "segment", "left_semi"),
-                    "line-first")
-    wanted = written(first.select("node").distinct(), "line-wanted")
-    lines = every.select("node", "line").join(wanted, "node", "left_semi")
-    return first, written(lines.groupBy("node").agg(F.first("line").alias("line")), "line-texts")
-
-
 def line_classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """(node, check, winner, class, class_winner) of lines that have an equal or linked one.
 

@@ -99,7 +99,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    dropped = written(lines.dropped_lines(docs).groupBy("id").agg(
+    dropped = written(lines.dropped_lines(docs, max_edits=lines.MAX_EDITS).groupBy("id").agg(
         F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near")), "dropped")
     counted = docs.select("doc_id", F.coalesce(
         F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
