@@ -225,3 +225,18 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((str(r.id), r.n_links, r.component_id, r.kept) for r in odd) == [
         ("4", 1, 4, True), ("4", 1, 4, True), ("None", 0, None, True)]
+
+
+@pytest.mark.parametrize("dim, noise", [(64, 0), (256, 1e-8), (256, 1e-7), (64, 1e-4)])
+def test_cells_keep_links_of_rounded_and_scaled_copies(dim, noise):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=dim)
+    rows = [centre * rng.uniform(0.5, 3) + noise * rng.normal(size=dim) for _ in range(300)]
+    rows += list(rng.normal(size=(600, dim)))
+    unit = np.stack([np.frombuffer(embeddings.unit(r.tolist())) for r in rows])
+    drawn = np.unique(unit[rng.permutation(len(unit))[:54]], axis=0)
+    for centroids in (drawn, embeddings.fit(unit, 54)):
+        cells = list(embeddings.places(unit, centroids, np.sin(np.arccos(0.98) / 2)))
+        lost = [(i, j) for i, j in np.argwhere(unit @ unit.T >= 0.98)
+                if cells[i][0] not in cells[j] and cells[j][0] not in cells[i]]
+        assert not lost

@@ -34,6 +34,8 @@ from zonescope.plans.workspace import written
 SAMPLE_PER_CELL, MAX_CELLS, ROUNDS, BLOCK = 32, 1 << 15, 8, 512
 #: Room for rounding in the plane test.
 ROUNDING = 1e-9
+#: Centroids closer than this are visited by all: their gap says little about the plane between them.
+CLOSE = 1e-3
 #: The cell of vectors whose length is not that of the centroids.
 ELSEWHERE = -1
 
@@ -71,17 +73,23 @@ def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
         length = np.sqrt((sums * sums).sum(axis=1))
         full = length > 1e-6
         centroids[full] = sums[full] / length[full, None]
-    return np.unique(centroids, axis=0)
+    # A tight group may have drawn many centroids; most of them fall together here, and any choice of
+    # centroids is exact.
+    centroids = np.unique(centroids, axis=0)
+    return centroids[np.sort(np.unique(np.round(centroids, 4), axis=0, return_index=True)[1])]
 
 
 def places(vectors: np.ndarray, centroids: np.ndarray, reach: float) -> Iterator[list[int]]:
     """The cells of each vector, its home first, then those that it visits."""
-    gaps = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 1e-30))
+    gaps = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
+    # Squared gaps are off by rounding alone, too much for the small ones.
+    close = gaps < CLOSE
+    gaps[close] = 1
     for start in range(0, len(vectors), 1024):
         near = vectors[start:start + 1024] @ centroids.T
         home = near.argmax(axis=1)
         distance = (near[np.arange(len(near)), home][:, None] - near) / gaps[home]
-        visits = distance <= reach + ROUNDING
+        visits = (distance <= reach + ROUNDING) | close[home]
         visits[np.arange(len(near)), home] = False
         for h, row in zip(home.tolist(), visits, strict=True):
             yield [h, *np.flatnonzero(row).tolist()]
