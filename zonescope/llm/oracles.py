@@ -172,9 +172,55 @@ SELECT record_id, canonical_url, resolution, CASE WHEN good THEN r.record_id END
 FROM h
 """
 
+#: The unsigned CRC-32 of a number's digits (3988292384 is the reversed polynomial).
+TRIE = """
+WITH crc AS MATERIALIZED (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step
+  FROM (SELECT unnest(range(256)) AS i)),
+t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(encode(coalesce(role, '')) || '\\x00'::BLOB || encode(coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda d: ascii(d)::BIGINT),
+    lambda s, b: xor(s // 256, step[xor(s % 256, b) + 1]))) % 6 AS h
+  FROM t, crc),
+r AS (
+  SELECT c.conv_id, 0 AS own, place, said FROM c JOIN t ON t.conv_id = base AND place <= h
+  UNION ALL
+  SELECT conv_id, 1, place, said FROM c JOIN t USING (conv_id) WHERE place > h),
+p AS (
+  SELECT conv_id, row_number() OVER o AS depth, list(said) OVER o AS path,
+    lead(place) OVER o IS NULL AS ends
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, [], conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY depth, path),
+k AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n AS down
+    WHERE down.depth = n.depth + 1 AND down.path[1:n.depth] = n.path) AS n_children
+  FROM n LEFT JOIN n AS up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1]),
+b AS (
+  SELECT top.depth, top.path, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves,
+    sum((k.n_convs - 1) * coalesce(length(k.path[-1].text), 0))::BIGINT AS saved_tokens
+  FROM k AS top JOIN k ON k.depth >= top.depth AND k.path[1:top.depth] = top.path
+  GROUP BY top.depth, top.path)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM k JOIN b USING (depth, path)
+"""
+
 ORACLES = {
     "op2_source_mixing": MIXING,
     "op4_quality_rules": QUALITY,
     "op6_revisit_resolution": REVISITS,
     "op10_url_filters": URLS,
+    "op13_prefix_trie": TRIE,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonescope.llm import (
-    bpe, embeddings, language, lines, minhash, mixing, quality, unigram, urls,
+    bpe, embeddings, language, lines, minhash, mixing, quality, tries, unigram, urls,
     warc,
 )
 from zonescope.plans.workspace import written
@@ -128,6 +128,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(pages, urls.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
@@ -139,4 +143,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
+    "op13_prefix_trie": op13_prefix_trie,
 }
