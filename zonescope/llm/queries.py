@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zonescope.llm import (
     bpe, embeddings, language, lines, minhash, mixing, quality, tries, unigram, urls,
-    warc,
+    warc, wordbpe,
 )
 from zonescope.plans.workspace import written
 
@@ -128,6 +128,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(pages, urls.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = wordbpe.fitted(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    found = wordbpe.decode(wordbpe.encode(docs, lexicon), lexicon)
+    digest = lambda column: F.sha2(column, 256)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -143,5 +154,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
+    "op12_transducer_bpe": op12_transducer_bpe,
     "op13_prefix_trie": op13_prefix_trie,
 }
