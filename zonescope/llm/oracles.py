@@ -217,10 +217,32 @@ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_toke
 FROM k JOIN b USING (depth, path)
 """
 
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+"""
+
 ORACLES = {
     "op2_source_mixing": MIXING,
     "op4_quality_rules": QUALITY,
     "op6_revisit_resolution": REVISITS,
     "op10_url_filters": URLS,
+    "op11_hard_negatives": NEGATIVES,
     "op13_prefix_trie": TRIE,
 }

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonescope.llm import (
-    bpe, embeddings, language, lines, minhash, mixing, quality, tries, unigram, urls,
-    warc, wordbpe,
+    bpe, embeddings, language, lines, minhash, mixing, negatives, quality, tries,
+    unigram, urls, warc, wordbpe,
 )
 from zonescope.plans.workspace import written
 
@@ -128,6 +128,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(pages, urls.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = wordbpe.fitted(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -154,6 +160,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_transducer_bpe": op12_transducer_bpe,
     "op13_prefix_trie": op13_prefix_trie,
 }
