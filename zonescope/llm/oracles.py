@@ -223,7 +223,7 @@ WITH v AS (
     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
   FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: (x IS NULL) OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
     CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
@@ -235,7 +235,7 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id
   positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
-QUALIFY rank <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 5
 """
 
 ORACLES = {
