@@ -279,15 +279,18 @@ def test_traces(spark):
     names = spark.createDataFrame([(n,) for n in (
         "ok.", "soa.", "refused.", "alias.", "end.", "ring.", "long.", "missing.", "c0.", "c2.")],
         "domain string")
-    for rows_per_task in (1, 1000):
+    for rows_per_task, map_replies in ((1, 4096), (1000, 3)):
         got = {r.domain: (r.addresses, r.child_ns, r.parent_ns) for r in trace.delegation_trace(
-            names, df, "r", rows_per_task=rows_per_task).collect()}
+            names, df, "r", rows_per_task=rows_per_task, map_replies=map_replies).collect()}
         assert got == {
             "ok.": (["1.1.1.1"], ["p1."], ["p1.", "p2."]), "soa.": ([], [], ["p1."]),
             "refused.": ([], ["p1."], ["root.", "root2."]),
             "alias.": (["1.1.1.1"], ["p1."], ["p1.", "p2."]),
             "c2.": (["7.7.7.7"], [], ["root.", "root2."])}
     simple = {r.domain: r.addresses for r in trace.trace_answers(names, df, "r").collect()}
+    steps = trace._steps(df, "A", True, "rr_a")
+    text = trace.walks(steps, ["root.", "root2."], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text  # all hops of a name inside its row
     assert simple == {"ok.": ["1.1.1.1"], "refused.": ["6.6.6.6"], "alias.": ["1.1.1.1"],
                       "long.": ["12.12.12.12"], "c2.": ["7.7.7.7"]}
     assert trace.delegation_trace(names, df, "nobody").count() == 0
