@@ -292,3 +292,23 @@ def test_long_lines_stop_the_scan(spark, tmp_path):
     assert scan_dump(spark, str(tmp_path), on_long_line="keep").lines.count() == 4
     with pytest.raises(Exception, match="line longer than"):
         scan_dump(spark, str(tmp_path)).lines.collect()
+
+
+def test_many_blocks_in_small_ranges(spark, tmp_path):
+    """5,000 splits of 61 bytes and more, scanned in ranges, against one split scanned at once."""
+    dump = random_dump(random.Random(11), 15_500)
+    assert len(dump) > 5000 * 61
+    (tmp_path / "long.txt").write_text(dump)
+    (tmp_path / "short.txt").write_text(random_dump(random.Random(12), 40))
+
+    def states(split_bytes, ranges):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        try:
+            found = parse.line_states(scan_dump(spark, str(tmp_path)), ranges=ranges)
+            columns = [c for c in found.columns if c not in ("body", "rest")]
+            return sorted(found.select(*columns).collect(), key=lambda r: (r.source, r.seq))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = states(1 << 27, 1)
+    assert whole == states(61, 40)
+    assert len({r.value_seq for r in whole}) > 50 and len({r.owner for r in whole}) > 50

@@ -2,13 +2,15 @@
 
 The meaning of a line depends on the lines before it: whether a cache section is open, the last
 attribute comment, whether a bracketed TYPE65 value is still open, and the owner in force. All
-four are worked out in two levels, so that no task ever holds more than one input split:
+four are worked out in three levels:
 
 1. inside each block (one split), with windows, for both possible states at its start;
-2. over one summary row per block, which gives each block the state it starts with.
+2. inside each range of blocks, over one summary row per block segment, for all states at its start;
+3. over one row per range, which gives each range, and so each block, the state it starts with.
 
-The lines are shuffled and sorted once, by block. A block is cut in two segments at its first section
-marker: what lies before it counts only if the section was open when the block began.
+The lines are shuffled and sorted once, by block; a task holds the blocks that hash to it. A block is
+cut in two segments at its first section marker: what lies before it counts only if the section was
+open when the block began.
 """
 
 from __future__ import annotations
@@ -191,69 +193,149 @@ def _local_state(lines: DataFrame, dialect: Dialect) -> DataFrame:
     )
 
 
-def _incoming_state(local: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per block: the state its two segments start with, and its first line number."""
-    state = ["attr", "known", "owner0", "owner1", "start0", "start1"]
-    ends = local.filter("next_seg IS NULL OR next_seg <> seg").select(
-        *BLOCK, "seg", "gate", "flips", *state,
+#: What may hold before a unit: the section gate and the "value is open" flag.
+BEGINNINGS = [(gate, inside) for gate in (0, 1) for inside in (0, 1)]
+
+
+def _units(local: DataFrame) -> DataFrame:
+    """One row per block segment: what it does to the state, as a function of the gate before it.
+
+    ``fixed<g>`` or ``flip<g>`` say what becomes of the "value is open" flag; ``attr<g>``,
+    ``owner<g><m>`` and ``start<g><m>`` are what it carries on for gate g and flag m before it. A first
+    segment leaves all as it is when the gate is shut.
+    """
+    ends = local.filter("next_seg IS NULL OR next_seg <> seg")
+    first = F.col("seg") == 0
+    shut = lambda value, none=None: F.when(first, F.lit(none)).otherwise(value)
+    flip = F.col("flips") % 2
+    return ends.select(
+        *BLOCK, "seg", "gate",
         F.when(F.col("next_seg").isNull(), F.col("rn")).otherwise(0).alias("n"),
-    ).join(files, "file_key")
-    order = Window.partitionBy("source").orderBy("file", "block_start", "seg")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = ends.select(
-        "*",
-        F.coalesce(F.last("gate", True).over(earlier), F.lit(False)).alias("gate_in"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
-    )
-    counts = (F.col("seg") == 1) | F.col("gate_in")
-    df = df.select(
-        *BLOCK, "seg", "source", "file", "gate_in", "offset",
-        *(F.when(counts, F.col(c)).alias(c) for c in state),
-        F.when(counts, F.col("flips")).otherwise(0).alias("flips"),
-    )
-    # ``known`` is the flag at the end of the segment wherever a line of it fixed the flag.
-    df = df.withColumn("turns", F.sum("flips").over(so_far)).withColumn(
-        "anchor",
-        F.last(F.when(F.col("known").isNotNull(), _flip(F.col("known"), F.col("turns"))), True)
-        .over(so_far),
-    ).withColumn(
-        "value_open", _flip(F.coalesce("anchor", F.lit(0)), F.col("turns"))
-    ).withColumn("open_in", F.lag("value_open", 1, 0).over(order))
-    inside = F.col("open_in") == 1
-    df = df.withColumn(
-        "owner", F.when(inside, F.col("owner1")).otherwise(F.col("owner0"))
-    ).withColumn(
-        "start", F.col("offset") + F.when(inside, F.col("start1")).otherwise(F.col("start0"))
-    ).select(
-        *BLOCK, "seg", "source", "gate_in", "offset", "open_in",
-        F.last("attr", True).over(earlier).alias("attr_in"),
-        F.last("owner", True).over(earlier).alias("owner_in"),
-        F.last("start", True).over(earlier).alias("start_in"),
-        F.when(F.last("value_open").over(whole) == 1, F.last("start", True).over(whole))
-        .alias("unclosed"),
+        shut(F.col("known")).alias("fixed0"), F.col("known").alias("fixed1"),
+        shut(flip, 0).alias("flip0"), flip.alias("flip1"),
+        shut(F.col("attr")).alias("attr0"), F.col("attr").alias("attr1"),
+        *(shut(F.col(f"{name}{m}")).alias(f"{name}0{m}") for name in ("owner", "start")
+          for m in (0, 1)),
+        *(F.col(f"{name}{m}").alias(f"{name}1{m}") for name in ("owner", "start") for m in (0, 1)),
     )
+
+
+def _carried(
+    units: DataFrame, by: list[str], order: list[str], beginnings: list[tuple[int, int]]
+) -> DataFrame:
+    """Adds ``offset`` and, for each beginning (g, m) of a group, ``from<g><m>``: the state before
+    each unit and, as ``to``, after it. Numbers of lines count from the group's begin."""
+    group = Window.partitionBy(*by).orderBy(*order)
+    so_far = group.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+    gates = sorted({g for g, _ in beginnings})
+    df = units.withColumns({
+        "offset": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+        **{f"gate_in{g}": F.coalesce(F.last("gate", True).over(earlier), F.lit(bool(g)))
+           for g in gates},
+    })
+
+    def by_gate(name: str, g: int) -> Column:
+        return F.when(F.col(f"gate_in{g}"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    df = df.withColumns({f"turns{g}": F.sum(by_gate("flip", g)).over(so_far) for g in gates})
+    df = df.withColumns({f"anchor{g}": F.last(F.when(by_gate("fixed", g).isNotNull(), _flip(
+        by_gate("fixed", g), F.col(f"turns{g}"))), True).over(so_far) for g in gates})
+    df = df.withColumns({f"open{g}{m}": _flip(F.coalesce(f"anchor{g}", F.lit(m)), F.col(f"turns{g}"))
+                         for g, m in beginnings})
+    df = df.withColumns({f"open_in{g}{m}": F.lag(f"open{g}{m}", 1, m).over(group)
+                         for g, m in beginnings})
+
+    def picked(name: str, g: int, m: int) -> Column:
+        def at(gate: int) -> Column:
+            return F.when(F.col(f"open_in{g}{m}") == 1, F.col(f"{name}{gate}1")).otherwise(
+                F.col(f"{name}{gate}0"))
+        return F.when(F.col(f"gate_in{g}"), at(1)).otherwise(at(0))
+
+    def state(g: int, m: int, rows: Window, gate: Column, inside: Column) -> list[Column]:
+        return [
+            gate.alias("gate"), inside.alias("open"),
+            F.last(by_gate("attr", g), True).over(rows).alias("attr"),
+            F.last(picked("owner", g, m), True).over(rows).alias("owner"),
+            F.last(picked("start", g, m) + F.col("offset"), True).over(rows).alias("start")]
+
+    names = [*units.columns, "offset"]
+    return df.select(*names, *(F.struct(
+        *state(g, m, earlier, F.col(f"gate_in{g}"), F.col(f"open_in{g}{m}")),
+        F.struct(*state(g, m, so_far, F.last("gate", True).over(so_far), F.col(f"open{g}{m}")))
+        .alias("to")).alias(f"from{g}{m}") for g, m in beginnings))
+
+
+def _composed(carried: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The units of each group as one unit, in the columns of ``_units``."""
+    last = F.struct(*order)
+    rows = carried.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        *(F.max_by(f"from{g}{m}.to", last).alias(f"to{g}{m}") for g, m in BEGINNINGS))
+    # The flag after the group is the same for both flags before it, or keeps or turns them.
+    fixed = lambda g: F.when(
+        F.col(f"to{g}0.open") == F.col(f"to{g}1.open"), F.col(f"to{g}0.open"))
+    return rows.select(
+        *by, "n", F.col("to00.gate").alias("gate"),
+        *(fixed(g).alias(f"fixed{g}") for g in (0, 1)),
+        *(F.when(fixed(g).isNull(), F.col(f"to{g}0.open")).otherwise(0).alias(f"flip{g}")
+          for g in (0, 1)),
+        *(F.col(f"to{g}0.attr").alias(f"attr{g}") for g in (0, 1)),
+        *(F.col(f"to{g}{m}.{name}").alias(f"{name}{g}{m}") for name in ("owner", "start")
+          for g, m in BEGINNINGS))
+
+
+def _incoming_state(local: DataFrame, files: DataFrame, ranges: int | None = None) -> DataFrame:
+    """One row per block: the state its two segments start with, and its first line number.
+
+    Segments are functions of the state before them. They are sorted in ranges, composed inside each
+    range for every state that may hold before it, and the compositions of the ranges are scanned:
+    no task holds more than the segments of one range, or one row per range.
+    """
+    spark = local.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place, by = ["file", "block_start", "seg"], ["source", "range"]
+    units = written(
+        _units(local).join(files, "file_key").repartitionByRange(ranges, "source", *place)
+        .withColumn("range", F.spark_partition_id()), "units")
+    inside = written(_carried(units, by, place, BEGINNINGS), "segments")
+    scanned = _carried(_composed(inside, by, place), ["source"], ["range"], [(0, 0)])
+    whole = Window.partitionBy("source").orderBy("range").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    at_end = F.last("from00.to").over(whole)
+    scanned = written(scanned.select(
+        *by, F.col("offset").alias("before"), F.col("from00").alias("begin"),
+        F.when(at_end["open"] == 1, at_end["start"]).alias("unclosed")), "ranges")
+
+    df = inside.join(scanned, by)
+    pick = F.when(F.lit(False), F.col("from00"))
+    for g, m in BEGINNINGS:
+        pick = pick.when((F.col("begin.gate") == bool(g)) & (F.col("begin.open") == m),
+                         F.col(f"from{g}{m}"))
     entry = F.struct(
-        "source", "gate_in", "offset", "open_in", "attr_in", "owner_in", "start_in", "unclosed"
-    )
-    return df.groupBy(*BLOCK).agg(
+        "source", F.col("at.gate").alias("gate_in"), (F.col("before") + F.col("offset")).alias("offset"),
+        F.col("at.open").alias("open_in"), F.coalesce("at.attr", "begin.attr").alias("attr_in"),
+        F.coalesce("at.owner", "begin.owner").alias("owner_in"),
+        F.coalesce(F.col("before") + F.col("at.start"), F.col("begin.start")).alias("start_in"),
+        "unclosed")
+    return df.withColumn("at", pick).groupBy(*BLOCK).agg(
         F.first(F.when(F.col("seg") == 0, entry), True).alias("head"),
         F.first(F.when(F.col("seg") == 1, entry), True).alias("tail"),
     )
 
 
-def line_states(dump: Dump, compat: bool = True) -> DataFrame:
+def line_states(dump: Dump, compat: bool = True, ranges: int | None = None) -> DataFrame:
     """Every line with the state in force: section gate, attribute, open value and owner.
 
     ``seq`` is the number of the line in its source, empty lines not counted; ``value_seq`` that
-    of the line that started the bracketed value.
+    of the line that started the bracketed value. ``ranges`` of blocks are scanned at once (by default
+    as many as the session has shuffle partitions).
 
     The lines with their local state are written first, so the patterns and windows run once. So is
     the block table; Spark broadcasts it when its measured size is under the session's threshold.
     """
     local = written(_local_state(dump.lines.repartition(*BLOCK), Dialect(compat)), "lines")
-    blocks = written(_incoming_state(local, dump.files), "blocks")
+    blocks = written(_incoming_state(local, dump.files, ranges), "blocks")
     df = local.join(blocks, BLOCK).withColumn(
         "at", F.when(F.col("seg") == 0, F.col("head")).otherwise(F.col("tail"))
     )
