@@ -133,9 +133,9 @@ def test_ranges_and_attribution(spark):
     ips = ["10.1.0.5", "10.1.0.10", "10.2.0.1", "8.8.8.8", "2001:db8::5", "::ffff:10.1.0.9", "",
            "2001:db9::1", "192.0.2.7", "255.255.255.255", "1.1.1.1", "9.9.9.9", "bad", "::1"]
     df = spark.createDataFrame([(i,) for i in ips], "ip string")
-    for rows_per_task in (1, 10**6):
+    for ranges in (1, 7):
         got = {r.ip: (r.client, r.plen, r.n_matches)
-               for r in addresses.attribute_ips(df, networks, rows_per_task).collect()}
+               for r in addresses.attribute_ips(df, networks, ranges).collect()}
         assert got == {
             "10.1.0.5": ("SPAN", 32, 5), "10.1.0.10": ("CORP", 16, 4), "10.2.0.1": ("ISP", 8, 2),
             "8.8.8.8": ("", 0, 1), "2001:db8::5": ("V6", 32, 1), "::ffff:10.1.0.9": ("SPAN", 31, 5),
@@ -144,6 +144,38 @@ def test_ranges_and_attribution(spark):
             "9.9.9.9": ("9.9.9.9/32", 32, 2), "bad": ("未知", None, 0), "::1": ("未知", None, 0)}
 
 
+def test_sweep_equals_a_search_of_all_networks(spark):
+    rng = random.Random(8)
+    lines, ips = ["::/0 all", "8000::/1 upper", "::/96 low"], set()
+    for i in range(150):
+        bits = rng.choice([0, 3, 8, 9, 16, 17, 24, 30, 31, 32])
+        base = ipaddress.ip_network((rng.choice([10 << 24, 11 << 24, 0, 255 << 24]) + rng.randrange(1 << 18),
+                                     bits), strict=False)
+        lines.append(f"{base} c{i}")
+        bits = rng.choice([1, 32, 63, 64, 65, 96, 127, 128])
+        start = rng.choice([0x20010DB8 << 96, 0, (1 << 128) - (1 << 20)]) + rng.randrange(1 << 66) % (
+            1 << rng.choice([20, 66]))
+        base = ipaddress.ip_network((min(start, (1 << 128) - 1), bits), strict=False)
+        lines.append(f"{base} d{i}")
+    for line in lines:
+        net = ipaddress.ip_network(line.split()[0])
+        for at in (int(net[0]), int(net[-1]), int(net[0]) - 1, int(net[-1]) + 1, int(net[0]) + 1):
+            if 0 <= at < 1 << net.max_prefixlen:
+                ips.add(str((ipaddress.IPv4Address if net.version == 4 else ipaddress.IPv6Address)(at)))
+    ips = sorted(ips, key=lambda _: rng.random())[:500]
+    raw = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    networks = addresses.range_networks(split_ranges(raw))
+    got = {r.ip: (r.client, r.plen, r.n_matches) for r in addresses.attribute_ips(
+        spark.createDataFrame([(i,) for i in ips], "ip string"), networks, 9).collect()}
+    nets = [(ipaddress.ip_network(x.split()[0]), x.split()[1]) for x in lines]
+    for text in ips:
+        at = ipaddress.ip_address(text)
+        at = getattr(at, "ipv4_mapped", None) or at
+        hits = [(-n.prefixlen, i, c) for i, (n, c) in enumerate(nets) if at.version == n.version and at in n]
+        want = (min(hits)[2], -min(hits)[0], len(hits)) if hits else ("未知", None, 0)
+        assert got[text] == want, text
+
+
 def test_spans_become_the_smallest_set_of_blocks(spark):
     rng = random.Random(5)
     spans = [(0, 2**32 - 1), (0, 0), (2**32 - 1, 2**32 - 1), (1, 2**32 - 2)]

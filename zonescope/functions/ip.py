@@ -117,6 +117,17 @@ def masked(family: Column, hi: Column, lo: Column, plen: Column) -> Column:
     )
 
 
+def last_address(family: Column, hi: Column, lo: Column, plen: Column) -> Column:
+    """struct(hi, lo) of the last address of a network that begins at (hi, lo)."""
+    host4 = F.bitwise_not(_ones(plen, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    v4 = family == 4
+    return F.struct(
+        F.when(v4, hi).otherwise(hi.bitwiseOR(F.bitwise_not(_ones(plen, 64)))).alias("hi"),
+        F.when(v4, lo.bitwiseOR(host4))
+        .otherwise(lo.bitwiseOR(F.bitwise_not(_ones(plen - 64, 64)))).alias("lo"),
+    )
+
+
 def _shortest(full: Column) -> Column:
     """Eight groups without leading zeros -> the leftmost longest run of zeros as ``::``."""
     short = F.when(F.lit(False), full)

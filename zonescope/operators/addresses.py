@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonescope import constants as C
@@ -114,35 +114,89 @@ def range_networks(ranges: DataFrame) -> DataFrame:
     return networks.unionByName(dashed)
 
 
+#: Order of events at one address: networks open, addresses look, networks close.
+OPENS, LOOKS, CLOSES = 0, 1, 2
+PLACE = ["family", "hi", "lo", "kind", "plen"]
+
+
+def _events(parsed: DataFrame, networks: DataFrame) -> DataFrame:
+    """(family, hi, lo, kind, plen, client, ip, n, step): where networks begin and end, and addresses.
+
+    ``n`` is how many entries open or close there, ``step`` the same for distinct networks. The halves of an
+    address get their sign bit turned, as they are unsigned.
+    """
+    unique = networks.groupBy("family", "plen", "hi", "lo").agg(
+        F.min_by("client", "line_no").alias("client"), F.count("*").alias("n"))
+    end = ip.last_address(F.col("family"), F.col("hi"), F.col("lo"), F.col("plen"))
+    none = F.lit(None).cast("string")
+
+    def events(frame: DataFrame, hi, lo, kind: int, plen, client, name, n, step: int) -> DataFrame:
+        turned = lambda half: F.col(half).bitwiseXOR(F.lit(-(1 << 63)))
+        return frame.select(
+            F.col("family").cast("int").alias("family"), turned(hi).alias("hi"), turned(lo).alias("lo"),
+            F.lit(kind).alias("kind"), plen.cast("int").alias("plen"), client.alias("client"),
+            name.alias("ip"), n.cast("bigint").alias("n"), F.lit(step).cast("bigint").alias("step"))
+
+    plen = F.col("plen")
+    opened = events(unique, "hi", "lo", OPENS, plen, F.col("client"), none, F.col("n"), 1)
+    closed = events(unique.withColumn("end", end), "end.hi", "end.lo", CLOSES, plen, none, none,
+                    -F.col("n"), -1)
+    looks = events(parsed, "hi", "lo", LOOKS, F.lit(0), none, F.col("ip"), F.lit(0), 0)
+    return opened.unionByName(closed).unionByName(looks)
+
+
 def attribute_ips(
-    ips: DataFrame, networks: DataFrame, rows_per_task: int = ROWS_PER_TASK
+    ips: DataFrame, networks: DataFrame, ranges: int | None = None
 ) -> DataFrame:
     """(ip, client, plen, n_matches) for each distinct ``ip``.
 
     Longest prefix wins, then the earliest line; ``n_matches`` counts the matching entries and
-    shows overlaps. Each address is masked at every prefix length in use (162 rows at most, hence
-    the broadcast) and meets the networks in an equi-join.
+    shows overlaps. Networks are nested or apart, so they cut the addresses into intervals that
+    each belong to the innermost open network: one sweep in address order, with one row per
+    address. How many networks are open is a running sum, and the innermost one is the last that
+    opened at that level. The sweep runs inside ranges of equal size (``ranges`` of them, by default the
+    session's shuffle partitions); sums and open networks pass from range to range as a row per
+    range and level.
     """
-    distinct = ips.select("ip").distinct()
-    unique = networks.groupBy("family", "plen", "hi", "lo").agg(
-        F.min_by("client", "line_no").alias("client"), F.min("line_no").alias("line_no"),
-        F.count("*").alias("n"))
-    lengths = networks.select("family", "plen").distinct()
-    parsed = distinct.withColumn("at", ip.address(F.col("ip"))).filter("at IS NOT NULL").select(
-        "ip", "at.family", "at.hi", "at.lo")
-    masked = parsed.join(F.broadcast(lengths), "family").withColumn(
-        "net", ip.masked(F.col("family"), F.col("hi"), F.col("lo"), F.col("plen"))
-    ).select("ip", "family", "plen", "net.hi", "net.lo")
-    masked = written(masked, "masked")  # read for the hot networks and for the join
-    best = spread_join(
-        masked, unique, ["family", "plen", "hi", "lo"], row_id=["ip"], rows_per_task=rows_per_task
-    ).groupBy("ip").agg(
-        F.min_by(F.struct("client", "plen"), F.struct(-F.col("plen"), "line_no")).alias("best"),
-        F.sum("n").alias("n_matches"),
-    )
-    return distinct.join(best, "ip", "left").select(
-        "ip", F.coalesce("best.client", F.lit(C.UNKNOWN_CLIENT)).alias("client"),
-        "best.plen", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+    ranges = ranges or int(ips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = written(
+        ips.select("ip").distinct().withColumn("at", ip.address(F.col("ip"))), "distinct-ips")
+    parsed = distinct.filter("at IS NOT NULL").select("ip", "at.family", "at.hi", "at.lo")
+    events = written(_events(parsed, networks).repartitionByRange(ranges, *PLACE[:3]).withColumn(
+        "range", F.spark_partition_id()), "sweep")
+
+    so_far = Window.partitionBy("range").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    passed = written(events.groupBy("range").agg(F.sum("n").alias("n"), F.sum("step").alias("step"))
+                     .select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
+                                        for c in ("n", "step"))), "sweep-ranges")
+    levels = events.select(
+        "range", *PLACE, "client", "ip", F.sum("n").over(so_far).alias("n"),
+        F.sum("step").over(so_far).alias("step"),
+    ).filter(F.col("kind") != CLOSES).join(passed, "range").select(
+        "range", *PLACE, "client", "ip", (F.col("step") + F.col("step_before")).alias("level"),
+        (F.col("n") + F.col("n_before")).alias("n_matches"))
+    levels = written(levels, "sweep-levels")
+
+    opens = F.col("kind") == OPENS
+    network = F.struct("client", "plen")
+    at_level = Window.partitionBy("range", "level").orderBy(*PLACE).rowsBetween(
+        Window.unboundedPreceding, 0)
+    ranges_before = Window.partitionBy("level").orderBy("range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    left_open = levels.groupBy("range", "level").agg(
+        F.max_by(network, F.when(opens, F.struct(*PLACE))).alias("last")
+    ).select("range", "level", F.last("last", True).over(ranges_before).alias("open_before"))
+    found = levels.withColumn("open", F.last(F.when(opens, network), True).over(at_level)).filter(
+        F.col("kind") == LOOKS).join(left_open, ["range", "level"])
+    best = F.when(F.col("level") > 0, F.coalesce("open", "open_before"))
+    unknown = F.lit(C.UNKNOWN_CLIENT)
+    return found.select(
+        "ip", F.coalesce(best["client"], unknown).alias("client"), best["plen"].alias("plen"),
+        "n_matches",
+    ).unionByName(distinct.filter("at IS NULL").select(
+        "ip", unknown.alias("client"), F.lit(None).cast("int").alias("plen"),
+        F.lit(0).cast("bigint").alias("n_matches")))
 
 
 def ns_ownership(addresses: DataFrame, networks: DataFrame) -> DataFrame:
