@@ -125,6 +125,26 @@ def failing_negatives(
     return probed(names, responses, resolver).filter(~F.col("status").isin("NOERROR", "NODATA"))
 
 
+def _alias_steps(
+    aliases: DataFrame, limit: int, rows_per_task: int
+) -> list[tuple[int, DataFrame]]:
+    """(n, (server, target, far)) for n = 1, 2, 4, ...: where ``n`` aliases in a row lead.
+
+    Each table is the one before joined with itself, over alias rows alone, until no chain is that long.
+    """
+    steps, n = [], 1
+    table = written(aliases.select("server", "qname", "target").toDF("server", "target", "far"), "alias-1")
+    while n <= limit and not table.isEmpty():
+        steps.append((n, table))
+        n *= 2
+        onward = table.select("server", "target", "far").toDF("server", "far", "further")
+        if n <= limit:
+            table = written(spread_join(
+                table, onward, ["server", "far"], row_id=["target"], rows_per_task=rows_per_task,
+            ).select("server", "target", F.col("further").alias("far")), f"alias-{n}")
+    return steps
+
+
 def chase_cnames(
     answers: DataFrame, limit: int = C.CNAME_LIMIT, rows_per_task: int = ROWS_PER_TASK,
     asked_for: DataFrame | None = None,
@@ -132,31 +152,33 @@ def chase_cnames(
     """(server, qname, rr_a, rr_cname, hops): each answer after following its first CNAME at the
     same server, ``limit`` times at most. A name without a reply ends the chain with empty lists.
 
-    Only names that are still aliases are joined again, and the loop ends when none is left.
+    Steps of 1, 2, 4, ... aliases are worked out once; a name takes the largest that fit, so rings
+    and long chains stop at the limit. All replies are joined once, for the ends of the chains.
     ``asked_for`` (server, qname) limits the chains to those that start there.
     """
     replies = answers.select("server", "qname", "rr_a", "rr_cname")
-    reached = replies.withColumn("hops", F.lit(0))
+    starts = replies.withColumn("hops", F.lit(0))
     if asked_for is not None:
-        reached = reached.join(asked_for, ["server", "qname"], "left_semi")
-    done = reached.filter(F.size("rr_cname") == 0)
-    waiting = reached.filter(F.size("rr_cname") > 0)
-    target = replies.select(
-        "server", F.col("qname").alias("target"), F.col("rr_a").alias("a"),
-        F.col("rr_cname").alias("c"))
-    for _ in range(limit):
-        asked = waiting.select("server", "qname", "hops", fully_qualified(
-            F.get("rr_cname", F.lit(0))).alias("target"))
-        step = written(spread_join(
-            asked, target, ["server", "target"], "left", ["qname"], rows_per_task
-        ).select("server", "qname", F.coalesce("a", no_items()).alias("rr_a"),
-                 F.coalesce("c", no_items()).alias("rr_cname"),
-                 (F.col("hops") + 1).alias("hops")), "chase")
-        done = done.unionByName(step.filter(F.size("rr_cname") == 0))
-        waiting = step.filter(F.size("rr_cname") > 0)
-        if waiting.isEmpty():
-            return done
-    return done.unionByName(waiting)
+        starts = starts.join(asked_for, ["server", "qname"], "left_semi")
+    alias = F.size("rr_cname") > 0
+    steps = _alias_steps(replies.filter(alias).select(
+        "server", "qname", fully_qualified(F.get("rr_cname", F.lit(0))).alias("target")),
+        limit, rows_per_task)
+    if not steps:
+        return starts
+    at = starts.filter(alias).select("server", "qname", "hops", F.col("qname").alias("target"))
+    for n, table in reversed(steps):
+        far = F.when(F.col("hops") + n <= limit, F.col("far"))
+        at = written(spread_join(
+            at, table, ["server", "target"], "left", ["qname"], rows_per_task
+        ).select("server", "qname", (F.col("hops") + F.when(far.isNotNull(), n).otherwise(0)).alias(
+            "hops"), F.coalesce(far, "target").alias("target")), "chase")
+    ends = replies.select(
+        "server", F.col("qname").alias("target"), F.col("rr_a").alias("a"), F.col("rr_cname").alias("c"))
+    found = spread_join(at, ends, ["server", "target"], "left", ["qname"], rows_per_task).select(
+        "server", "qname", F.coalesce("a", no_items()).alias("rr_a"),
+        F.coalesce("c", no_items()).alias("rr_cname"), "hops")
+    return starts.filter(~alias).unionByName(found)
 
 
 def ns_disagreement(
