@@ -7,12 +7,14 @@ import re
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from zonescope.catalog import QUERIES
 from zonescope.operators import addresses, health, reports
 from zonescope.oracles import ORACLES
 from zonescope.plans import derived
+from zonescope.plans.workspace import written
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -82,3 +84,35 @@ def test_reports_need_no_join_or_window(spark):
     for report in (reports.spf_report, reports.txt_report, reports.mx_report, reports.ptr_report):
         text = plan(report(records))
         assert not re.search("Join|Window", text) and text.count("Exchange hash") <= 2
+
+
+def rows_scanned(df):
+    """Rows that the scans of a query gave, after row groups were skipped."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sum(found)
+
+
+def test_a_lookup_opens_few_row_groups(spark):
+    names = spark.range(200_000).select(F.concat(
+        F.md5(F.col("id").cast("string")), F.lit(".")).alias("domain"), F.lit("x" * 40).alias("rdata"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 27)
+    plain = written(names.repartition(4), "plain")
+    indexed = written(names.repartition(4), "indexed", look_up="domain")
+    there, absent = names.first().domain, "nobody."
+    look = lambda table, name: table.filter(F.col("domain") == name)
+    inside = "8" * 31 + "."  # between the least and the greatest name of every file
+    assert rows_scanned(look(plain, inside)) == 200_000
+    assert rows_scanned(look(indexed, inside)) <= 60_000
+    assert rows_scanned(look(indexed, absent)) == 0
+    assert look(indexed, there).count() == 1 and rows_scanned(look(indexed, there)) <= 120_000

@@ -22,13 +22,16 @@ def build_cache(dump: Dump, compat: bool = True) -> Cache:
 
     The resolved lines are written first, so the text is parsed once for records and domains.
     Records are sorted by type and domain inside each file: a report on one type, or a lookup of
-    one domain, skips the other row groups and pages.
+    one domain, skips the other row groups and pages. Domains have Bloom filters, so a lookup opens
+    no row group without its domain, whatever the range of names there.
     """
     resolved = written(
         parse.resolved_lines(parse.line_states(dump, compat), compat), "resolved")
     records = written(
-        parse.records(resolved, compat).sortWithinPartitions("rtype", "domain", "seq"), "records")
-    domains = written(parse.domains(resolved), "domains")
+        parse.records(resolved, compat).sortWithinPartitions("rtype", "domain", "seq"), "records",
+        look_up="domain")
+    domains = written(parse.domains(resolved).sortWithinPartitions("domain"), "domains",
+                      look_up="domain")
     negatives = written(parse.negatives(records), "negatives")
     return Cache(records, domains, negatives)
 

@@ -26,8 +26,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/zonescope/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet and read it back: work is done once and survives lost executors."""
+def written(df: DataFrame, name: str, look_up: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet and read it back: work is done once and survives lost executors.
+
+    ``look_up`` names a column that gets Bloom filters, so that a search for one value opens only the
+    row groups that may hold it.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write
+    if look_up:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{look_up}", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
