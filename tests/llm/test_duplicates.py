@@ -72,7 +72,7 @@ def test_lines_equal_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs + [(None, docs[0][1])], "doc_id long, text string").withColumn(
         "line", F.lit("clash")).repartition(4)
     dropped = lines.dropped_lines(df)
-    got = {tuple(r) for r in dropped.collect()}
+    got = {tuple(r) for r in dropped.drop("of").collect()}
     assert got == plain_drops(docs) and len(got) > 100
     cleaned = {r.doc_id: r.text for r in lines.without_dropped(df, dropped).collect()}
     for i, t in docs:
@@ -117,10 +117,27 @@ def test_lines_a_few_edits_apart_equal_brute_force(spark, monkeypatch, crowd):
         seen.add(label[x])
         equal.add(x)
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
-    got = {tuple(r) for r in lines.dropped_lines(df, max_edits=4).collect()}
+    got = {tuple(r) for r in lines.dropped_lines(df, max_edits=4).drop("of").collect()}
     assert got == want and len(got) > lines.dropped_lines(df).count()
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    line = "a line that is found twice in all of them"
+    own = "a line that is found nowhere else at all"
+    docs = spark.createDataFrame(
+        [(1, line), (2, line + "\n" + line), (2, own + "\n" + line), (3, own[::-1]), (3, own[::-1]), (4, None)],
+        "doc_id long, text string").withColumn("of", F.lit("clash"))
+    cleaned = lines.without_dropped(docs, lines.dropped_lines(docs))
+    assert sorted((r.doc_id, r.text or "") for r in cleaned.collect()) == [
+        (1, line), (2, own), (3, own[::-1]), (3, own[::-1]), (4, "")]
+    six = "one two three four five six"
+    rows = spark.createDataFrame(
+        [(1, six), (2, six), (2, "other words that none of the others has"), (5, None)],
+        "doc_id long, text string").withColumn("text_hash", F.lit("clash"))
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in minhash.one_per_group(rows).collect()) == [
+        (1, "one t"), (2, "other"), (5, "")]
+
+
 def test_lines_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dropped_lines(df).count() == 0
@@ -222,8 +239,8 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.count() > 0 and before.count() > 0
     given, kept = seen["quality rules"]
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    verdicts = quality.judged(quality.with_values(quality.measured(given), keep=["doc_id"]),
-                              quality.fitted(given)).collect()
+    values = quality.with_values(quality.measured(given), keep=["doc_id"])
+    verdicts = quality.judged(values, quality.thresholds(quality.sketches(values))).collect()
     assert ids == {r.doc_id for r in verdicts if r.kept}
     given, cleaned = seen["line dedup"]
     rows = [(r.doc_id, r.text) for r in given.collect()]
@@ -246,3 +263,26 @@ def test_pipeline_stages(spark, tmp_path):
     same = given.select("doc_id", F.sha2("text", 256).alias("h")).join(ids, "doc_id").filter(
         "h = decoded_sha256")
     assert same.select("doc_id").distinct().count() == given.select("doc_id").distinct().count()
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, words, "en", "a", 9), (3, words, "en", "a", 9),
+            (3, words.replace("word", "other"), None, "a", 9), (None, words.upper(), "en", None, 9),
+            (4, " ".join(f"long{i}" for i in range(60_000)), "en", "b", 9)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(
+            given, "doc_id long, text string, lang string, source string, n_chars long").withColumn(
+            "Kept", F.lit("clash"))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            left = sorted((str(r.doc_id), r.text[:5]) for r in out.collect()) if "text" in out.columns else None
+            if name != "byte bpe":
+                assert out.columns == docs.columns, name
+            if given and name == "quality rules":
+                assert left == [("3", "other"), ("3", "word0"), ("3", "word0"), ("4", "long0"), ("None", "WORD0")]
+            if given and name == "near dedup":  # the namesake stays, in both its texts
+                assert left == [("3", "other"), ("3", "word0"), ("3", "word0"), ("4", "long0"), ("None", "WORD0")]
+            docs = out if name != "byte bpe" else docs
+        assert out.count() == docs.count()

@@ -65,6 +65,12 @@ def test_mix_as_documents(spark):
     assert {r["source"]: r["count"] for r in out.groupBy("source").count().collect()} == {
         "s": 96, "t": 38}
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+    equal = spark.createDataFrame(
+        [(1, "a b c d e", "s", i) for i in range(1000)] + [(2, "w " * 5000, "t", 0)],
+        "doc_id long, text string, source string, n int").repartition(5)
+    out = mixing.mixed_documents(equal, weights=(7, 4), share=1.1)  # 7000 of 11,000 words for s
+    assert {r["source"]: r["count"] for r in out.groupBy("source").count().collect()} == {
+        "s": 1400, "t": 1}
     with pytest.raises(ValueError, match="weights"):
         mixed(docs, weights=())
 

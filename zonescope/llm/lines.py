@@ -15,7 +15,7 @@ different components are, in blocks of the crowd, and only links come out. Linke
 class. Of a class, the first line of the document with the smallest id stays.
 
 Defined results. Documents without an id keep all lines and count for nothing. Rows with equal ids
-are one document and are treated alike. Null texts stay null, and have no lines. Empty lines and line
+and texts are one document and are treated alike; other texts of an id are documents of their own. Null texts stay null, and have no lines. Empty lines and line
 ends inside a text stay in place around dropped lines. Very long lines take part whole. An empty
 table gives no rows. Other columns stay as they are.
 """
@@ -43,9 +43,10 @@ WORD_BITS = 21
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(id, at, line, node, check) of the lines that are compared."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.posexplode(
-        F.split(F.col(text), "\n")).alias("at", "line")).filter(F.col("id").isNotNull())
+    """(id, of, at, line, node, check) of the lines that are compared; ``of`` is a hash of the text."""
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"),
+        F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).filter(F.col("id").isNotNull())
     return rows.filter(F.length("line") >= min_chars).withColumns({
         "node": F.xxhash64("line"), "check": F.xxhash64("line", F.lit(1))})
 
@@ -210,7 +211,7 @@ def dropped_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
     max_edits: int = 1,
 ) -> DataFrame:
-    """(id, at, near) of the lines to drop; ``near`` where no equal line comes earlier."""
+    """(id, of, at, near) of the lines to drop; ``near`` where no equal line comes earlier."""
     if min_chars < 16:
         raise ValueError("lines must be long enough for the splits before the first pairs")
     if not 1 <= max_edits < 32:
@@ -221,16 +222,17 @@ def dropped_lines(
     linked = linked_lines(every, max_edits, min_chars)
     classes = written(line_classes(nodes, linked), "line-classes")
 
-    hits = written(every.select("id", "at", "node", "check").join(classes, ["node", "check"]),
+    hits = written(every.select("id", "of", "at", "node", "check").join(classes, ["node", "check"]),
                    "line-hits")
-    kept = hits.filter("id = class_winner").groupBy("class", "id").agg(
-        F.min("at").alias("at")).select("class", "id", "at", F.lit(True).alias("kept"))
-    first_equal = hits.filter("id = winner").groupBy("node", "check", "id").agg(
-        F.min("at").alias("at")).select("node", "check", "id", "at", F.lit(True).alias("near"))
-    return hits.select("id", "at", "node", "check", "class").join(
-        kept, ["class", "id", "at"], "left").filter("kept is null").join(
-        first_equal, ["node", "check", "id", "at"], "left").select(
-        "id", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    first = F.min(F.struct("at", "of")).alias("first")
+    kept = hits.filter("id = class_winner").groupBy("class", "id").agg(first).select(
+        "class", "id", "first.*", F.lit(True).alias("kept"))
+    first_equal = hits.filter("id = winner").groupBy("node", "check", "id").agg(first).select(
+        "node", "check", "id", "first.*", F.lit(True).alias("near"))
+    return hits.select("id", "of", "at", "node", "check", "class").join(
+        kept, ["class", "id", "of", "at"], "left").filter("kept is null").join(
+        first_equal, ["node", "check", "id", "of", "at"], "left").select(
+        "id", "of", "at", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def line_classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -251,13 +253,17 @@ def line_classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
 def without_dropped(
     docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """The documents without the dropped lines; those left without a word go."""
-    per_doc = written(dropped.groupBy("id").agg(F.collect_set("at").alias(own("drop"))).select(
-        F.col("id").alias(own("id")), own("drop")), "line-drops")
+    """The documents without the dropped lines; those left without a word go.
+
+    Lines are dropped by id and text, so a document loses no line that only its namesake repeats.
+    """
+    per_doc = written(dropped.groupBy("id", "of").agg(F.collect_set("at").alias(own("drop"))).select(
+        F.col("id").alias(own("id")), F.col("of").alias(own("of")), own("drop")), "line-drops")
     lines, drop = F.split(F.col(text), "\n"), F.col(own("drop"))
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
     left = F.concat_ws("\n", F.transform(places, lambda i: F.get(lines, i)))
     cleaned = F.when(drop.isNull(), F.col(text)).otherwise(left)
-    joined = docs.join(per_doc, F.col(doc_id).cast("long") == F.col(own("id")), "left")
+    joined = docs.join(per_doc, (F.col(doc_id).cast("long") == F.col(own("id"))) & (
+        F.xxhash64(F.col(text)) == F.col(own("of"))), "left")
     names = [F.col(f"`{n}`") if n != text else cleaned.alias(text) for n in docs.columns]
     return joined.filter(drop.isNull() | cleaned.rlike(WORD)).select(*names)

@@ -114,8 +114,13 @@ def sliced(column: pa.Array):
 SKETCH = "struct<n: bigint, key: binary, bands: array<bigint>, sig: binary>"
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(id, n, key, bands, sig): set size and digest, buckets, bytes to compare."""
+def sketches(
+    docs: DataFrame, doc_id: str, text: str, width: int, by_text: bool = False,
+) -> DataFrame:
+    """(id, n, key, bands, sig): set size and digest, buckets, bytes to compare.
+
+    ``by_text`` adds a hash of the text, as ids may have several texts.
+    """
     def sketch(texts: pa.Array) -> pa.Array:
         out = []
         for t in sliced(texts):
@@ -130,8 +135,10 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 "sig": (least[:COMPARED] >> np.uint64(50)).astype(np.uint8).tobytes()})
         return pa.array(out, pa.struct([("n", pa.int64()), ("key", pa.binary()),
                                         ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]))
-    return docs.select(F.col(doc_id).cast("long").alias("id"),
-                       F.arrow_udf(sketch, SKETCH)(F.col(text)).alias("s")).select("id", "s.*")
+    more = [F.xxhash64(F.col(text)).alias("text_hash")] if by_text else []
+    found = docs.select(F.col(doc_id).cast("long").alias("id"), *more,
+                        F.arrow_udf(sketch, SKETCH)(F.col(text)).alias("s"))
+    return found.select("id", "s.*", *(["text_hash"] if by_text else []))
 
 
 def needed(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -264,10 +271,11 @@ def block_arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80,
+    by_text: bool = False,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each document."""
+    """(id, n_shingles, component_id, kept) for each document; with ``by_text`` a text_hash too."""
     rule = needed(percent / 100)
-    table = written(sketches(docs, doc_id, text, width), "near-sketches")
+    table = written(sketches(docs, doc_id, text, width, by_text), "near-sketches")
     known = table.filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     reps = written(known.groupBy("key").agg(F.min("id").alias("rep")), "near-reps")
     chosen = written(known.join(reps.select(F.col("key").alias("k"), "rep"), (
@@ -320,14 +328,22 @@ def near_duplicates(
     per_set = written(per_set, "near-sets-labelled")
     joined = table.join(per_set, F.col("key") == F.col("k"), "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(
-            F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+            F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+        *(["text_hash"] if by_text else []))
     return joined.withColumn("kept", F.coalesce(
         F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without those whose group has a smaller id; documents without an id stay."""
-    found = near_duplicates(docs, doc_id, **options).filter("not kept").select(
-        F.col("id").alias(own("id"))).distinct()
+def one_per_group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options,
+) -> DataFrame:
+    """The documents without those whose group has a smaller id; documents without an id stay.
+
+    Verdicts go back to id and text, so a document does not go with its namesake. Columns of the input
+    stay as they are.
+    """
+    found = near_duplicates(docs, doc_id, text, by_text=True, **options).filter("not kept").select(
+        F.col("id").alias(own("id")), F.col("text_hash").alias(own("hash"))).distinct()
     gone = written(found, "near-gone")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col(own("id")), "left_anti")
+    return docs.join(gone, (F.col(doc_id).cast("long") == F.col(own("id"))) & (
+        F.xxhash64(F.col(text)) == F.col(own("hash"))), "left_anti")

@@ -150,13 +150,33 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each as often as the mix takes it, in the columns of ``docs``.
 
     Documents stay whole. The one at a source's cut counts when at least half of it is taken, so a
-    source is off its budget by half a document at most.
+    source is off its budget by half a document at most. Rows with the key at the cut (repeats of one
+    id and text) are numbered, partition by partition, and the first of them are taken.
     """
     plan = mix_plan(written(sized(docs).select(SOURCE, SIZE, KEY), "mix-sizes"), **options)
-    kept = own("row")
-    marked = mix(sized(docs.withColumn(kept, F.struct(*[F.col(f"`{n}`") for n in docs.columns]))),
-                 plan)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
-    repeated = marked.filter(copies >= 1).select(
-        kept, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(own("copy")))
+    c = lambda name: F.col(own(name))
+    kept, copies = own("row"), own("copies")
+    packed = docs.withColumn(kept, F.struct(*[F.col(f"`{n}`") for n in docs.columns]))
+    joined = sized(packed).join(plan, exact(F.col(SOURCE), c("s"))).filter(F.col(SIZE) > 0)
+    at_cut = F.col(KEY).eqNullSafe(c("cut_key"))
+    before_cut = F.coalesce(F.col(KEY) < c("cut_key"), F.lit(False)).cast("int")
+    whole = joined.filter(~at_cut).select(kept, (c("epochs") + before_cut).alias(copies))
+
+    cut = written(joined.filter(at_cut).select(
+        kept, SOURCE, c("epochs"), F.round(c("left") / F.col(SIZE)).alias(own("more")),
+        F.monotonically_increasing_id().alias(own("place"))), "mix-cut").withColumn(
+        own("part"), F.shiftright(own("place"), 33))
+    parts = cut.groupBy(SOURCE, own("part")).agg(F.count("*").alias(own("n")))
+    earlier = Window.partitionBy(SOURCE).orderBy(own("part")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    parts = written(parts.select(
+        F.col(SOURCE).alias(own("ps")), c("part").alias(own("pp")),
+        F.coalesce(F.sum(own("n")).over(earlier), F.lit(0)).alias(own("before"))), "mix-cut-parts")
+    in_part = Window.partitionBy(SOURCE, own("part")).orderBy(own("place"))
+    numbered = cut.withColumn(own("i"), F.row_number().over(in_part)).join(
+        parts, exact(F.col(SOURCE), c("ps")) & (c("part") == c("pp")))
+    taken = (c("before") + c("i") <= c("more")).cast("int")
+    rows = whole.unionByName(numbered.select(kept, (c("epochs") + taken).alias(copies)))
+    repeated = rows.filter(c("copies") >= 1).select(
+        kept, F.explode(F.sequence(F.lit(1), c("copies").cast("int"))).alias(own("copy")))
     return repeated.select(f"{kept}.*")

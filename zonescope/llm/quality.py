@@ -168,12 +168,6 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     ).agg(*[fence(f).alias(own(f"{f.measure}_max")) for f in FENCES])
 
 
-def fitted(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """The thresholds of all documents, written: one row per language and source."""
-    values = with_values(measured(docs), lang, source, keep=[])
-    return written(thresholds(written(sketches(values), "quality-sketch")), "quality-fences")
-
-
 def judged(values: DataFrame, fences: DataFrame) -> DataFrame:
     """``with_values`` rows and ``kept``: not failed by the base rules, no measure over its fence."""
     joined = values.join(
@@ -189,9 +183,15 @@ def judged(values: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, in their own columns."""
+    """The documents that pass, in their own columns.
+
+    Texts are measured once and written with their measures, so that neither the thresholds nor the
+    verdicts need Python again, and no text is shuffled. Documents with null texts fail.
+    """
+    rows = written(measured(docs), "quality-rows")
+    values = with_values(rows, lang, source, keep=[])
+    fences = written(thresholds(written(sketches(values), "quality-sketch")), "quality-fences")
     row = own("row")
-    packed = docs.withColumn(row, F.struct(*[F.col(f"`{n}`") for n in docs.columns]))
-    values = with_values(measured(packed), lang, source, keep=[row]).withColumnRenamed(
-        row, "document")
-    return judged(values, fitted(docs, lang, source)).filter("kept").select("document.*")
+    packed = rows.withColumn(row, F.struct(*[F.col(f"`{n}`") for n in docs.columns]))
+    values = with_values(packed, lang, source, keep=[row]).withColumnRenamed(row, "document")
+    return judged(values, fences).filter("kept").select("document.*")
