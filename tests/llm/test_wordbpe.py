@@ -52,6 +52,14 @@ def test_merges_equal_the_library(vocabulary, library):
     words = ["".join(rng.choice("abcdeinst") for _ in range(n)) for n in (*range(1, 60), 300)]
     for word in [*words, "a" * 999, "aab" * 300, "é" * 500, "=" * 1000, "-" * 31, "-" * 32]:
         assert merge(word.encode()) == library.encode(word, add_special_tokens=False).ids
+    words += ["a" * n for n in range(64)] + ["aab" * 20, "ab" * 31, "漢字" * 10]
+    assert merge.trained
+    for word, ids in zip(words, merge.packed([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == merge(word.encode())
+    odd = {(97, 98): (0, 300), (98, 98): (1, 301), (300, 98): (2, 302), (97, 301): (3, 302)}
+    tokens = {b: bytes([b]) for b in range(256)}
+    odd = wordbpe.Merger(wordbpe.Vocabulary(tokens, odd, {}, {}, ""))
+    assert not odd.trained and odd.packed([b"abb", b""]) == [np.int32(302).tobytes(), b""]
 
 
 def test_transducer_is_minimal_and_exact():

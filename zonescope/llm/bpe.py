@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonescope.llm.pieces import by_size, id_lists, spaces_meet
+
 #: Entries of a cache, bytes of text encoded at a time, and bytes from which a word is long.
 CACHE, GROUP_BYTES, LONG = 600_000, 4 << 20, 64
 #: Rows of an Arrow batch that are Python objects at a time.
@@ -42,13 +43,6 @@ SLICE = 512
 QUERY_BYTES = 1 << 19
 DUCKDB = {"threads": 1, "memory_limit": "2GB", "temp_directory": ""}
 
-#: Where a space has no other white space beside it, a pre-token starts at it, whatever the pattern's
-#: letters and signs are: so such texts are cut at their spaces first.
-SPACES_MEET = re.compile(r" \s|\s ")
-USUAL = "\n\t\r"
-RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in f" {USUAL}"]
-MEETING = ["  ", *(pair for c in USUAL for pair in (f" {c}", f"{c} "))]
-
 ENCODE = """
 WITH RECURSIVE s(k, t, f, l, done) AS (
   SELECT word * 2147483648 + place, token, byte, byte, false
@@ -140,13 +134,6 @@ def read_ranks(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tuple(ranks[r] for r in range(len(ranks))), pattern, digest)
 
 
-def spaces_meet(text: str) -> bool:
-    """Whether white space stands beside a space; plain searches tell for most texts."""
-    if any(c in text for c in RARE):
-        return SPACES_MEET.search(text) is not None
-    return any(pair in text for pair in MEETING)
-
-
 class Cache(dict):
     """Bounded: when full, it goes back to the keys that were asked for again."""
 
@@ -281,19 +268,6 @@ class Codec:
         self.runs.update(zip(runs, pieces, strict=True))
 
 
-def by_size(items: list, size, most: int) -> Iterator[list]:
-    """Cut a list where the sizes of a part reach ``most``."""
-    part, total = [], 0
-    for item in items:
-        part.append(item)
-        total += size(item)
-        if total >= most:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
-
-
 #: The codec of a worker process, by the digest of its vocabulary and the size of its caches.
 _codecs: dict[tuple[str, int], Codec] = {}
 
@@ -310,12 +284,6 @@ def shared(spark: SparkSession, vocabulary: Vocabulary) -> Broadcast:
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def id_lists(rows: list[bytes]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])
-    return pa.ListArray.from_arrays(
-        pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-
-
 def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
     """The documents with the ids of their texts."""
     def ids_of(texts: pa.Array) -> pa.Array:

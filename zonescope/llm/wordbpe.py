@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,9 +34,8 @@ import regex
 from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import pre_tokenizers
 
-from zonescope.llm.bpe import by_size, id_lists, spaces_meet
+from zonescope.llm.pieces import by_size, id_lists, spaces_meet
 from zonescope.llm.transducer import compile_words, look_up, mapped, pack
 from zonescope.plans.workspace import new_folder
 
@@ -43,7 +43,7 @@ from zonescope.plans.workspace import new_folder
 LEXICON = 1 << 17
 #: Bytes of words and ids that a worker remembers, counted with what Python needs for each, the bytes
 #: from which a word is not remembered, and the bytes of distinct words before counts are sent on.
-CACHE_BYTES, LONG_WORD, COUNT_BYTES, ENTRY = 96 << 20, 512, 32 << 20, 250
+CACHE_BYTES, LONG_WORD, COUNT_BYTES, ENTRY = 64 << 20, 512, 32 << 20, 250
 #: Texts and bytes of text that are Python objects at a time.
 SLICE, SLICE_BYTES = 512, 4 << 20
 #: The pattern of byte-level pre-tokenizers.
@@ -77,6 +77,8 @@ def stand_ins() -> dict[int, str]:
 
     Characters of one class here are one string; the library cuts it where its own class changes.
     """
+    from tokenizers import pre_tokenizers  # on the driver only
+
     own = pre_tokenizers.ByteLevel(add_prefix_space=False)
     joins = lambda text: len(own.pre_tokenize_str(text)) == 1
     every = "".join(chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000 and p != 0x20)
@@ -113,16 +115,76 @@ def read_tokenizer(path: str) -> Vocabulary:
 
 
 class Merger:
-    """Merges one word: always the leftmost pair of least rank, until none is left."""
+    """Merges words: always the leftmost pair of least rank, until none is left.
+
+    Where every merge makes a token of its own that only later merges use, as training gives them, a
+    pair's merge can make no pair of lower rank; then all places of a word's least pair go at once, and
+    many words in step.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         single = {t: i for i, t in vocabulary.tokens.items() if len(t) == 1}
         self.merges, self.of_byte = vocabulary.merges, [single[bytes([b])] for b in range(256)]
+        made = {new: rank for rank, new in self.merges.values()}
+        self.trained = len(made) == len(self.merges) and all(
+            made.get(t, -1) < rank for pair, (rank, _) in self.merges.items() for t in pair)
+        bits = max([1, *(t for pair in self.merges for t in pair)]).bit_length()
+        keys = np.array([(a << bits) | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.bits, self.keys = bits, keys[order]
+        found = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order]
+        self.ranks, self.made = found[:, 0], np.zeros(len(found) + 1, np.int64)
+        if self.trained:
+            self.ranks = np.unique(self.ranks, return_inverse=True)[1]
+            self.made[self.ranks] = found[:, 1]
 
     def __call__(self, word: bytes) -> list[int]:
         ids = [self.of_byte[b] for b in word]
         return self.short(ids) if len(ids) < 32 else self.long(ids)
 
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words as packed 32-bit integers."""
+        if not self.trained or not len(self.keys):
+            return [np.array(self(w), np.int32).tobytes() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        for i, word in enumerate(words):
+            if len(word) >= 64:
+                out[i] = np.array(self.long([self.of_byte[b] for b in word]), np.int32).tobytes()
+        short = [i for i, word in enumerate(words) if 0 < len(word) < 64]
+        for i, ids in zip(short, self.in_step([words[i] for i in short]), strict=True):
+            out[i] = ids
+        return out
+
+    def in_step(self, words: list[bytes]) -> list[bytes]:
+        none = len(self.keys)
+        ids = np.array(self.of_byte)[np.frombuffer(b"".join(words), np.uint8)]
+        of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        done_ids, done_of = [], []
+        while len(ids):
+            pairs = (ids[:-1] << self.bits) | ids[1:]
+            at = np.minimum(np.searchsorted(self.keys, pairs), none - 1)
+            known = (self.keys[at] == pairs) & (of[:-1] == of[1:])
+            rank = np.append(np.where(known, self.ranks[at], none), none)
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            size = np.diff([*first, len(ids)])
+            least = np.repeat(np.minimum.reduceat(rank, first), size)
+            over = least == none
+            done_ids.append(ids[over])
+            done_of.append(of[over])
+            hits = np.flatnonzero((rank == least) & ~over)
+            # Where places follow each other, as in a run of one token, every other one goes.
+            order = np.arange(len(hits))
+            run = np.maximum.accumulate(np.where(np.diff(hits, prepend=-2) > 1, order, 0))
+            hits = hits[(order - run) % 2 == 0]
+            ids[hits] = self.made[rank[hits]]
+            left = ~over
+            left[hits + 1] = False
+            ids, of = ids[left], of[left]
+        ids, of = np.concatenate([*done_ids, ids]), np.concatenate([*done_of, of])
+        ids = ids[np.argsort(of, kind="stable")].astype(np.int32).tobytes()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))]) * 4
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def short(self, ids: list[int]) -> list[int]:
         merges, none = self.merges, (1 << 40, -1)
         while len(ids) > 1:
@@ -205,16 +267,17 @@ def sliced(column: pa.Array) -> Iterator[list[str | None]]:
 
 
 def word_counts(docs: DataFrame, vocabulary: Broadcast, text: str = "text") -> DataFrame:
-    """(word, n) over all texts. A word that a task meets only once is not counted there: it is not
-    frequent, and nothing depends on it."""
+    """(word, n) over all texts. What a task meets only once between two spaces is not counted
+    there: it is not frequent, and no result depends on it."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(vocabulary.value)
         words, parts, size = Counter(), Counter(), 0
 
         def flushed() -> pa.RecordBatch:
             for part, n in parts.items():
-                for word in own.find(" " + part):
-                    words[word] += n
+                if n > 1:
+                    for word in own.find(" " + part):
+                        words[word] += n
             many = [(w, n) for w, n in words.items() if n > 1 and len(w) < LONG_WORD]
             words.clear()
             parts.clear()
@@ -249,7 +312,7 @@ class Lexicon(NamedTuple):
 
 def share_file(spark: SparkSession, content: bytes, name: str) -> str:
     """Write a file in the shared folder and have every executor fetch it; its name there."""
-    jvm, name = spark._jvm, f"{name}-{hashlib.sha256(content).hexdigest()[:32]}"
+    jvm, name = spark._jvm, f"{name}-{uuid.uuid4().hex}"
     path = jvm.org.apache.hadoop.fs.Path(f"{new_folder(spark, 'files')}/{name}")
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = system.create(path)
@@ -269,7 +332,8 @@ def fitted(
     top = word_counts(docs, shared, text).orderBy(F.desc("n"), "word").limit(lexicon)
     merge = Merger(vocabulary)
     words = sorted(r.word.encode() for r in top.select("word").collect())
-    content = pack(compile_words((w, tuple(merge(w))) for w in words))
+    ids = (tuple(np.frombuffer(ids, np.int32).tolist()) for ids in merge.packed(words))
+    content = pack(compile_words(zip(words, ids, strict=True)))
     return Lexicon(shared, share_file(spark, content, "lexicon"))
 
 
@@ -289,10 +353,10 @@ class Codec:
         found = {w: ids for w in words if (ids := self.words.get(w)) is not None}
         fresh = [w for w in words if w not in found]
         raw = [w.encode() for w in fresh]
-        for word, data, ids in zip(fresh, raw, look_up(self.lexicon, raw), strict=True):
-            if ids is None:
-                ids = np.array(self.merge(data), np.int32).tobytes()
-            found[word] = ids
+        known = look_up(self.lexicon, raw)
+        unseen = iter(self.merge.packed([w for w, ids in zip(raw, known, strict=True) if ids is None]))
+        for word, data, ids in zip(fresh, raw, known, strict=True):
+            found[word] = ids = next(unseen) if ids is None else ids
             if len(data) < LONG_WORD:
                 self.words[word] = ids
                 self.size += ENTRY + len(data) + len(ids)
