@@ -405,3 +405,15 @@ def test_captures_as_files(spark, tmp_path):
 def test_list_helper_keeps_duplicates(spark):
     df = records(spark, ("a.", "NS", "n."), ("a.", "NS", "n."))
     assert lists.joined(df, ["domain"], F.col("rdata")).first().value == "n.,n."
+
+
+def test_files_follow_the_size_of_a_source(spark, tmp_path):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") < 200, F.concat(F.lit("dump"), F.col("id").cast("string"))).otherwise("large")
+        .alias("source"), F.lit("the same line").alias("line")).repartition(8)
+    folder = lines.write_lines(rows, str(tmp_path / "out"), "1", lines_per_file=1000)
+    files = [p for p in (tmp_path / "out" / "run=1").rglob("part-*")]
+    large = [p for p in files if p.parent.name == "source=large"]
+    assert len(files) - len(large) == 200 and 1 <= len(large) <= 6
+    assert spark.read.text(folder).groupBy("source").count().filter("source = 'large'").first()[1] == 5800
+    assert (tmp_path / "out" / "run=1" / "_SUCCESS").exists()

@@ -312,3 +312,10 @@ def test_many_blocks_in_small_ranges(spark, tmp_path):
     whole = states(1 << 27, 1)
     assert whole == states(61, 40)
     assert len({r.value_seq for r in whole}) > 50 and len({r.owner for r in whole}) > 50
+
+
+def test_records_before_any_attribute(spark, tmp_path):
+    """P10: without an attribute line above it a record's attribute is the default."""
+    text = f"{OPEN}\na.example.\t1\tA\t1.1.1.1\n; glue\nb.example.\t1\tA\t2.2.2.2\n"
+    rows, _ = parsed(spark, tmp_path, text)
+    assert sorted((r[2], r[5]) for r in rows) == [("a.example.", "unknown"), ("b.example.", "glue")]

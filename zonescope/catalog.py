@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from zonescope import constants as C
 from zonescope.functions import ip
-from zonescope.functions.arrays import bag_equal, bounded_contains
+from zonescope.functions.arrays import bag_equal, bounded_contains, either_contains
 from zonescope.operators import addresses as addr
 from zonescope.operators import health, parse, reports, trace
 from zonescope.plans import derived as D
 from zonescope.plans.workspace import new_folder, written
 from zonescope.sinks import lines
+from zonescope.sources.responses import scan_responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 LISTED = ["domain", "value"]
@@ -254,6 +255,21 @@ def bounded_containment(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", bounded_contains(F.col("words"), F.col("bare")).alias("contained"))
 
 
+def either_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Containment in one direction, and in either."""
+    both = [either_contains(F.col("bare"), F.col("words"), compat) for compat in (True, False)]
+    return _words(spark, sf).select("doc_id", both[0].alias("one_way"), both[1].alias("either"))
+
+
+def captured_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A capture written as JSON and read back as a capture, by server."""
+    folder = new_folder(spark, "capture")
+    D.captured(spark, sf).write.json(folder)
+    return scan_responses(spark, folder, "json").groupBy("server").agg(
+        F.count("*").alias("n_probes"), F.count_if("answered").alias("n_answered"),
+        F.sum(F.size("rr_a") + F.size("rr_cname")).alias("n_answers"))
+
+
 def cname_chase(spark: SparkSession, sf: str) -> DataFrame:
     replies = written(health.answers(D.captured(spark, sf)), "answers")
     return health.chase_cnames(replies).select(
@@ -285,6 +301,25 @@ def trace_answers(spark: SparkSession, sf: str) -> DataFrame:
         "domain", _text("addresses"))
 
 
+def deep_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces of 1 to 12 hops and 0 to 12 aliases, of which 10 are followed."""
+    found = trace.delegation_trace(D.deep_names(spark, sf), D.captured_deep(spark, sf), D.RESOLVER)
+    return found.select("domain", _text("addresses"), _text("child_ns"), _text("parent_ns"))
+
+
+def deep_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return trace.trace_answers(D.deep_names(spark, sf), D.captured_deep(spark, sf), D.RESOLVER).select(
+        "domain", _text("addresses"))
+
+
+def deep_chase(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of 0 to 6 aliases and rings, of which 5 are followed."""
+    replies = written(health.answers(D.captured_deep(spark, sf)), "answers")
+    starts = replies.filter((F.col("server") == D.CHAIN_NS) & F.col("qname").rlike("^(c[0-9]+-0|r)"))
+    return health.chase_cnames(replies, asked_for=starts.select("server", "qname")).select(
+        "qname", "hops", _text("rr_a"), _text("rr_cname"))
+
+
 def _mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return trace.parent_child_mismatch(D.cache(spark, sf).negatives, _traces(spark, sf))
 
@@ -377,7 +412,8 @@ _ALL = (
     txt_report, spf_report, spf_report_relaxed, mx_report, single_ns, single_ns_count, report_sizes,
     ns_address_join, ns_ip_list, ns_ip_domains, ip_ranges, ip_attribution, ns_ip_ownership,
     probe_status, probe_latency, response_normalise, failing_negatives, bag_equality,
-    bounded_containment, cname_chase, ns_disagreement, delegation_trace, trace_answers,
+    bounded_containment, either_containment, captured_files, cname_chase, ns_disagreement,
+    delegation_trace, trace_answers, deep_traces, deep_answers, deep_chase,
     parent_child_mismatch, check_counts, report_files, ownership_file, failing_file,
     parent_child_file, ns_disagreement_file,
 )

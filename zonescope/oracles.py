@@ -422,6 +422,36 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(inside) <= len(words) AND list_has_all(words, inside) AS contained
         FROM (SELECT doc_id, string_split(text, ' ') AS words,
                      string_split(replace(text, '.', ''), ' ') AS inside FROM documents)""",
+    "either_containment": """
+        SELECT doc_id, one_way, one_way OR other AS either
+        FROM (SELECT *, len(inside) <= len(words) AND list_has_all(words, inside) AS other,
+                     len(words) <= len(inside) AND list_has_all(inside, words) AS one_way
+              FROM (SELECT doc_id, string_split(text, ' ') AS words,
+                           string_split(replace(text, '.', ''), ' ') AS inside FROM documents))""",
+    "captured_files": _sql("""
+        SELECT server, count(*) AS n_probes, count(*) FILTER (WHERE answered) AS n_answered,
+               CAST(sum((a <> '')::INT + (cname <> '')::INT) AS BIGINT) AS n_answers
+        FROM resp GROUP BY server""", RESPONSES),
+    "deep_traces": """
+        SELECT 'd' || p || '.deep.example.' AS domain, '203.0.113.' || (p % 250) AS addresses,
+               'ns' || h || '.deep.example.' AS child_ns,
+               CASE WHEN h = 1 THEN 'a.root.example.' ELSE 'ns' || (h - 1) || '.deep.example.' END
+                 AS parent_ns
+        FROM (SELECT p_partkey AS p, p_partkey % 12 + 1 AS h FROM part) WHERE h <= 10
+        UNION ALL SELECT 'a' || p_partkey || '-0.deep.example.', '203.0.113.' || (p_partkey % 250),
+               '', 'a.root.example.' FROM part WHERE p_partkey % 13 <= 10""",
+    "deep_answers": """
+        SELECT 'd' || p_partkey || '.deep.example.' AS domain,
+               '203.0.113.' || (p_partkey % 250) AS addresses FROM part
+        UNION ALL SELECT 'a' || p_partkey || '-0.deep.example.', '203.0.113.' || (p_partkey % 250)
+        FROM part WHERE p_partkey % 13 <= 10""",
+    "deep_chase": """
+        SELECT 'c' || p || '-0.deep.example.' AS qname, CAST(least(n, 5) AS INTEGER) AS hops,
+               CASE WHEN n <= 5 THEN '203.0.113.' || (p % 250) ELSE '' END AS rr_a,
+               CASE WHEN n <= 5 THEN '' ELSE 'c' || p || '-6.deep.example.' END AS rr_cname
+        FROM (SELECT p_partkey AS p, p_partkey % 7 AS n FROM part)
+        UNION ALL SELECT 'r' || p_partkey || '.deep.example.', 5, '',
+               'r' || p_partkey || '.deep.example.' FROM part WHERE p_partkey % 5 = 0""",
     "cname_chase": _sql(CHASED, RESPONSES),
     "ns_disagreement": _sql("""
         SELECT domain, ns, expected_a, actual_a, '' AS actual_cname FROM differ""", RESPONSES),

@@ -20,6 +20,7 @@ from zonescope.sources.ranges import scan_ranges
 
 RESOLVER = "192.0.2.53"
 ROOT_NS = "a.root.example."
+CHAIN_NS = "chain.example."
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -280,6 +281,51 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [negative, *tries, *servers, *traces])
 
 
+def deep_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain): two names per part, the starts of ``deep_responses``."""
+    p = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    return part.select(F.explode(F.array(
+        _line("d", _str(p), ".deep.example."), _line("a", _str(p), "-0.deep.example."))).alias("domain"))
+
+
+def deep_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long ways, as if captured: delegations of 1 to 12 hops, 0 to 12 aliases from the root, and at one
+    server 0 to 6 aliases and rings."""
+    p, i = F.col("p_partkey"), F.col("i")
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    address = F.array(_line("203.0.113.", _str(p % 250)))
+
+    def each(first: int, last: Column) -> DataFrame:
+        return part.withColumn("last", last).withColumn("i", F.explode(F.sequence(
+            F.lit(first).cast("bigint"), F.col("last"))))
+
+    def server(n: Column) -> Column:
+        return _line("ns", _str(n), ".deep.example.")
+
+    def chain(letter: str, n: Column) -> Column:
+        return _line(letter, _str(p), "-", _str(n), ".deep.example.")
+
+    def aliases(rows: DataFrame, at: str, letter: str) -> DataFrame:
+        more = i < F.col("last")
+        return _responses(
+            rows, server=F.lit(at), qname=chain(letter, i), rr_a=F.when(more, no_items()).otherwise(address),
+            rr_cname=F.when(more, F.array(chain(letter, i + 1))).otherwise(no_items()))
+
+    ring = F.array(_line("r", _str(p), ".deep.example."))
+    return reduce(DataFrame.unionByName, [
+        _responses(spark.range(1), server=F.lit(RESOLVER), qname=F.lit("."),
+                   auth_ns=F.array(F.lit(ROOT_NS)), auth_type=F.lit("NS")),
+        _responses(each(1, p % 12 + 1), server=F.when(i == 1, ROOT_NS).otherwise(server(i - 1)),
+                   qname=_line("d", _str(p), ".deep.example."),
+                   rr_a=F.when(i == F.col("last"), address).otherwise(no_items()),
+                   auth_ns=F.array(server(i)), auth_type=F.lit("NS")),
+        aliases(each(0, p % 13), ROOT_NS, "a"),
+        aliases(each(0, p % 7), CHAIN_NS, "c"),
+        _responses(part.filter(p % 5 == 0), server=F.lit(CHAIN_NS), qname=ring[0], rr_cname=ring),
+    ])
+
+
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capture with record text: each zone asked for A, AAAA and MX."""
     n = n_suppliers(spark, sf_dir)
@@ -345,5 +391,9 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "responses", lambda: written(responses(spark, sf_dir), "responses"))
 
 
+def captured_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "deep", lambda: written(deep_responses(spark, sf_dir), "deep"))
+
+
 def captured_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "raw", lambda: written(raw_responses(spark, sf_dir), "raw"))

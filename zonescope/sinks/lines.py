@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonescope import constants as C
 from zonescope.functions.text import bracketed
+from zonescope.plans.workspace import written
 
 
 def bar_lines(report: DataFrame, *columns: str) -> DataFrame:
@@ -64,15 +65,35 @@ def disagreement_lines(disagreement: DataFrame, resolver: str) -> DataFrame:
     return outer.unionByName(odd)
 
 
-def write_lines(lines: DataFrame, path: str, run: str) -> str:
+#: Lines of a source that one file holds, about.
+LINES_PER_FILE = 1_000_000
+
+
+def dealt(lines: DataFrame, lines_per_file: int) -> DataFrame:
+    """The lines of a source in one task, or in as many as it has files to fill: small sources share
+    tasks, and no task writes into the folder of a source that another one writes alone."""
+    files = lines.groupBy("source").agg(
+        F.ceil(F.count("*") / lines_per_file).cast("int").alias("files")).filter("files > 1")
+    piece = F.pmod(F.xxhash64("line", F.monotonically_increasing_id()), F.coalesce("files", F.lit(1)))
+    return lines.join(files, "source", "left").withColumn("piece", piece).repartition(
+        "source", "piece")
+
+
+def write_lines(
+    lines: DataFrame, path: str, run: str, lines_per_file: int = LINES_PER_FILE
+) -> str:
     """Write the lines under ``path/run=<run>``, a folder ``source=<source>`` for each dump.
 
     Lines with a ``place`` are written in order: by source, domain where they have one, and place,
-    through the files of a source in name order. Returns the folder of the run.
+    through the files of a source in name order. Others are counted first, so that files follow the size of
+    a source and not the number of tasks. The file ``_SUCCESS`` ends a complete run. Returns the
+    folder of the run.
     """
     folder = f"{path}/run={run}"
     order = [c for c in ("source", "domain", "place") if c in lines.columns]
     if "place" in order:
         lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        lines = dealt(written(lines.select("source", "line"), "lines"), lines_per_file)
     lines.select("source", "line").write.partitionBy("source").text(folder)
     return folder
