@@ -5,7 +5,7 @@ import random
 import pytest
 
 from zonescope.operators import parse
-from zonescope.sources.dump import long_lines, scan_dump
+from zonescope.sources.dump import Dump, long_lines, scan_dump
 
 OPEN = "; Cache dump of view '_default' (cache _default)"
 
@@ -294,24 +294,28 @@ def test_long_lines_stop_the_scan(spark, tmp_path):
         scan_dump(spark, str(tmp_path)).lines.collect()
 
 
-def test_many_blocks_in_small_ranges(spark, tmp_path):
-    """5,000 splits of 61 bytes and more, scanned in ranges, against one split scanned at once."""
-    dump = random_dump(random.Random(11), 15_500)
-    assert len(dump) > 5000 * 61
-    (tmp_path / "long.txt").write_text(dump)
-    (tmp_path / "short.txt").write_text(random_dump(random.Random(12), 40))
-
-    def states(split_bytes, ranges):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-        try:
-            found = parse.line_states(scan_dump(spark, str(tmp_path)), ranges=ranges)
-            columns = [c for c in found.columns if c not in ("body", "rest")]
-            return sorted(found.select(*columns).collect(), key=lambda r: (r.source, r.seq))
-        finally:
-            spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    whole = states(1 << 27, 1)
-    assert whole == states(61, 40)
-    assert len({r.value_seq for r in whole}) > 50 and len({r.owner for r in whole}) > 50
+def test_many_blocks_in_small_ranges(spark):
+    """5,000 blocks of 61 bytes, scanned in ranges, against one block that is scanned at once."""
+    dumps = {"long.txt": random_dump(random.Random(11), 15_500), "short.txt": random_dump(random.Random(12), 40)}
+    files = spark.createDataFrame(
+        [(i, name, name) for i, name in enumerate(dumps)], "file_key long, file string, source string")
+
+    def resolved(block_bytes, ranges):
+        rows, blocks = [], set()
+        for key, text in enumerate(dumps.values()):
+            at = 0
+            for mid, line in enumerate(text.split("\n")):
+                rows.append((key, at // block_bytes, mid, line))
+                at += len(line) + 1
+        blocks = {r[:2] for r in rows}
+        lines = spark.createDataFrame(
+            [r for r in rows if r[3]], "file_key long, block_start long, mid long, line string")
+        states = parse.line_states(Dump(lines, files), ranges=ranges)
+        return len(blocks), sorted(map(tuple, parse.resolved_lines(states).collect()), key=str)
+    n, whole = resolved(1 << 30, 1)
+    many, found = resolved(61, 40)
+    assert n == 2 and many >= 5000 and len(whole) > 2000
+    assert found == whole
 
 
 def test_records_before_any_attribute(spark, tmp_path):
