@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonescope import constants as C
@@ -357,9 +357,9 @@ def _read_in_order(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("source", F.row_number().over(order).alias("place"), "line")
 
 
-def report_files(spark: SparkSession, sf: str) -> DataFrame:
+def _listed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     records = D.cache(spark, sf).records
-    made = {
+    return {
         "spf": lines.report_lines(reports.spf_report(records)),
         "txt": lines.report_lines(reports.txt_report(records)),
         "mx": lines.report_lines(reports.mx_report(records)),
@@ -369,13 +369,26 @@ def report_files(spark: SparkSession, sf: str) -> DataFrame:
             reports.type64_report(D.cache(spark, sf, compat=False).records)),
         "ns_ip": lines.ip_lines(addr.ns_ips(records)),
     }
+
+
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
     every = None
-    for name, report in made.items():
+    for name, report in _listed(spark, sf).items():
         one = _read_back(spark, name, report).select(F.lit(name).alias("report"), "line")
         every = one if every is None else every.unionByName(one)
     return every
 
 
+def written_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each report, counted while its files are written."""
+    sizes = []
+    for name, report in _listed(spark, sf).items():
+        counted = Observation(name)
+        lines.write_lines(report, new_folder(spark, name), "20250101000000", counted=counted)
+        sizes.append((name, counted.get.get("n_lines", 0)))
+    return spark.createDataFrame(sizes, "report string, n bigint")
+
+
 def ownership_file(spark: SparkSession, sf: str) -> DataFrame:
     owners = addr.ns_ownership(_addresses(spark, sf), _networks(spark, sf))
     return _read_back(spark, "ownership", lines.ownership_lines(owners))
@@ -414,7 +427,7 @@ _ALL = (
     probe_status, probe_latency, response_normalise, failing_negatives, bag_equality,
     bounded_containment, either_containment, captured_files, cname_chase, ns_disagreement,
     delegation_trace, trace_answers, deep_traces, deep_answers, deep_chase,
-    parent_child_mismatch, check_counts, report_files, ownership_file, failing_file,
+    parent_child_mismatch, check_counts, report_files, written_sizes, ownership_file, failing_file,
     parent_child_file, ns_disagreement_file,
 )
 NAMES = {"bag_equality": "bag_equal", "bounded_containment": "bounded_contains"}

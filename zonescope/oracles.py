@@ -462,6 +462,7 @@ ORACLES: dict[str, str] = {
         "SELECT domain, child_ns, parent_ns FROM traced WHERE mismatch", RESPONSES),
     "check_counts": _sql(COUNTS, RESPONSES),
     "report_files": _sql(FILES),
+    "written_sizes": _sql(f"SELECT report, count(*) AS n FROM ({FILES}) GROUP BY report"),
     "ownership_file": _sql("""
         SELECT 'NS IP归属,NS IP,解析域名数,域名清单' AS line
         UNION ALL SELECT client || ',' || ip || ',' || n_domains || ',' || domains FROM ownership""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from zonescope import constants as C
@@ -80,14 +80,15 @@ def dealt(lines: DataFrame, lines_per_file: int) -> DataFrame:
 
 
 def write_lines(
-    lines: DataFrame, path: str, run: str, lines_per_file: int = LINES_PER_FILE
+    lines: DataFrame, path: str, run: str, lines_per_file: int = LINES_PER_FILE,
+    counted: Observation | None = None,
 ) -> str:
     """Write the lines under ``path/run=<run>``, a folder ``source=<source>`` for each dump.
 
     Lines with a ``place`` are written in order: by source, domain where they have one, and place,
     through the files of a source in name order. Others are counted first, so that files follow the size of
-    a source and not the number of tasks. The file ``_SUCCESS`` ends a complete run. Returns the
-    folder of the run.
+    a source and not the number of tasks. ``counted`` gets ``n_lines`` as the lines are written, without
+    another pass. The file ``_SUCCESS`` ends a complete run. Returns the folder of the run.
     """
     folder = f"{path}/run={run}"
     order = [c for c in ("source", "domain", "place") if c in lines.columns]
@@ -95,5 +96,7 @@ def write_lines(
         lines = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     else:
         lines = dealt(written(lines.select("source", "line"), "lines"), lines_per_file)
+    if counted is not None:
+        lines = lines.observe(counted, F.count("*").alias("n_lines"))
     lines.select("source", "line").write.partitionBy("source").text(folder)
     return folder
