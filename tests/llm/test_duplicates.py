@@ -267,10 +267,10 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_stages_on_odd_documents(spark):
     sf = "/root/testdata/sf0.001"
-    words = " ".join(f"word{i}" for i in range(60))
+    words = " ".join(f"word{i:02}" for i in range(60))
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, words, "en", "a", 9), (3, words, "en", "a", 9),
-            (3, words.replace("word", "other"), None, "a", 9), (None, words.upper(), "en", None, 9),
-            (4, " ".join(f"long{i}" for i in range(60_000)), "en", "b", 9)]
+            (3, words.replace("word", "term"), None, "a", 9), (None, words.upper(), "en", None, 9),
+            (4, " ".join(f"{i:06}" for i in range(60_000)), "en", "b", 9)]
     for given in (rows, []):
         docs = spark.createDataFrame(
             given, "doc_id long, text string, lang string, source string, n_chars long").withColumn(
@@ -281,8 +281,8 @@ def test_pipeline_stages_on_odd_documents(spark):
             if name != "byte bpe":
                 assert out.columns == docs.columns, name
             if given and name == "quality rules":
-                assert left == [("3", "other"), ("3", "word0"), ("3", "word0"), ("4", "long0"), ("None", "WORD0")]
+                assert left == [("3", "term0"), ("3", "word0"), ("3", "word0"), ("4", "00000"), ("None", "WORD0")]
             if given and name == "near dedup":  # the namesake stays, in both its texts
-                assert left == [("3", "other"), ("3", "word0"), ("3", "word0"), ("4", "long0"), ("None", "WORD0")]
+                assert left == [("3", "term0"), ("3", "word0"), ("3", "word0"), ("4", "00000"), ("None", "WORD0")]
             docs = out if name != "byte bpe" else docs
         assert out.count() == docs.count()
