@@ -25,7 +25,7 @@ import heapq
 import json
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -230,6 +230,27 @@ class Words:
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
 
+    def after_spaces(self, parts: Iterable[str]) -> dict[str, list[str]]:
+        """The words of parts that each follow a space: a word with a space in front opens a part, so
+        all are cut in one go; plain searches tell for many."""
+        out, rest = {}, []
+        for part in parts:
+            if part.isascii() and part.isalpha():
+                out[part] = [" " + part]
+            elif part:
+                rest.append(part)
+            else:
+                out[part] = [" "]
+        words = iter(self.find(" " + " ".join(rest)) if rest else ())
+        last = next(words, None)
+        for part in rest:
+            out[part] = found = [last]
+            for last in words:
+                if last[0] == " ":
+                    break
+                found.append(last)
+        return out
+
     def find(self, text: str) -> list[str]:
         """The words of a text by the pre-tokenizer's pattern."""
         if text.isascii() or self.odd.isdisjoint(text):
@@ -274,10 +295,10 @@ def word_counts(docs: DataFrame, vocabulary: Broadcast, text: str = "text") -> D
         words, parts, size = Counter(), Counter(), 0
 
         def flushed() -> pa.RecordBatch:
-            for part, n in parts.items():
-                if n > 1:
-                    for word in own.find(" " + part):
-                        words[word] += n
+            often = [part for part, n in parts.items() if n > 1]
+            for part, found in own.after_spaces(often).items():
+                for word in found:
+                    words[word] += parts[part]
             many = [(w, n) for w, n in words.items() if n > 1 and len(w) < LONG_WORD]
             words.clear()
             parts.clear()
@@ -337,6 +358,34 @@ def fitted(
     return Lexicon(shared, share_file(spark, content, "lexicon"))
 
 
+class Recent:
+    """What was asked for lately: two generations, the older of which is dropped when the newer has
+    its share of the bytes."""
+
+    def __init__(self, most: int):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size, self.most = 0, most // 2
+
+    def among(self, keys: set[str]) -> dict[str, bytes]:
+        """The keys that are held; those of the older generation become new."""
+        found = {k: ids for k in keys if (ids := self.new.get(k)) is not None}
+        if self.old:
+            for k in keys:
+                if k not in found and (ids := self.old.get(k)) is not None:
+                    found[k] = ids
+                    self.keep(k, ids)
+        return found
+
+    def keep(self, key: str, ids: bytes) -> None:
+        self.new[key] = ids
+        self.size += ENTRY + len(key) + len(ids)
+
+    def turn(self) -> None:
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class Codec:
     """Encodes and decodes in a worker."""
 
@@ -344,13 +393,11 @@ class Codec:
         self.cut, self.merge = Words(vocabulary), Merger(vocabulary)
         self.special, self.tokens = vocabulary.special, vocabulary.tokens
         self.lexicon = mapped(SparkFiles.get(file))
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.size = 0
+        self.words, self.parts = Recent(CACHE_BYTES // 2), Recent(CACHE_BYTES // 2)
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words: from the cache, the lexicon, or merged."""
-        found = {w: ids for w in words if (ids := self.words.get(w)) is not None}
+        found = self.words.among(words)
         fresh = [w for w in words if w not in found]
         raw = [w.encode() for w in fresh]
         known = look_up(self.lexicon, raw)
@@ -358,28 +405,26 @@ class Codec:
         for word, data, ids in zip(fresh, raw, known, strict=True):
             found[word] = ids = next(unseen) if ids is None else ids
             if len(data) < LONG_WORD:
-                self.words[word] = ids
-                self.size += ENTRY + len(data) + len(ids)
+                self.words.keep(word, ids)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""
         out = []
         for some in bounded(texts):
-            if self.size > CACHE_BYTES:
-                self.words, self.parts, self.size = {}, {}, 0
+            self.words.turn()
+            self.parts.turn()
             cut = [[(*self.cut.cut(s), after) for s, after in self.cut.stretches(t)] if t else []
                    for t in some]
             parts = {p for row in cut for _, rest, _ in row for p in rest}
-            spaced = {p: ids for p in parts if (ids := self.parts.get(p)) is not None}
-            fresh = {p: self.cut.find(" " + p) for p in parts if p not in spaced}
+            spaced = self.parts.among(parts)
+            fresh = self.cut.after_spaces(parts - spaced.keys())
             words = self.learn({w for row in cut for head, _, _ in row for w in head}.union(
                 *fresh.values()))
             for part, found in fresh.items():
                 spaced[part] = ids = b"".join([words[w] for w in found])
                 if len(part) < LONG_WORD:
-                    self.parts[part] = ids
-                    self.size += ENTRY + len(part) + len(ids)
+                    self.parts.keep(part, ids)
             for row in cut:
                 pieces = []
                 for head, rest, after in row:
