@@ -193,6 +193,30 @@ def test_spans_become_the_smallest_set_of_blocks(spark):
         assert got[f"c{i}"] == {(int(n.network_address), n.prefixlen) for n in want}
 
 
+def test_ipv6_ranges_become_aligned_blocks(spark):
+    rng = random.Random(6)
+    top, mapped = 2**128 - 1, 0xFFFF << 32
+    spans = [(0, top), (0, 0), (top, top), (1, top - 1), (5, 5), (2**127 - 1, 2**127), (6, 13),
+             (mapped + 5, mapped + 70), (mapped - 3, mapped + 2**32 + 4)]
+    for _ in range(200):
+        lo = rng.getrandbits(128)
+        spans.append((lo, min(lo + rng.getrandbits(rng.randint(1, 128)), top)))
+    full = lambda n: ipaddress.IPv6Address(n).exploded
+    rows = [(i, f"{full(a)}-{full(b)}", f"c{i}") for i, (a, b) in enumerate(spans)]
+    odd = [(900, "::2-::1", "x"), (901, "::1-10.0.0.1", "x"), (902, "::1-::g", "x"), (903, "::1-::2-::3", "x"),
+           (904, None, "x"), (905, "-", "x"), (906, "::1-", "x"), (907, "10.0.0.1-10.0.0.2", "v4")]
+    df = spark.createDataFrame(rows + odd, "line_no bigint, range string, client string")
+    got = {}
+    for r in addresses.range_networks(df, compat=False).collect():
+        number = (r.hi % 2**64 << 64 | r.lo % 2**64) + (mapped if r.family == 4 else 0)
+        got.setdefault(r.client, []).append((number, r.plen + (96 if r.family == 4 else 0)))
+    for i, (a, b) in enumerate(spans):
+        want = ipaddress.summarize_address_range(ipaddress.IPv6Address(a), ipaddress.IPv6Address(b))
+        assert sorted(got.pop(f"c{i}")) == sorted((int(n.network_address), n.prefixlen) for n in want), i
+    assert list(got) == ["v4"]
+    assert {r.client for r in addresses.range_networks(df).collect()} == {"v4"}
+
+
 def test_ownership_hides_long_lists(spark):
     rows = [(f"d{i:02}.", "NS", "n.") for i in range(51)] + [("x.", "NS", "m.")]
     df = records(spark, *rows, ("n.", "A", "1.1.1.1"), ("m.", "A", "2.2.2.2"))

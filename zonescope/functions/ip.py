@@ -154,3 +154,61 @@ def network_text(family: Column, hi: Column, lo: Column, plen: Column) -> Column
     digits = F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))
     host = F.when(family == 4, ipv4_text(lo)).otherwise(ipv6_text(digits))
     return F.concat(host, F.lit("/"), plen.cast("string"))
+
+
+def ipv6_bits(text: Column) -> Column:
+    """IPv6 text as its 128 binary digits, NULL when it is not valid; mapped addresses stay as they are."""
+    def binary(digits: Column) -> Column:
+        halves = [F.lpad(F.bin(_bits(F.substring(digits, at, 16))), 64, "0") for at in (1, 17)]
+        return F.when(digits.isNotNull(), F.concat(*halves))
+
+    return let(ipv6_digits(text), binary)
+
+
+def span_blocks(first: Column, last: Column) -> Column:
+    """The aligned blocks of a span, as array<struct(bits, plen)>; both ends are 128 binary digits.
+
+    The ends share ``p`` digits. Above the first end, every 0 after those starts a block where it
+    becomes a 1; below the last end, every 1 does where it becomes a 0. The 0s at the very end of the
+    first and the 1s at the end of the last are one block with their end.
+    """
+    def shared(a: Column, b: Column) -> Column:
+        differ = F.filter(F.sequence(F.lit(1), F.lit(128)),
+                          lambda i: a.substr(i, F.lit(1)) != b.substr(i, F.lit(1)))
+        return F.coalesce(F.get(differ, F.lit(0)) - 1, F.lit(128))
+
+    def side(end: Column, p: Column, step: str) -> Column:
+        # step "1": from the first end upwards; "0": from the last end downwards.
+        free, flipped = ("0", "1") if step == "1" else ("1", "0")
+        tail = F.least(F.lit(128) - F.length(F.rtrim(end, F.lit(free))), F.lit(127) - p)
+
+        def blocks(tail: Column) -> Column:
+            turns = F.filter(F.sequence(F.lit(0), F.lit(127)), lambda j: (j > p) & (
+                j < F.lit(128) - tail) & (end.substr(j + 1, F.lit(1)) == free))
+            own = F.struct(F.rpad(end.substr(F.lit(1), F.lit(128) - tail), 128, "0").alias("bits"),
+                           (F.lit(128) - tail).alias("plen"))
+            return F.concat(F.array(own), F.transform(turns, lambda j: F.struct(F.rpad(F.concat(
+                end.substr(F.lit(1), j), F.lit(flipped)), 128, "0").alias("bits"), (j + 1).alias("plen"))))
+
+        return let(tail, blocks)
+
+    def both(p: Column) -> Column:
+        rest = F.lit(128) - p
+        whole = (F.length(F.rtrim(first, F.lit("0"))) <= p) & (
+            F.length(F.rtrim(last, F.lit("1"))) <= p)
+        one = F.array(F.struct(F.rpad(first, 128, "0").alias("bits"), p.alias("plen")))
+        return F.when((rest == 0) | whole, one).otherwise(
+            F.concat(side(first, p, "1"), side(last, p, "0")))
+
+    return F.when(first <= last, let(shared(first, last), both))
+
+
+def bits_network(bits: Column, plen: Column) -> Column:
+    """struct(family, hi, lo, plen) of 128 binary digits; a block of mapped addresses is an IPv4 one."""
+    mapped = bits.startswith("0" * 80 + "1" * 16) & (plen >= 96)
+    hi, lo = (F.conv(F.substring(bits, at, 64), 2, -10).cast("bigint") for at in (1, 65))
+    return F.struct(
+        F.when(mapped, 4).otherwise(6).alias("family"),
+        F.when(mapped, F.lit(0).cast("bigint")).otherwise(hi).alias("hi"),
+        F.when(mapped, lo.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(lo).alias("lo"),
+        F.when(mapped, plen - 96).otherwise(plen).alias("plen"))

@@ -57,11 +57,11 @@ def ip_domains(addresses: DataFrame) -> DataFrame:
     ).select("source", "ip", "n_domains", "domain")
 
 
-def range_networks(ranges: DataFrame) -> DataFrame:
+def range_networks(ranges: DataFrame, compat: bool = True) -> DataFrame:
     """(line_no, range, client) -> (client, family, hi, lo, plen, line_no).
 
     CIDR entries keep their prefix; an IPv4 range ``a-b`` becomes its aligned blocks. Anything
-    else is skipped, IPv6 ranges included.
+    else is skipped; so are IPv6 ranges, unless ``compat`` is off.
     """
     slash = F.split("range", "/")
     base = ip.address(slash[0])
@@ -111,7 +111,21 @@ def range_networks(ranges: DataFrame) -> DataFrame:
     dashed = blocks.filter(fits & ((F.col("b") == 32) | ~parent_fits)).select(
         "client", F.lit(4).alias("family"), F.lit(0).cast("bigint").alias("hi"),
         F.col("start").alias("lo"), (F.lit(32) - F.col("b")).alias("plen"), "line_no")
-    return networks.unionByName(dashed)
+    networks = networks.unionByName(dashed)
+    return networks if compat else networks.unionByName(ipv6_spans(ranges))
+
+
+def ipv6_spans(ranges: DataFrame) -> DataFrame:
+    """The networks of IPv6 ranges ``a-b``: their aligned blocks, 254 at most."""
+    ends = F.transform(F.split("range", "-"), lambda t: ip.ipv6_bits(
+        F.regexp_replace(t, r"^\s+|\s+\z", "")))
+    spans = ranges.filter((F.size(F.split("range", "-")) == 2) & F.col("range").contains(":")).select(
+        "client", "line_no", ends.alias("ends"))
+    blocks = spans.select("client", "line_no", F.explode(ip.span_blocks(
+        F.col("ends")[0], F.col("ends")[1])).alias("block"))
+    return blocks.select("client", "line_no", ip.bits_network(
+        F.col("block.bits"), F.col("block.plen")).alias("net")).select(
+        "client", "net.family", "net.hi", "net.lo", "net.plen", "line_no")
 
 
 #: Order of events at one address: networks open, addresses look, networks close.
