@@ -192,9 +192,12 @@ def near_copies(rng):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("width, block, pooled", [(2, 4, 3), (5, 256, 64)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, block, pooled):
+@pytest.mark.parametrize("width, block, pooled, group", [
+    (2, 4, 3, 4096), (2, 16, 8, 5), (5, 256, 64, 4096)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, block, pooled, group):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TOGETHER", 2)
+    monkeypatch.setattr(minhash, "GROUP", group)
     monkeypatch.setattr(minhash, "POOLED", pooled)
     docs = near_copies(random.Random(width))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("bands", F.lit(1))

@@ -8,11 +8,11 @@ representatives into buckets. Verification is in two passes:
    compared batch by batch; a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold is under ``MISS``. The two best pairs of a representative are
    verified on the full sets, and what they link becomes a component.
-2. All pairs of a bucket that are still in different components are compared. Members meet in blocks
-   of bounded size, one row per pair of blocks, and blocks within one component are skipped, so that
-   a large group of copies costs no pair per pair of members. Survivors are verified on the full
-   sets, the best per representative and component first; pairs whose components were joined by
-   then need no more.
+2. Members of a bucket that are still in different components are compared, in blocks of bounded
+   size; blocks within one component are skipped. No pair leaves a meeting of two blocks: what leaves
+   it is a forest that joins the components of surviving pairs to groups. The members of a group
+   then meet in blocks with their full sets, where survivors are verified, and again only a forest
+   of links leaves, at most one per component of the meeting.
 
 Nothing is capped: a pair that shares a band and is not dropped by the posterior bound ends in one
 component or is verified. With 40 bands of 5 values a pair of similarity 0.8 shares no band with
@@ -46,8 +46,13 @@ COMPARED, BATCH = 128, 16
 MISS = 1e-6
 #: Members of a block.
 BLOCK = 256
-#: A component with this many members in a bucket gets blocks of its own.
+#: Bytes of sets in a block, and blocks of a cell that one task pairs with all others.
+BLOCK_BYTES = 4 << 20
+TOGETHER = 8
+#: A label with this many members in a cell gets blocks of its own.
 POOLED = 64
+#: Members of a group whose pairs all meet; those of a larger one meet in their buckets.
+GROUP = 4096
 CACHE = 200_000
 CHUNK = 2048
 #: Rows of an Arrow batch that are Python objects at a time.
@@ -130,7 +135,7 @@ def sketches(
                 continue
             least = minima(found)
             out.append({
-                "n": len(found), "key": hashlib.blake2b(found.tobytes(), digest_size=16).digest(),
+                "n": len(found), "key": digest(found.tobytes()),
                 "bands": band_hashes(least),
                 "sig": (least[:COMPARED] >> np.uint64(50)).astype(np.uint8).tobytes()})
         return pa.array(out, pa.struct([("n", pa.int64()), ("key", pa.binary()),
@@ -193,20 +198,12 @@ def verified(
     pairs = written(pairs.select("a", "b"), "near-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
 
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array((shingles(t, width).tobytes() for t in sliced(texts)), pa.binary())
-
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(sliced(a), sliced(b), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
+            out.append(alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0])
         return pa.array(out)
-    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(
-        ids, "id", "left_semi")
-    full = written(found.select("id", F.arrow_udf(sets, "binary")("t").alias("set")).distinct(),
-        "near-sets")
+    full = full_sets(docs, doc_id, text, width, ids)
     one, two = (full.select(F.col("id").alias(i), F.col("set").alias(f"set_{i}")) for i in "ab")
     joined = pairs.join(one, "a").join(two, "b")
     return joined.filter(F.arrow_udf(linked, "boolean")("set_a", "set_b")).select("a", "b")
@@ -217,56 +214,170 @@ def best(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.max(F.struct("matches", "a", "b")).alias("p")).select("p.*")
 
 
-def block_pairs(members: DataFrame, rule: list[tuple[int, int]]) -> DataFrame:
-    """(a, b, matches) of surviving pairs that share a bucket but no component.
+def in_blocks(members: DataFrame) -> DataFrame:
+    """(cell, spread, pool, block, rows): the members of each cell, dealt into blocks by id.
 
-    ``members`` is (band, id, component, sig) for the buckets that hold several components.
+    ``members`` is (cell, id, label, n, sig, set). Blocks are bounded by members and by bytes of their
+    sets. A label with many members in a cell has a pool of blocks, as they need not meet.
+    """
+    sizes = members.groupBy("cell", "label").agg(
+        F.count("*").alias("many"), F.sum(F.coalesce(F.octet_length("set"), F.lit(0))).alias("bytes"))
+    pools = written(sizes.withColumn("pool", F.when(
+        F.col("many") >= POOLED, F.col("label")).otherwise(-1)), "near-pools")
+    per_pool = written(pools.groupBy("cell", "pool").agg(F.greatest(
+        F.ceil(F.sum("many") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")),
+        "near-sizes")
+    per_cell = written(per_pool.groupBy("cell").agg(
+        F.ceil(F.sum("blocks") / TOGETHER).cast("bigint").alias("spread")), "near-spreads")
+    placed = members.join(pools.select("cell", "label", "pool"), ["cell", "label"]).join(
+        per_pool, ["cell", "pool"]).join(per_cell, "cell")
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
+    return written(placed.withColumn("block", block).groupBy("cell", "spread", "pool", "block").agg(
+        F.collect_list(F.struct("id", "label", "n", "sig", "set")).alias("rows")), "near-blocks")
+
+
+def meetings(blocks: DataFrame, first_only: bool) -> DataFrame:
+    """(x, y): the rows of two blocks of a cell that meet; y is null where a block meets itself.
+
+    ``first_only`` leaves pairs of blocks of which none is the first of its pool for later. The
+    pairs of a large cell are dealt over as many tasks as it has ``spread``.
     """
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    pools = written(sizes.select("band", "component", F.when(
-        F.col("n") >= POOLED, F.col("component")).otherwise(-1).alias("pool"), "n"), "near-pools")
-    pool_sizes = written(pools.groupBy("band", "pool").agg(F.sum("n").alias("size")), "near-sizes")
-    placed = members.join(pools.drop("n"), ["band", "component"]).join(pool_sizes, ["band", "pool"])
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col("size") / BLOCK)).cast("int")
-    blocks = written(placed.withColumn("block", block).groupBy("band", "pool", "block").agg(
-        F.collect_list(F.struct("id", "component", "sig")).alias("rows")), "near-blocks")
     within = blocks.filter((F.col("pool") == -1) & (F.size("rows") > 1)).select(
         F.col("rows").alias("x"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("y"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    across = left.join(right, (F.col("l.band") == F.col("r.band")) & (
+    left = blocks.withColumn("salt", F.pmod(F.xxhash64("pool", "block"), F.col("spread"))).alias("l")
+    right = blocks.withColumn("salt", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("spread") - 1))).alias("r")
+    meet = (F.col("l.cell") == F.col("r.cell")) & (F.col("l.salt") == F.col("r.salt")) & (
         F.struct("l.pool", "l.block") < F.struct("r.pool", "r.block")) & (
-        (F.col("l.pool") != F.col("r.pool")) | (F.col("l.pool") == -1))).select(
-        F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
+        (F.col("l.pool") != F.col("r.pool")) | (F.col("l.pool") == -1))
+    if first_only:
+        meet = meet & ((F.col("l.block") == 0) | (F.col("r.block") == 0))
+    return within.unionByName(left.join(right, meet).select(
+        F.col("l.rows").alias("x"), F.col("r.rows").alias("y")))
+
+
+def forest(
+    members: DataFrame, payload: DataFrame, rule: list[tuple[int, int]], percent: int,
+    first_only: bool = False,
+) -> DataFrame:
+    """(a, b): labels to be joined, fewer per meeting of blocks than it has labels.
 
-    def compare(batches):
-        kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("matches", pa.int64())])
+    ``members`` is (cell, id, key, label), ``payload`` (id, key, n, sig, set): it joins the members
+    of cells that hold several labels, not the others. Two labels are joined by a pair of members of
+    a cell that the posterior does not drop and, where members have sets, whose sets have
+    100 * intersection >= percent * union.
+    """
+    cells = written(members.groupBy("cell").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("cell"),
+        "near-open")
+    several = written(members.join(cells, "cell", "left_semi").join(payload, ["id", "key"]).drop(
+        "key"), "near-members")
+
+    def join_labels(batches):
+        kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            out = [[np.empty(0, np.int64)] for _ in range(3)]
+            out = []
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                one = block_arrays(x)
-                two = block_arrays(y) if y.is_valid else one
-                meet = one[1][:, None] != two[1][None, :]
-                if not y.is_valid:
-                    meet = np.triu(meet, 1)
-                i, j = np.nonzero(meet)
-                for at in range(0, len(i), 1 << 16):
-                    p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                    matches = surviving(one[2][p], two[2][q], rule)
-                    good = matches >= 0
-                    a, b = one[0][p[good]], two[0][q[good]]
-                    for to, v in zip(out, (np.minimum(a, b), np.maximum(a, b), matches[good]),
-                                     strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out],
-                                             schema=kind)
-    rows = within.unionByName(across).mapInArrow(compare, "a bigint, b bigint, matches bigint")
-    return rows.groupBy("a", "b").agg(F.max("matches").alias("matches"))
-
-
-def block_arrays(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = rows.values
-    return (values.field("id").to_numpy(), values.field("component").to_numpy(),
-            signature_rows(values.field("sig")))
+                out += joined_labels(x, y if y.is_valid else None, rule, percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=kind)
+    met = meetings(in_blocks(several), first_only)
+    return written(met.mapInArrow(join_labels, "a bigint, b bigint").distinct(), "near-forest")
+
+
+def joined_labels(
+    x: pa.ListScalar, y: pa.ListScalar | None, rule: list[tuple[int, int]], percent: int,
+) -> list[tuple[int, int]]:
+    """The label pairs that the members of x and y, or of x alone, join: a forest."""
+    sides = [side.values for side in (x, y) if side is not None]
+
+    def column(name: str) -> np.ndarray:
+        return np.concatenate([side.field(name).to_numpy() for side in sides])
+    label, n = column("label").copy(), column("n")
+    sig = np.concatenate([signature_rows(side.field("sig")) for side in sides])
+    full = None
+    if not sides[0].field("set").null_count:
+        full = [np.frombuffer(v, np.uint64) for side in sides for v in side.field("set").to_pylist()]
+    out = []
+    for i in range(len(sides[0])):
+        start = i + 1 if y is None else len(sides[0])
+        near = np.flatnonzero((label[start:] != label[i]) & (
+            100 * np.minimum(n[start:], n[i]) >= percent * np.maximum(n[start:], n[i]))) + start
+        if len(near):
+            near = near[surviving(sig[np.full(len(near), i)], sig[near], rule) >= 0]
+        if len(near) and full is not None:
+            near = near[alike(full[i], [full[j] for j in near], percent)]
+        for other in np.unique(label[near]):
+            out.append((int(label[i]), int(other)))
+            label[label == other] = label[i]
+    return out
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` have 100 * intersection >= percent * union with ``one``; sorted sets."""
+    sizes = np.array([len(other) for other in others])
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    both = np.add.reduceat((one[at] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def full_sets(docs: DataFrame, doc_id: str, text: str, width: int, ids: DataFrame) -> DataFrame:
+    """(id, key, set): the shingles of the documents in ``ids`` and the digest of each set."""
+    def sets(texts: pa.Array) -> pa.Array:
+        found = (shingles(t, width).tobytes() for t in sliced(texts))
+        return pa.array([{"key": digest(s), "set": s} for s in found],
+                        pa.struct([("key", pa.binary()), ("set", pa.binary())]))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).join(
+        ids, "id", "left_semi")
+    return written(rows.select("id", F.arrow_udf(sets, "struct<key: binary, set: binary>")("t").alias(
+        "s")).select("id", "s.*").dropDuplicates(["id", "key"]), "near-sets")
+
+
+def digest(found: bytes) -> bytes:
+    return hashlib.blake2b(found, digest_size=16).digest()
+
+
+def relabelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members with the label that ``edges`` between labels give them."""
+    joined = written(components(edges).toDF("node", "joined"), "near-groups")
+    return members.join(joined, F.col("label") == F.col("node"), "left").withColumn(
+        "label", F.coalesce("joined", "label")).drop("node", "joined")
+
+
+def later_links(
+    members: DataFrame, sigs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
+    percent: int, rule: list[tuple[int, int]],
+) -> DataFrame:
+    """(a, b): components that a link between two of ``members`` joins.
+
+    ``members`` is (band, id, key, component), ``sigs`` (id, key, n, sig). Pairs that survive the
+    posterior make groups of components, first by the first blocks, then by all blocks of buckets
+    that still hold several groups. Then sets travel once per block of a group, and links are
+    verified where they meet.
+    """
+    bare = sigs.withColumn("set", F.lit(None).cast("binary"))
+    bucket = F.col("band").alias("cell")
+    members = members.withColumn("label", F.col("component"))
+    near = forest(members.select(bucket, "id", "key", "label"), bare, rule, percent, first_only=True)
+    grouped = written(relabelled(members, near), "near-grouped")
+    more = forest(grouped.select(bucket, "id", "key", "label"), bare, rule, percent)
+    grouped = written(relabelled(grouped, more), "near-grouped")
+
+    sizes = grouped.groupBy("label").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.approx_count_distinct("id").alias("size")).filter("low < high")
+    groups = written(sizes.select(F.col("label").alias("group"), "size"), "near-group-sizes")
+    # A group beyond this size may be a chain: its members meet in their buckets only.
+    within = F.when(F.col("size") > GROUP, F.col("band")).otherwise(0)
+    placed = written(grouped.join(groups, F.col("label") == F.col("group")).select(
+        F.struct("group", within.alias("band")).alias("cell"), "id", "key",
+        F.col("component").alias("label")).dropDuplicates(["cell", "id", "key"]), "near-placed")
+    if placed.isEmpty():
+        return near.limit(0)
+    ids = written(placed.select("id").distinct(), "near-ids")
+    sets = full_sets(docs, doc_id, text, width, ids)
+    return forest(placed, sigs.join(sets, ["id", "key"]), rule, percent)
 
 
 def near_duplicates(
@@ -280,8 +391,8 @@ def near_duplicates(
     reps = written(known.groupBy("key").agg(F.min("id").alias("rep")), "near-reps")
     chosen = written(known.join(reps.select(F.col("key").alias("k"), "rep"), (
         F.col("key") == F.col("k")) & (F.col("id") == F.col("rep"))).select(
-        "id", "bands", "sig").dropDuplicates(["id", "sig"]), "near-chosen")
-    sigs = chosen.select("id", "sig")
+        "id", "key", "n", "bands", "sig").dropDuplicates(["id", "key"]), "near-chosen")
+    sigs = chosen.select("id", "sig").distinct()
     banded = chosen.select("id", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(
         F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select(
@@ -293,35 +404,16 @@ def near_duplicates(
     first = best(stars, ["b"])
     second = best(stars.join(first.select("a", "b"), ["a", "b"], "left_anti"), ["b"])
     first = written(first.unionByName(second), "near-first")
-    check = lambda pairs: verified(pairs, docs, doc_id, text, width, percent)
-    edges = written(check(first), "near-edges")
+    edges = written(verified(first, docs, doc_id, text, width, percent), "near-edges")
     found = written(components(edges), "near-components")
 
-    labelled = written(banded.join(buckets.select("band"), "band", "left_semi").join(
+    labelled = written(chosen.select("id", "key", F.explode("bands").alias("band")).join(
+        buckets.select("band"), "band", "left_semi").join(
         found, F.col("id") == F.col("node"), "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component")), "near-labelled")
-    open_buckets = written(labelled.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low < high").select("band"), "near-open")
-    members = written(labelled.join(open_buckets, "band", "left_semi").join(
-        sigs, "id").select("band", "id", "component", "sig"), "near-members")
-    rest = written(block_pairs(members, rule), "near-rest")
-    done = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-open-pairs")
-
-    for last in (False, False, True):
-        if done.isEmpty():
-            break
-        label = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        at = written(done.join(label, F.col("a") == F.col("n"), "left").select(
-            "a", "b", "matches", F.coalesce("c", "a").alias("ca")), "near-one-label")
-        at = written(at.join(label, F.col("b") == F.col("n"), "left").select(
-            "a", "b", "matches", "ca", F.coalesce("c", "b").alias("cb")).filter("ca != cb"),
-            "near-apart")
-        picked = written((at if last else best(at, ["ca", "cb"])).select("a", "b"), "near-picked")
-        edges = written(edges.unionByName(check(picked)), "near-edges")
-        found = written(components(edges), "near-components")
-        done = written(at.join(picked, ["a", "b"], "left_anti").select("a", "b", "matches"),
-                       "near-open-pairs")
+        "band", "id", "key", F.coalesce("component", "id").alias("component")), "near-labelled")
+    links = later_links(labelled, chosen.select("id", "key", "n", "sig"), docs, doc_id, text, width,
+                        percent, rule)
+    found = written(components(edges.unionByName(links)), "near-components")
 
     per_set = reps.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("key").alias("k"), F.coalesce("component", "rep").alias("component_id"))
