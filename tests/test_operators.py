@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from zonescope.operators import addresses, health, lists, reports, trace
 from zonescope.operators.joins import spread_join
+from zonescope.plans.workspace import FEW_ROWS, TASK_ROWS, tasks_for
 from zonescope.sinks import lines
 from zonescope.sources.ranges import scan_ranges, split_ranges
 from zonescope.sources.responses import RAW_RESPONSES, RESPONSES, scan_responses
@@ -259,6 +261,32 @@ def test_status_and_failing_negatives(spark):
         "SERVFAIL|fail.", "|odd.", "无响应|late.", "无响应|lost", "SERVFAIL|fail"}
 
 
+def below_the_exchanges(df):
+    """What a plan does before its rows are shuffled for the first time."""
+    return df._jdf.queryExecution().executedPlan().toString().rsplit("Exchange", 1)[1]
+
+
+def test_first_replies_are_sorted_after_they_are_dealt(spark):
+    """One name asked 300 times and 60 others: tasks of 20 rows give the replies of one task."""
+    tries = [("r", "hot.", {"attempt": 1 + i % 3, "rr_a": [f"1.1.1.{i % 3}"]}) for i in range(300)]
+    tries += [(f"s{i % 7}", f"n{i}", {"rr_a": [f"2.2.2.{i}"]}) for i in range(60)]
+    df = replies(spark, *tries, ("r", "n0", {"answered": False}))
+    small = health.answers(df, attempts=3, task_rows=20)
+    found = sorted(map(tuple, small.select("server", "qname", "rr_a").collect()))
+    assert found == sorted([("r", "hot.", ["1.1.1.0"])] + [
+        (f"s{i % 7}", f"n{i}.", [f"2.2.2.{i}"]) for i in range(60)])
+    assert sorted(map(tuple, health.answers(df, attempts=3).collect())) == sorted(map(tuple, small.collect()))
+    assert health.answers(df.limit(0)).count() == 0
+    for plan in (health.answers(df), trace._walk_rows(trace._steps(df, "A", True, "rr_a"), ["r"], 10)):
+        assert not re.search("Sort|ObjectHashAggregate", below_the_exchanges(plan))
+
+
+def test_tasks_follow_the_number_of_rows(spark):
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tasks_for(spark, n) for n in (0, 1, FEW_ROWS + 1)] == [1, 1, 2]
+    assert tasks_for(spark, TASK_ROWS) == session and tasks_for(spark, 100 * TASK_ROWS + 1) == 101
+
+
 def test_cname_chase(spark):
     chain = [("n", f"c{i}.", {"rr_cname": [f"c{i + 1}."]}) for i in range(8)]
     df = replies(spark, *chain, ("n", "c8.", {"rr_a": ["8.8.8.8"]}), ("n", "dead.", {"rr_cname": ["no."]}),

@@ -9,8 +9,9 @@ from zonescope import constants as C
 from zonescope.functions.arrays import bag_equal
 from zonescope.functions.text import fully_qualified
 from zonescope.operators.joins import ROWS_PER_TASK, spread_join
+from zonescope.operators.lists import least_by
 from zonescope.operators.reports import of_type
-from zonescope.plans.workspace import written
+from zonescope.plans.workspace import TASK_ROWS, written
 
 LISTS = ["rr_a", "rr_aaaa", "rr_cname", "rr_ns", "rr_mx", "rr_txt", "rr_ds"]
 NO_ITEMS = "array<string>"
@@ -98,14 +99,18 @@ def combine_types(responses: DataFrame, qtypes: list[str]) -> DataFrame:
     )
 
 
-def answers(responses: DataFrame, qtype: str = "A", attempts: int = 1) -> DataFrame:
+def answers(
+    responses: DataFrame, qtype: str = "A", attempts: int = 1, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """One row per (server, qname): the first reply within ``attempts`` tries; none, no row."""
-    return responses.filter(
+    tries = responses.filter(
         (F.col("qtype") == qtype) & F.col("answered") & (F.col("attempt") <= attempts)
-    ).groupBy("server", fully_qualified(F.col("qname")).alias("qname")).agg(
-        F.min_by(F.struct("rcode", "n_answers", "rr_a", "rr_aaaa", "rr_cname", "auth_ns", "auth_type"),
-                 F.struct("attempt", "sent_at")).alias("reply")
-    ).select("server", "qname", "reply.*")
+    ).select(
+        "server", fully_qualified(F.col("qname")).alias("qname"),
+        F.struct("rcode", "n_answers", "rr_a", "rr_aaaa", "rr_cname", "auth_ns", "auth_type").alias("reply"),
+        F.struct("attempt", "sent_at").alias("at"))
+    return least_by(tries, ["server", "qname"], "reply", "at", task_rows).select(
+        "server", "qname", "reply.*")
 
 
 def probed(names: DataFrame, responses: DataFrame, resolver: str) -> DataFrame:

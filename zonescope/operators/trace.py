@@ -10,7 +10,7 @@ from zonescope.functions.arrays import either_contains
 from zonescope.functions.text import fully_qualified, let
 from zonescope.operators.health import NO_ITEMS, answers, no_items
 from zonescope.operators.joins import ROWS_PER_TASK, spread_join
-from zonescope.plans.workspace import written
+from zonescope.plans.workspace import tasks_for, written
 
 #: Servers whose replies about one name a row may hold; names with more are walked by joins.
 MAP_REPLIES = 4096
@@ -48,10 +48,12 @@ def _steps(
 def _walk_rows(steps: DataFrame, root_ns: list[str], hops: int | None) -> DataFrame:
     """(qname, parent_ns, step): the walk of each name down from the root, inside its row.
 
-    A name's replies are one map from server to step; all hops follow it in one ``aggregate``. A walk
+    A name's replies are one map from server to step, at most ``map_replies`` of a walked name; names are
+    dealt over tasks by the number of replies. All hops follow the map in one ``aggregate``. A walk
     without a hop limit asks each server of the map once at most: more hops would go round for ever.
     """
-    names = steps.groupBy("qname").agg(
+    tasks = tasks_for(steps.sparkSession, steps.count())
+    names = steps.repartition(tasks, "qname").groupBy("qname").agg(
         F.map_from_entries(F.collect_list(F.struct("server", "step"))).alias("said"))
     state = f"struct<server: string, parent_ns: {NO_ITEMS}, step: struct<{STEP}>, live: boolean>"
     begin = F.struct(
@@ -127,8 +129,9 @@ def delegation_trace(
     join with the walks for each level of aliases in use.
     """
     spark = names.sparkSession
-    root = responses.filter(F.col("server") == resolver)
-    root = answers(root, qtype).filter(F.col("qname") == ".").first()  # one row
+    root = responses.filter(
+        (F.col("server") == resolver) & (fully_qualified(F.col("qname")) == "."))
+    root = answers(root, qtype).first()  # one row
     if root is None or root["rcode"] != 0 or not root["auth_ns"]:
         return spark.createDataFrame([], TRACE)
     address = {"A": "rr_a", "AAAA": "rr_aaaa"}.get(qtype)

@@ -26,6 +26,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/zonescope/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that one task may sort, and rows that are too few for a task of their own.
+TASK_ROWS, FEW_ROWS = 1 << 18, 1 << 14
+
+
+def tasks_for(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """The tasks that ``rows`` are dealt over: as many as the session has shuffle partitions, fewer
+    for few rows, and more where a task would hold over ``task_rows``.
+
+    Compressed bytes, by which Spark cuts scans and joins shuffle partitions, say little about the
+    memory that a sort of their rows takes.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // task_rows), min(partitions, -(-rows // FEW_ROWS)))
+
+
 def written(df: DataFrame, name: str, look_up: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back: work is done once and survives lost executors.
 
