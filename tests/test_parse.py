@@ -5,6 +5,7 @@ import random
 import pytest
 
 from zonescope.operators import parse
+from zonescope.plans import cache
 from zonescope.sources.dump import Dump, long_lines, scan_dump
 
 OPEN = "; Cache dump of view '_default' (cache _default)"
@@ -318,6 +319,30 @@ def test_many_blocks_in_small_ranges(spark):
     assert found == whole
 
 
+def test_a_split_is_many_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of 9 lines of one split, dealt over 5 tasks, against the split as one block."""
+    (tmp_path / "one.txt").write_text(random_dump(random.Random(13), 3_000))
+    dump = scan_dump(spark, str(tmp_path))
+
+    def resolved(**bounds):
+        return sorted(map(tuple, parse.resolved_lines(parse.line_states(dump, **bounds)).collect()), key=str)
+    whole = resolved()
+    assert dump.lines.select("block_start").distinct().count() == 1 and len(whole) > 400
+    seen = []
+    monkeypatch.setattr(parse, "tasks_for", lambda _, rows: seen.append(rows) or 5)
+    assert resolved(block_lines=9) == whole and seen == [dump.lines.count()]
+
+
+def test_records_are_sorted_in_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    (tmp_path / "one.txt").write_text(random_dump(random.Random(14), 2_000))
+    rows = lambda cache: sorted(map(tuple, cache.records.collect()), key=str)
+    few = cache.load_cache(spark, str(tmp_path))
+    monkeypatch.setattr(cache, "tasks_for", lambda *_: 7)
+    many = cache.load_cache(spark, str(tmp_path))
+    assert rows(few) == rows(many)
+    assert len(few.records.inputFiles()) == 1 < len(many.records.inputFiles()) <= 7
+
+
 def test_records_before_any_attribute(spark, tmp_path):
     """P10: without an attribute line above it a record's attribute is the default."""
     text = f"{OPEN}\na.example.\t1\tA\t1.1.1.1\n; glue\nb.example.\t1\tA\t2.2.2.2\n"

@@ -4,13 +4,14 @@ The meaning of a line depends on the lines before it: whether a cache section is
 attribute comment, whether a bracketed TYPE65 value is still open, and the owner in force. All
 four are worked out in three levels:
 
-1. inside each block (one split), with windows, for both possible states at its start;
+1. inside each block (a run of lines of one split), with windows, for both possible states at its start;
 2. inside each range of blocks, over one summary row per block segment, for all states at its start;
 3. over one row per range, which gives each range, and so each block, the state it starts with.
 
-The lines are shuffled and sorted once, by block; a task holds the blocks that hash to it. A block is
-cut in two segments at its first section marker: what lies before it counts only if the section was
-open when the block began.
+The lines are shuffled and sorted once, by block; a task holds the blocks that hash to it. A block is a
+run of lines of one split, as a split may hold more lines than a task can sort. It is cut in two
+segments at its first section marker: what lies before it counts only if the section was open when the
+block began.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from zonescope import constants as C
 from zonescope.functions import svcb
 from zonescope.functions.text import whole_number
-from zonescope.plans.workspace import written
-from zonescope.sources.dump import BLOCK, Dump
+from zonescope.plans.workspace import tasks_for, written
+from zonescope.sources.dump import SPLIT, Dump
 
 WS, TOKEN = r"[\t\n\f\r ]", r"[^\t\n\f\r ]"
 STRIPE = 1 << 20  # lines of a source that one task may gather
+BLOCK_LINES = 1 << 15  # numbers of lines that a block spans
+BLOCK = [*SPLIT, "piece"]
 
 
 @dataclass(frozen=True)
@@ -294,7 +297,7 @@ def _incoming_state(local: DataFrame, files: DataFrame, ranges: int | None = Non
     """
     spark = local.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place, by = ["file", "block_start", "seg"], ["source", "range"]
+    place, by = ["file", "block_start", "piece", "seg"], ["source", "range"]
     units = written(
         _units(local).join(files, "file_key").repartitionByRange(ranges, "source", *place)
         .withColumn("range", F.spark_partition_id()), "units")
@@ -324,17 +327,23 @@ def _incoming_state(local: DataFrame, files: DataFrame, ranges: int | None = Non
     )
 
 
-def line_states(dump: Dump, compat: bool = True, ranges: int | None = None) -> DataFrame:
+def line_states(
+    dump: Dump, compat: bool = True, ranges: int | None = None, block_lines: int = BLOCK_LINES
+) -> DataFrame:
     """Every line with the state in force: section gate, attribute, open value and owner.
 
     ``seq`` is the number of the line in its source, empty lines not counted; ``value_seq`` that
     of the line that started the bracketed value. ``ranges`` of blocks are scanned at once (by default
-    as many as the session has shuffle partitions).
+    as many as the session has shuffle partitions). The lines are counted first: there are so many tasks
+    that each sorts a bounded number of blocks, which hold ``block_lines`` lines at most.
 
     The lines with their local state are written first, so the patterns and windows run once. So is
     the block table; Spark broadcasts it when its measured size is under the session's threshold.
     """
-    local = written(_local_state(dump.lines.repartition(*BLOCK), Dialect(compat)), "lines")
+    spark = dump.lines.sparkSession
+    lines = dump.lines.withColumn("piece", F.floor(F.col("mid") / block_lines)).repartition(
+        tasks_for(spark, dump.lines.count()), *BLOCK)
+    local = written(_local_state(lines, Dialect(compat)), "lines")
     blocks = written(_incoming_state(local, dump.files, ranges), "blocks")
     df = local.join(blocks, BLOCK).withColumn(
         "at", F.when(F.col("seg") == 0, F.col("head")).otherwise(F.col("tail"))

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from zonescope import constants as C
 
-BLOCK = ["file_key", "block_start"]
+SPLIT = ["file_key", "block_start"]
 
 
 class Dump(NamedTuple):
     """``lines``: file_key, block_start, mid, line. ``files``: file_key, file, source.
 
-    A block is one input split. ``mid`` orders the lines of a block; the blocks of a source are
-    ordered by file and ``block_start``. Lines carry a file hash, not the path, so that the path
+    ``file_key`` and ``block_start`` name one input split. ``mid`` orders the lines of a split and
+    counts up by one inside it, empty lines included; the splits of a source are ordered by file and
+    ``block_start``. Lines carry a file hash, not the path, so that the path
     is not shuffled with every line.
     """
 
