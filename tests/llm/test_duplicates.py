@@ -121,6 +121,52 @@ def test_lines_a_few_edits_apart_equal_brute_force(spark, monkeypatch, crowd):
     assert got == want and len(got) > lines.dropped_lines(df).count()
 
 
+def test_rounds_of_lengths_let_few_probes_through_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(21)
+    signs = ALPHABET + "\u00e9\u4e00\U0001f600"
+    own = []
+    for n in [24, 25, 47, 48, 49, 95, 96, 97, 120, 240] * 12:
+        own.append("".join(rng.choice(signs if n % 2 else ALPHABET) for _ in range(n)))
+        for edits in (rng.randint(0, 3), rng.randint(2, 6)):
+            x = own[-1]
+            for _ in range(edits):
+                x = edited(rng, x)
+            own.append(x)
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    at_once = {tuple(r) for r in lines.dropped_lines(df, max_edits=4).collect()}
+
+    rows, keep = {}, lines.written
+    def kept(table, name, **more):
+        out = keep(table, name, **more)
+        rows.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(lines, "written", kept)
+    monkeypatch.setattr(lines, "ROW_BITS", 2)
+    monkeypatch.setattr(lines, "WORD_BITS", 6)
+    monkeypatch.setattr(lines, "ROUND_SEGMENTS", 4 << 6)
+    assert {tuple(r) for r in lines.dropped_lines(df, max_edits=4).collect()} == at_once
+    every = lines.occurrences(df, "doc_id", "text", 24)
+    probes = lines.segments(every, 4, 24, True).count()
+    assert len(rows["line-probes"]) > 2 and len(at_once) > 100
+    assert sum(rows["line-probes"]) < probes / 10
+
+
+def test_word_sketches_pass_all_lines_within_the_edits(spark):
+    rng = random.Random(22)
+    pairs = []
+    for _ in range(400):
+        a = b = "".join(rng.choice("ab c") for _ in range(rng.randint(24, 60)))
+        edits = rng.randint(0, 4)
+        for _ in range(edits):
+            at, sign = rng.randrange(len(b)), rng.choice(["a", " ", "", "b ", "x"])
+            b = b[:at] + sign[:1] + b[at + rng.randint(0, 1):]
+        pairs.append((a, b, edits))
+    found = spark.createDataFrame(pairs, "a string, b string, edits int").select("edits", *[
+        lines.alike(lines.word_sketch(F.col("a")), lines.word_sketch(F.col("b")), k).alias(f"k{k}")
+        for k in range(1, 5)]).collect()
+    assert all(r[f"k{k}"] for r in found for k in range(max(1, r.edits), 5))
+
+
 def test_texts_of_one_id_are_documents_of_their_own(spark):
     line = "a line that is found twice in all of them"
     own = "a line that is found nowhere else at all"

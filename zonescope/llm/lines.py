@@ -6,10 +6,13 @@ less), where k is one for each ``CHARS_PER_EDIT`` characters of the shorter line
 most ``max_edits``. k edits leave one of k + 1 segments of the shorter line as it is, so a line is
 listed under its own segments and probes those that a line up to k shorter would have, at the places
 where the edits before and after can leave them (segment join with multi-match-aware substrings).
-Probes are first looked up in a bitmap of bounded size over the segments that exist, so nearly all of
-them end where they are made; a full bitmap lets more through and loses nothing.
+Probes are first looked up in a bitmap over the segments that exist, so nearly all of them end where
+they are made. A bitmap has bounded size and room for ``ROUND_SEGMENTS``; more are worked off in rounds
+of neighbouring line lengths, as a probe looks for lines of one length only. So the share of probes that
+pass by chance does not grow with the table.
 
-Candidate pairs are verified with Spark's banded Levenshtein distance. In a segment where more than
+Candidate pairs are verified with Spark's banded Levenshtein distance, where the words of two lines
+differ no more than by the edits: one edit takes and gives three words at most, both together. In a segment where more than
 ``CROWD`` lines meet, all are compared with its first line; after that only lines that are still in
 different components are, in blocks of the crowd, and only links come out. Linked lines are one
 class. Of a class, the first line of the document with the smallest id stays.
@@ -22,6 +25,8 @@ table gives no rows. Other columns stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,12 @@ MAX_EDITS = 4
 CROWD = 16
 #: Lines of a crowd that a task compares with the others.
 BLOCK = 512
-#: The bitmaps have 2^21 words of 64 bits at most: 16 MB.
-WORD_BITS = 21
+#: Bitmaps have a word of 64 bits for each four keys, 2^22 words (32 MB) at most, in rows of 2^12 words;
+#: so a round has 2^24 segments, unless the lines of one length have more.
+KEYS_A_WORD, WORD_BITS, ROW_BITS = 4, 22, 12
+ROUND_SEGMENTS = KEYS_A_WORD << WORD_BITS
+#: Line lengths that are told apart when rounds are cut.
+LENGTHS, LONGEST = 1 << 12, (1 << 31) - 1
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -69,14 +78,20 @@ def shifts(max_edits: int) -> Column:
     return F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists])
 
 
-def segments(every: DataFrame, max_edits: int, min_chars: int, probes: bool) -> DataFrame:
-    """(node, segment) of the lines' own segments, or of the other places that they probe."""
+def segments(
+    every: DataFrame, max_edits: int, min_chars: int, probes: bool,
+    low: int = 0, high: int = LONGEST,
+) -> DataFrame:
+    """(node, segment) of the lines' own segments, or of the other places that they probe; of lines
+    listed with ``low`` to ``high`` characters."""
     n = max_edits + 1
     longer = F.sequence(F.lit(0), F.lit(max_edits if probes else 0))
-    table = every.select("node", "line", F.length("line").alias("chars"),
-                         F.explode(longer).alias("longer"))
+    table = every.select("node", "line", F.length("line").alias("chars")).filter(
+        F.col("chars").between(low, min(LONGEST, high + max_edits if probes else high)))
+    table = table.withColumn("longer", F.explode(longer))
     table = table.withColumn("size", F.col("chars") - F.col("longer")).filter(
-        F.col("size") >= min_chars).withColumn("k", allowed(F.col("size"), max_edits))
+        F.col("size").between(max(min_chars, low), high)).withColumn(
+        "k", allowed(F.col("size"), max_edits))
     table = table.filter("longer <= k").withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("k")))).selectExpr(
         "*", "cast(i * size div (k + 1) as int) as start",
@@ -84,55 +99,110 @@ def segments(every: DataFrame, max_edits: int, min_chars: int, probes: bool) ->
     if not probes:
         return table.selectExpr("node", "xxhash64(size, i, substring("
                                 "line, start + 1, stop - start)) as segment")
-    # The stretch that holds all places of a segment is cut once from the line.
+    # The stretch that holds all places of a segment is cut once from the line. Of one byte a character,
+    # places are cut as bytes, which need no count of characters and have the same hash.
     table = table.withColumn("before", F.least("start", "k")).selectExpr(
         "node", "chars", "size", "k", "longer", "i", "start", "stop", "before",
         "substring(line, start - before + 1, before + stop - start + k) as part")
+    table = table.selectExpr("*", "cast(part as binary) as raw", "octet_length(part) = length(part) as plain")
     table = table.withColumn("shift", F.explode(F.get(
         shifts(max_edits), (F.col("k") * n + F.col("longer")) * n + F.col("i"))))
     return table.filter("before + shift >= 0 and stop + shift <= chars").selectExpr(
-        "node", "xxhash64(size, i, substring(part, before + shift + 1, stop - start)) as segment")
+        "node", "if(plain, xxhash64(size, i, substring(raw, before + shift + 1, stop - start)), "
+        "xxhash64(size, i, substring(part, before + shift + 1, stop - start))) as segment")
+
+
+def word_bits(keys: int) -> int:
+    """The words of a bitmap for so many keys, as a power of two."""
+    return min(WORD_BITS, max(ROW_BITS, (-(-keys // KEYS_A_WORD) - 1).bit_length()))
 
 
-def word(key: Column) -> Column:
-    return key.bitwiseAND(F.lit((1 << WORD_BITS) - 1))
+def word(key: Column, bits: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def mask(name: str) -> Column:
-    """Three bits of a word for a key."""
-    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({name}, {WORD_BITS + 6 * i}) & 63 as int))"
-                             for i in range(3)))
+    """Four bits of a word for a key."""
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({name}, {40 + 6 * i}) & 63 as int))"
+                             for i in range(4)))
 
 
-def bitmap(keys: DataFrame, name: str) -> DataFrame:
-    """(word, bits) over the keys of a table of one column."""
-    key = keys.columns[0]
-    return written(keys.groupBy(word(F.col(key)).alias("word")).agg(
-        F.bit_or(mask(key)).alias("bits")), name)
+def dense(words: DataFrame, bits: int, name: str) -> DataFrame:
+    """(row, words) of a bitmap of 2^``bits`` words, given those (word, bits) that are not zero."""
+    zeros = words.sparkSession.range(1 << bits).select(F.col("id").alias("word"), F.lit(0).cast(
+        "long").alias("bits"))
+    every = words.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return written(every.groupBy(F.shiftright("word", ROW_BITS).alias("row")).agg(F.array_sort(
+        F.collect_list(F.struct("word", "bits"))).alias("words")).select("row", "words.bits"), name)
 
 
-def maybe_in(table: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """The rows whose key may be in a bitmap: all that are, and few others."""
-    return table.withColumn("mask", mask(key)).join(
-        F.broadcast(bits), (word(F.col(key)) == F.col("word")) & (
-            F.col("mask").bitwiseAND(F.col("bits")) == F.col("mask"))).select(*table.columns)
+def bitmap(keys: DataFrame, bits: int, name: str) -> DataFrame:
+    """A bitmap over the keys of a table of one column."""
+    key = keys.columns[0]
+    return dense(keys.select(word(F.col(key), bits).alias("word"), mask(key).alias("bits")), bits, name)
 
 
-def meeting_entries(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+def maybe_in(table: DataFrame, key: str, rows: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key may be in a bitmap: all that are, and few others."""
+    place = word(F.col(key), bits)
+    found = F.get(rows["bits"], place.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int"))
+    return table.join(F.broadcast(rows), (F.shiftright(place, ROW_BITS) == rows["row"]) & (
+        mask(key).bitwiseAND(found) == mask(key))).select(*table.columns)
+
+
+def length_rounds(nodes: DataFrame, max_edits: int) -> list[tuple[int, int, int]]:
+    """(low, high, segments): ranges of line lengths, each with ``ROUND_SEGMENTS`` segments at most
+    or of one length. There are ``LENGTHS`` lengths at most, the last of which is open."""
+    counts = nodes.groupBy(F.least("chars", F.lit(LENGTHS)).alias("chars")).agg(F.sum(
+        allowed(F.col("chars"), max_edits) + 1).alias("n")).collect()
+    out: list[tuple[int, int, int]] = []
+    for chars, n in sorted(map(tuple, counts)):
+        if out and out[-1][2] + n <= ROUND_SEGMENTS:
+            out[-1] = out[-1][0], chars, out[-1][2] + n
+        else:
+            out.append((chars, chars, n))
+    # Rounds meet, and the last has no end.
+    return [(low, after[0] - 1 if after else LONGEST, n) for (low, _, n), after in zip(
+        out, [*out[1:], None], strict=True)]
+
+
+def meeting_entries(
+    every: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
+) -> DataFrame:
     """(segment, node, found) where two lines meet; ``found`` for a line's own segments."""
-    listed = segments(every, max_edits, min_chars, False)
+    rounds = length_rounds(nodes, max_edits)
+    if len(rounds) < 2:
+        return round_entries(every, max_edits, min_chars, *(rounds or [(0, LONGEST, 0)])[0])
+    lows = F.array(*[F.lit(low) for low, _, _ in rounds])
+    held = every.select("node", "line", F.size(F.filter(
+        lows, lambda low: low <= F.length("line"))).alias("round"))
+    held = written(held, "line-rounds", parts="round")
+    found = []
+    for i, (low, high, n) in enumerate(rounds, 1):
+        last = sum(low <= high + max_edits for low, _, _ in rounds)
+        found.append(round_entries(held.filter(F.col("round").between(i, last)), max_edits, min_chars,
+                                   low, high, n))
+    return reduce(DataFrame.unionByName, found)
+
+
+def round_entries(
+    every: DataFrame, max_edits: int, min_chars: int, low: int, high: int, n: int,
+) -> DataFrame:
+    """The entries of lines listed with ``low`` to ``high`` characters, which have ``n`` segments."""
+    bits = word_bits(n)
+    listed = segments(every, max_edits, min_chars, False, low, high)
     several = F.min("node") < F.max("node")
-    bits = written(listed.groupBy("segment").agg(several.alias("several")).groupBy(
-        word(F.col("segment")).alias("word")).agg(
+    words = written(listed.groupBy("segment").agg(several.alias("several")).groupBy(
+        word(F.col("segment"), bits).alias("word")).agg(
         F.bit_or(mask("segment")).alias("bits"),
-        F.bit_or(F.when(F.col("several"), mask("segment"))).alias("shared")), "line-bits")
-    hits = written(maybe_in(segments(every, max_edits, min_chars, True), "segment",
-                            bits.select("word", "bits")), "line-probes")
-    of_hits = hits.select(word(F.col("segment")).alias("word"), mask("segment").alias("bits"))
-    either = bits.filter("shared is not null").select("word", F.col("shared").alias("bits"))
-    wanted = written(either.unionByName(of_hits).groupBy("word").agg(
-        F.bit_or("bits").alias("bits")), "line-wanted-bits")
-    entries = maybe_in(listed, "segment", wanted).withColumn("found", F.lit(True)).unionByName(
+        F.bit_or(F.when(F.col("several"), mask("segment"))).alias("shared")), "line-words")
+    probes = segments(every, max_edits, min_chars, True, low, high)
+    hits = written(maybe_in(probes, "segment", dense(
+        words.select("word", "bits"), bits, "line-bits"), bits), "line-probes")
+    of_hits = hits.select(word(F.col("segment"), bits).alias("word"), mask("segment").alias("bits"))
+    either = words.filter("shared is not null").select("word", F.col("shared").alias("bits"))
+    wanted = dense(either.unionByName(of_hits), bits, "line-wanted-bits")
+    entries = maybe_in(listed, "segment", wanted, bits).withColumn("found", F.lit(True)).unionByName(
         hits.withColumn("found", F.lit(False)))
     entries = written(entries.groupBy("segment", "node").agg(F.max("found").alias("found")),
                       "line-entries")
@@ -142,6 +212,18 @@ def meeting_entries(every: DataFrame, max_edits: int, min_chars: int) -> DataFra
     return written(entries.join(met, "segment", "left_semi"), "line-first")
 
 
+def word_sketch(line: Column) -> Column:
+    """A bit for each word of a line, of 64."""
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(
+            F.lit(63)).cast("int"))))
+
+
+def alike(a: Column, b: Column, max_edits: int) -> Column:
+    """Whether sketches differ by what the edits can change: three words each, of both lines."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 3 * max_edits
+
+
 def near(a: Column, b: Column, max_edits: int) -> Column:
     """Whether two lines are as many edits apart as the shorter one may have, or fewer."""
     apart = F.levenshtein(a, b, max_edits)
@@ -153,13 +235,16 @@ def one_edit(a: Column, b: Column) -> Column:
     return near(a, b, 1)
 
 
-def linked_lines(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+def linked_lines(
+    every: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
+) -> DataFrame:
     """(node, component) of the lines that are linked with another."""
-    first = meeting_entries(every, max_edits, min_chars)
+    first = meeting_entries(every, nodes, max_edits, min_chars)
     wanted = written(first.select("node").distinct(), "line-wanted")
-    texts = maybe_in(every.select("node", "line"), "node", bitmap(wanted, "line-wanted-bits"))
+    bits = word_bits(wanted.count())
+    texts = maybe_in(every.select("node", "line"), "node", bitmap(wanted, bits, "line-node-bits"), bits)
     lines = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.first("line").alias("line")), "line-texts")
+        F.first("line").alias("line")).withColumn("sketch", word_sketch(F.col("line"))), "line-texts")
     sizes = written(first.groupBy("segment").agg(
         F.min(F.when(F.col("found"), F.col("node"))).alias("first"), F.count("*").alias("n")),
         "line-sizes")
@@ -172,9 +257,10 @@ def linked_lines(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     star = crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = written(met.unionByName(star).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    text = lambda n: lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
-    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(
-        near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
+    text = lambda n: lines.select(
+        F.col("node").alias(n), F.col("line").alias(f"line_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(alike(
+        F.col("sketch_a"), F.col("sketch_b"), max_edits) & near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
     found = components(edges)
     if crowd.isEmpty():
         return found
@@ -197,13 +283,15 @@ def crowd_edges(
     members = written(labelled.join(blocks, "segment").join(lines, "node"), "line-crowd-members")
     one = members.filter("found").select(
         "segment", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
-        F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("line").alias("line_a"))
+        F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("line").alias("line_a"),
+        F.col("sketch").alias("sketch_a"))
     two = members.select(
         "segment", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("line").alias("line_b"),
-        F.col("found").alias("found_b"))
+        F.col("sketch").alias("sketch_b"), F.col("found").alias("found_b"))
     return one.join(two, (one["segment"] == two["segment"]) & (one["block"] == two["block"]) & (
-        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & near(
+        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & alike(
+        F.col("sketch_a"), F.col("sketch_b"), max_edits) & near(
         F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
 
@@ -218,8 +306,9 @@ def dropped_lines(
         raise ValueError("max_edits must be from 1 to 31")
     every = occurrences(docs, doc_id, text, min_chars)
     nodes = written(every.groupBy("node", "check").agg(
-        F.min("id").alias("winner"), F.count("*").alias("n")), "line-nodes")
-    linked = linked_lines(every, max_edits, min_chars)
+        F.min("id").alias("winner"), F.count("*").alias("n"), F.min(F.length("line")).alias("chars")),
+        "line-nodes")
+    linked = linked_lines(every, nodes, max_edits, min_chars)
     classes = written(line_classes(nodes, linked), "line-classes")
 
     hits = written(every.select("id", "of", "at", "node", "check").join(classes, ["node", "check"]),

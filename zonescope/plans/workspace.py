@@ -41,16 +41,20 @@ def tasks_for(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int
     return max(1, -(-rows // task_rows), min(partitions, -(-rows // FEW_ROWS)))
 
 
-def written(df: DataFrame, name: str, look_up: str | None = None) -> DataFrame:
+def written(
+    df: DataFrame, name: str, look_up: str | None = None, parts: str | None = None,
+) -> DataFrame:
     """Write ``df`` as parquet and read it back: work is done once and survives lost executors.
 
     ``look_up`` names a column that gets Bloom filters, so that a search for one value opens only the
-    row groups that may hold it.
+    row groups that may hold it; ``parts`` names the last column, by whose values files are apart.
     """
     path = new_folder(df.sparkSession, name)
     writer = df.write
     if look_up:
         writer = writer.option(f"parquet.bloom.filter.enabled#{look_up}", "true").option(
             "parquet.bloom.filter.adaptive.enabled", "true")
+    if parts:
+        writer = writer.partitionBy(parts)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
