@@ -161,10 +161,26 @@ def test_word_sketches_pass_all_lines_within_the_edits(spark):
             at, sign = rng.randrange(len(b)), rng.choice(["a", " ", "", "b ", "x"])
             b = b[:at] + sign[:1] + b[at + rng.randint(0, 1):]
         pairs.append((a, b, edits))
-    found = spark.createDataFrame(pairs, "a string, b string, edits int").select("edits", *[
-        lines.alike(lines.word_sketch(F.col("a")), lines.word_sketch(F.col("b")), k).alias(f"k{k}")
-        for k in range(1, 5)]).collect()
-    assert all(r[f"k{k}"] for r in found for k in range(max(1, r.edits), 5))
+    pairs += [(a, c, 9) for (a, _, _), (c, _, _) in zip(pairs, pairs[1:], strict=False)]
+    table = spark.createDataFrame(pairs, "a string, b string, edits int")
+    found = table.select("edits", lines.word_sketch(F.col("a")).alias("x"), lines.word_sketch(
+        F.col("b")).alias("y")).select("edits", lines.alike("x", "y", F.col("edits")).alias("same"),
+                                       lines.alike("x", "y", F.lit(1)).alias("close")).collect()
+    assert all(r.same for r in found if r.edits < 9)
+    assert sum(r.close for r in found if r.edits == 9) < 100
+
+
+def test_texts_are_shuffled_only_where_lines_meet(spark, monkeypatch):
+    plans, keep = [], lines.written
+    def kept(table, name, **more):
+        if name == "line-texts":
+            plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return keep(table, name, **more)
+    monkeypatch.setattr(lines, "written", kept)
+    own = [(i, f"line {i} that has some near copy" + "x" * (i % 2)) for i in range(20)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    lines.dropped_lines(df)
+    assert len(plans) == 1 and "LeftSemi" not in plans[0]
 
 
 def test_texts_of_one_id_are_documents_of_their_own(spark):

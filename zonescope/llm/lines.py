@@ -47,6 +47,8 @@ BLOCK = 512
 #: so a round has 2^24 segments, unless the lines of one length have more.
 KEYS_A_WORD, WORD_BITS, ROW_BITS = 4, 22, 12
 ROUND_SEGMENTS = KEYS_A_WORD << WORD_BITS
+#: Numbers of 64 bits for the words of a line.
+SKETCH = 4
 #: Line lengths that are told apart when rounds are cut.
 LENGTHS, LONGEST = 1 << 12, (1 << 31) - 1
 
@@ -213,15 +215,25 @@ def round_entries(
 
 
 def word_sketch(line: Column) -> Column:
-    """A bit for each word of a line, of 64."""
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(
-            F.lit(63)).cast("int"))))
+    """A bit for each word of a line, in ``SKETCH`` numbers of 64."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
+    def bits_of(i: int) -> Column:
+        one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(
+            F.lit(63)).cast("int"))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: F.when(
+            F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bits.bitwiseOR(one(h))).otherwise(bits))
+    return F.struct(*[bits_of(i).alias(f"s{i}") for i in range(SKETCH)])
 
-def alike(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether sketches differ by what the edits can change: three words each, of both lines."""
-    return F.bit_count(a.bitwiseXOR(b)) <= 3 * max_edits
+
+def alike(a: str, b: str, most: Column) -> Column:
+    """Whether sketches differ by what so many edits can change: three words each, of both lines."""
+    return F.expr(" + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(SKETCH))) <= 3 * most
+
+
+def maybe_near() -> Column:
+    """Whether the words of line_a and line_b allow that they are near."""
+    return alike("sketch_a.words", "sketch_b.words", F.least("sketch_a.k", "sketch_b.k"))
 
 
 def near(a: Column, b: Column, max_edits: int) -> Column:
@@ -243,8 +255,11 @@ def linked_lines(
     wanted = written(first.select("node").distinct(), "line-wanted")
     bits = word_bits(wanted.count())
     texts = maybe_in(every.select("node", "line"), "node", bitmap(wanted, bits, "line-node-bits"), bits)
-    lines = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.first("line").alias("line")).withColumn("sketch", word_sketch(F.col("line"))), "line-texts")
+    # Not a semi-join: Spark would do it before that with the bitmap, and shuffle the text of all lines.
+    lines = written(texts.join(wanted, "node").groupBy("node").agg(
+        F.first("line").alias("line")).withColumn("sketch", F.struct(allowed(
+            F.length("line"), max_edits).alias("k"), word_sketch(F.col("line")).alias("words"))),
+        "line-texts")
     sizes = written(first.groupBy("segment").agg(
         F.min(F.when(F.col("found"), F.col("node"))).alias("first"), F.count("*").alias("n")),
         "line-sizes")
@@ -259,8 +274,7 @@ def linked_lines(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     text = lambda n: lines.select(
         F.col("node").alias(n), F.col("line").alias(f"line_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(alike(
-        F.col("sketch_a"), F.col("sketch_b"), max_edits) & near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
+    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(maybe_near() & near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
     found = components(edges)
     if crowd.isEmpty():
         return found
@@ -290,8 +304,7 @@ def crowd_edges(
         F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("line").alias("line_b"),
         F.col("sketch").alias("sketch_b"), F.col("found").alias("found_b"))
     return one.join(two, (one["segment"] == two["segment"]) & (one["block"] == two["block"]) & (
-        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & alike(
-        F.col("sketch_a"), F.col("sketch_b"), max_edits) & near(
+        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & maybe_near() & near(
         F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
 
 
