@@ -159,6 +159,22 @@ def test_bpe_long_words_and_small_caches(vocabulary, reference, monkeypatch):
         codec.decode([np.array([len(vocabulary.tokens)], np.int32).tobytes()])
 
 
+def test_bpe_parts_are_cut_together_and_ids_joined_at_once(vocabulary, reference, monkeypatch):
+    codec = bpe.Codec(vocabulary)
+    calls, find = [], codec.pattern.findall
+    codec.pattern = type("Pattern", (), {"findall": staticmethod(lambda t: calls.append(t) or find(t))})
+    texts = ["one two's 3three \u00e9 end\n", "a\nb c\td  e", "x y\r\n\r\n", " z ", "q\x85 r \u2003s", None, ""]
+    texts.append(" ".join(f"w{i}" for i in range(500)))
+    rows = codec.encode(texts)
+    for t, row in zip(texts, rows, strict=True):
+        assert np.frombuffer(row, np.int32).tolist() == reference.encode_ordinary(t or "")
+    assert len(calls) < 30
+    parts = {"w1", "b\n", "", "\u00e9's", "3a"}
+    assert codec.cut_parts(parts) == {p: find(" " + p) for p in parts}
+    assert codec.decode([b"", *rows, b""]) == [b"", *[(t or "").encode() for t in texts], b""]
+    assert codec.decode([b"", b""]) == [b"", b""]
+
+
 def test_bpe_vocabularies_whose_merges_clash(tmp_path):
     """Tokens that come by several splits, in an order no training gives."""
     rng = random.Random(8)

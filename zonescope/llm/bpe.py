@@ -3,7 +3,7 @@
 A task cuts its texts into pre-tokens with the tokenizer's pattern and encodes each distinct one once
 in an in-process DuckDB: rows (word, position, token) join the merge table, a recursive query
 contracts pairs until no word changes, and the rows in order are the ids. Decoding joins ids
-with the vocabulary and aggregates the bytes in order, once per distinct run of ids.
+with the vocabulary; the bytes in order, cut where rows end, are what comes out.
 
 Each round contracts a word's leftmost pair of least rank, and with it all pairs whose contraction
 can be shown to come anyway: (a, b) of rank r, when no token that can still arise to its left (they
@@ -89,13 +89,7 @@ ENCODE_SHORT = ENCODE.format(calm="m.plain", around="", repeats="", source="rank
 ENCODE_LONG = ENCODE.format(
     calm=CALM, around=AROUND, repeats=" OR odd AND rank = least // 2147483648", source=REPEATS)
 
-#: Runs are decoded some hundred to a string; a sign that is no byte opens each of them.
-DECODE = """
-SELECT string_agg(CASE WHEN place = 1 THEN chr(256) || piece ELSE piece END, ''
-    ORDER BY run * 2147483648 + place) AS pieces
-FROM (SELECT run, generate_subscripts(ids, 1) AS place, unnest(ids) AS token FROM runs)
-JOIN vocabulary USING (token) GROUP BY run // 512 ORDER BY run // 512
-"""
+DECODE = "SELECT place, bytes FROM ids JOIN vocabulary USING (token)"
 
 MERGES = """
 CREATE TABLE merges AS
@@ -162,8 +156,7 @@ class Codec:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.pattern = regex.compile(vocabulary.pattern)
         self.numerals = [str(i) for i in range(len(self.tokens))]
-        self.starts_word = np.array([t[:1] == b" " for t in self.tokens])
-        self.words, self.after_space, self.runs = Cache(cache), Cache(cache), Cache(cache)
+        self.words, self.after_space = Cache(cache), Cache(cache)
         self.db = duckdb.connect(":memory:", config=DUCKDB)
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r, t[i - 1], t[i])
                   for t, r in self.ranks.items() for i in range(1, len(t))
@@ -173,7 +166,7 @@ class Codec:
                    rank=pa.array(rank, pa.int32()), left_end=pa.array(left_end, pa.uint8()),
                    right_start=pa.array(right_start, pa.uint8()))
         self.table("vocabulary", token=pa.array(range(len(self.tokens)), pa.int32()),
-                   piece=pa.array([t.decode("latin-1") for t in self.tokens]),
+                   bytes=pa.array(self.tokens, pa.binary()),
                    first=pa.array([t[0] for t in self.tokens], pa.uint8()),
                    size=pa.array(map(len, self.tokens), pa.int32()))
         for statement in MERGES.split(";")[:-1]:
@@ -228,44 +221,49 @@ class Codec:
                 head, *rest = text.split(" ")
                 cut.append((find(head), rest))
         words, spaced = self.words, self.after_space
-        parts = {w: find(" " + w) for w in spaced.fresh({w for _, rest in cut for w in rest})}
+        parts = self.cut_parts(spaced.fresh({w for _, rest in cut for w in rest}))
         self.learn({w for head, _ in cut for w in head}.union(*parts.values()))
         spaced.update((w, b"".join([words[p] for p in found])) for w, found in parts.items())
         return [b"".join([*map(words.__getitem__, head), *map(spaced.__getitem__, rest)])
                 for head, rest in cut]
 
+    def cut_parts(self, parts: set[str]) -> dict[str, list[str]]:
+        """The pre-tokens of parts that each follow a space: as one opens with that space, parts are cut
+        together, but for those whose end would meet the space of the next."""
+        find = self.pattern.findall
+        joined = [p for p in parts if p and not p[-1].isspace()]
+        out: dict[str, list[str]] = {}
+        words = find(" " + " ".join(joined)) if joined else []
+        starts = [i for i, w in enumerate(words) if w[:1] == " "]
+        if len(starts) == len(joined) and starts[:1] == [0]:
+            out = {p: words[i:j] for p, i, j in zip(
+                joined, starts, [*starts[1:], len(words)], strict=True)}
+        return out | {p: find(" " + p) for p in parts if p not in out}
+
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids."""
         out = []
         for group in by_size(rows, len, GROUP_BYTES):
-            cut = [list(self.runs_of(row)) for row in group]
-            fresh = self.runs.fresh({run for runs in cut for run in runs})
-            for part in by_size(list(fresh), len, 4 * QUERY_BYTES):
-                self.read_runs(part)
-            out += [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
+            out += self.decode_group(group)
         return out
 
-    def runs_of(self, row: bytes) -> Iterator[bytes]:
-        """Cut ids before each token that starts with a space."""
-        if not row:
-            return
-        ids = np.frombuffer(row, np.int32)
+    def decode_group(self, rows: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(b"".join(rows), np.int32)
+        if not len(ids):
+            return [b""] * len(rows)
         if ids.min() < 0 or ids.max() >= len(self.tokens):
             raise ValueError("an id is outside the vocabulary")
-        cuts = (np.flatnonzero(self.starts_word[ids]) * 4).tolist()
-        yield from (row[i:j] for i, j in zip([0, *cuts], [*cuts, len(row)], strict=True) if i < j)
-
-    def read_runs(self, runs: list[bytes]) -> None:
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum([len(r) // 4 for r in runs])]), pa.int32()),
-            pa.array(np.frombuffer(b"".join(runs), np.int32)))
-        self.db.register("runs", pa.table(
-            {"run": pa.array(range(len(runs)), pa.int64()), "ids": lists}))
+        self.db.register("ids", pa.table({"place": np.arange(len(ids)), "token": ids}))
         found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("runs")
-        pieces = [p.encode("latin-1") for some in found["pieces"].to_pylist()
-                  for p in some.split("\u0100")[1:]]
-        self.runs.update(zip(runs, pieces, strict=True))
+        self.db.unregister("ids")
+        place = found["place"].to_numpy()
+        if (np.diff(place) < 0).any():
+            found = found.take(np.argsort(place))
+        pieces = pa.concat_arrays(found["bytes"].cast(pa.large_binary()).chunks)
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:]
+        data = memoryview(pieces.buffers()[2])
+        cuts = ends[np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])].tolist()
+        return [data[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 #: The codec of a worker process, by the digest of its vocabulary and the size of its caches.
