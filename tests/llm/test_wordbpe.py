@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer, pre_tokenizers
@@ -123,3 +124,14 @@ def test_query(spark, library):
                   sha(library.decode(ids, skip_special_tokens=False))))
     got = queries.op12_transducer_bpe(spark, SF)
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(docs)
+
+
+def test_lists_of_ids_are_decoded_together(vocabulary, library, monkeypatch, tmp_path):
+    (tmp_path / "none").write_bytes(transducer.pack(transducer.compile_words([])))
+    monkeypatch.setattr(wordbpe.SparkFiles, "get", lambda name: name)
+    own = wordbpe.Codec(vocabulary, str(tmp_path / "none"))
+    rows = [library.encode("two words", add_special_tokens=False).ids, None, [], [-1, 64, 1 << 30, 255], [128]]
+    lists = pa.array([[0], *rows, [1]], pa.list_(pa.int32())).slice(1, len(rows))
+    want = [None if x is None else library.decode(
+        [i for i in x if 0 <= i < 50_257], skip_special_tokens=False) for x in rows]
+    assert own.decode(lists) == want

@@ -392,6 +392,9 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, file: str):
         self.cut, self.merge = Words(vocabulary), Merger(vocabulary)
         self.special, self.tokens = vocabulary.special, vocabulary.tokens
+        # By id, with nothing for ids that there are not.
+        self.bytes_of = pa.array([self.tokens.get(i, b"") for i in range(max(self.tokens) + 2)],
+                                 pa.large_binary())
         self.lexicon = mapped(SparkFiles.get(file))
         self.words, self.parts = Recent(CACHE_BYTES // 2), Recent(CACHE_BYTES // 2)
 
@@ -399,15 +402,19 @@ class Codec:
         """The ids of words: from the cache, the lexicon, or merged."""
         found = self.words.among(words)
         fresh = [w for w in words if w not in found]
-        raw = [w.encode() for w in fresh]
-        known = look_up(self.lexicon, raw)
-        unseen = iter(self.merge.packed([w for w, ids in zip(raw, known, strict=True) if ids is None]))
-        for word, data, ids in zip(fresh, raw, known, strict=True):
-            found[word] = ids = next(unseen) if ids is None else ids
-            if len(data) < LONG_WORD:
+        for word, ids in zip(fresh, self.ids_of(fresh), strict=True):
+            found[word] = ids
+            if len(word) < LONG_WORD:
                 self.words.keep(word, ids)
         return found
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of words, from the lexicon or merged."""
+        raw = [w.encode() for w in words]
+        known = look_up(self.lexicon, raw)
+        unseen = iter(self.merge.packed([w for w, ids in zip(raw, known, strict=True) if ids is None]))
+        return [next(unseen) if ids is None else ids for ids in known]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""
         out = []
@@ -416,28 +423,42 @@ class Codec:
             self.parts.turn()
             cut = [[(*self.cut.cut(s), after) for s, after in self.cut.stretches(t)] if t else []
                    for t in some]
-            parts = {p for row in cut for _, rest, _ in row for p in rest}
+            parts = set().union(*(rest for row in cut for _, rest, _ in row))
             spaced = self.parts.among(parts)
             fresh = self.cut.after_spaces(parts - spaced.keys())
+            # Parts of one word, the most, are remembered as parts alone.
+            ones = [part for part, found in fresh.items() if len(found) == 1]
+            made = dict(zip(ones, self.ids_of([fresh.pop(part)[0] for part in ones]), strict=True))
             words = self.learn({w for row in cut for head, _, _ in row for w in head}.union(
                 *fresh.values()))
-            for part, found in fresh.items():
-                spaced[part] = ids = b"".join([words[w] for w in found])
+            made.update((part, b"".join([words[w] for w in found])) for part, found in fresh.items())
+            spaced.update(made)
+            for part, ids in made.items():
                 if len(part) < LONG_WORD:
                     self.parts.keep(part, ids)
             for row in cut:
                 pieces = []
                 for head, rest, after in row:
-                    pieces += [words[w] for w in head]
-                    pieces += [spaced[p] for p in rest]
+                    pieces += map(words.__getitem__, head)
+                    pieces += map(spaced.__getitem__, rest)
                     if after:
                         pieces.append(np.int32(self.special[after]).tobytes())
                 out.append(b"".join(pieces))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        token = self.tokens.get
-        return b"".join([token(i, b"") for i in ids]).decode("utf-8", "replace")
+    def decode(self, rows: pa.Array) -> list[str | None]:
+        """The text of each list of ids; None for a null list."""
+        none = len(self.bytes_of) - 1
+        ids = rows.flatten().fill_null(none).to_numpy(zero_copy_only=False)
+        ids = np.where((ids < 0) | (ids > none), none, ids)
+        sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        pieces = self.bytes_of.take(pa.array(ids))
+        ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:][cuts].tolist()
+        data = memoryview(pieces.buffers()[2] or b"")
+        known = rows.is_valid().to_pylist()
+        return [str(data[i:j], "utf-8", "replace") if good else None
+                for i, j, good in zip(ends[:-1], ends[1:], known, strict=True)]
 
 
 #: The codec of a worker process, by vocabulary and file.
@@ -467,6 +488,6 @@ def decode(rows: DataFrame, lexicon: Lexicon, ids: str = "ids", to: str = "decod
     def texts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(lexicon)
         for batch in batches:
-            for lists in sliced(batch):
-                yield pa.array([None if x is None else own.decode(x) for x in lists], pa.string())
+            for at in range(0, max(1, len(batch)), SLICE):
+                yield pa.array(own.decode(batch.slice(at, SLICE)), pa.string())
     return rows.withColumn(to, F.arrow_udf(texts_of, "string")(F.col(ids)))
