@@ -165,7 +165,7 @@ def length_rounds(nodes: DataFrame, max_edits: int) -> list[tuple[int, int, int]
             out.append((chars, chars, n))
     # Rounds meet, and the last has no end.
     return [(low, after[0] - 1 if after else LONGEST, n) for (low, _, n), after in zip(
-        out, [*out[1:], None], strict=True)]
+        out, [*out[1:], None][:len(out)], strict=True)]
 
 
 def meeting_entries(
