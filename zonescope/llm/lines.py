@@ -3,16 +3,19 @@
 Lines of ``min_chars`` characters or more are compared; shorter ones always stay. Equal lines are one
 node from the start. Two lines are linked when they are at most k characters apart (replaced, more or
 less), where k is one for each ``CHARS_PER_EDIT`` characters of the shorter line, at least 1 and at
-most ``max_edits``. k edits leave one of k + 1 segments of the shorter line as it is, so a line is
-listed under its own segments and probes those that a line up to k shorter would have, at the places
-where the edits before and after can leave them (segment join with multi-match-aware substrings).
+most ``max_edits``. Lines of a range of neighbouring lengths have the same k + 1 segments, cut by the least
+length of the range: the first ones lie at places from the start of a line, the last ones at places
+from its end, and what a line is longer stays between them. k edits leave a segment as it is that has as
+many edits before it as segments, and no more after it than segments. So a line is listed under its
+own segments, and probes segment i as far from its place as the lesser of i and k - i (segment join with
+multi-match-aware substrings), in its own range and in the one below, if a line there can be near.
 Probes are first looked up in a bitmap over the segments that exist, so nearly all of them end where
 they are made. A bitmap has bounded size and room for ``ROUND_SEGMENTS``; more are worked off in rounds
-of neighbouring line lengths, as a probe looks for lines of one length only. So the share of probes that
-pass by chance does not grow with the table.
+of neighbouring ranges of lengths. So the share of probes that pass by chance does not grow with the table.
 
-Candidate pairs are verified with Spark's banded Levenshtein distance, where the words of two lines
-differ no more than by the edits: one edit takes and gives three words at most, both together. In a segment where more than
+Candidate pairs are verified with Spark's banded Levenshtein distance, where the words and the pairs of
+neighbouring characters of two lines differ no more than by the edits: one edit takes and gives three words
+at most and four pairs, both together. In a segment where more than
 ``CROWD`` lines meet, all are compared with its first line; after that only lines that are still in
 different components are, in blocks of the crowd, and only links come out. Linked lines are one
 class. Of a class, the first line of the document with the smallest id stays.
@@ -47,10 +50,9 @@ BLOCK = 512
 #: so a round has 2^24 segments, unless the lines of one length have more.
 KEYS_A_WORD, WORD_BITS, ROW_BITS = 4, 22, 12
 ROUND_SEGMENTS = KEYS_A_WORD << WORD_BITS
-#: Numbers of 64 bits for the words of a line.
+#: Numbers of 64 bits for the words of a line, and for its pairs of characters.
 SKETCH = 4
-#: Line lengths that are told apart when rounds are cut.
-LENGTHS, LONGEST = 1 << 12, (1 << 31) - 1
+LONGEST = (1 << 31) - 1
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -68,50 +70,86 @@ def allowed(chars: Column, max_edits: int) -> Column:
         F.lit(max_edits), F.floor(chars / CHARS_PER_EDIT))).cast("int")
 
 
-def shifts(max_edits: int) -> Column:
-    """At (k * n + d) * n + i, n = max_edits + 1: the shifts at which to probe for segment i.
+def length_range(chars: str, max_edits: int) -> str:
+    """The least length of the range that a line of ``chars`` characters belongs to.
+
+    Ranges are wider than lines of a link differ in length, so such lines are of one range or of two
+    that meet; the number of ranges grows with the logarithm of the longest line.
+    """
+    narrow, wide = (12, 16) if max_edits <= 12 else (48, 64)
+    return (f"case when {chars} < 192 then {chars} - {chars} % {narrow} when {chars} < 4096 "
+            f"then {chars} - {chars} % {wide} else {chars} - {chars} % greatest({wide}, "
+            f"shiftleft(1, length(bin({chars})) - 8)) end")
+
+
+def range_edits(low: str, max_edits: int) -> str:
+    """Edits between a line of a range that starts at ``low`` and one that is not shorter, at most."""
+    narrow, wide = (12, 16) if max_edits <= 12 else (48, 64)
+    last = (f"(case when {low} < 192 then {narrow} when {low} < 4096 then {wide} "
+            f"else greatest({wide}, shiftleft(1, length(bin({low})) - 8)) end) + {low} - 1")
+    return f"cast(greatest(1, least({max_edits}, ({last}) div {CHARS_PER_EDIT})) as int)"
 
-    Of a line d longer than the listed one, these are all that i edits before the segment and k - i
-    edits after it can leave; the listed segment itself is at d = 0, shift 0.
+
+def segment_key(start: str, stop: str, i: str, shift: str) -> str:
+    """The hash of segment ``i`` of the range ``low`` with ``k`` edits, ``shift`` from its place.
+
+    Of one byte a character, lines are cut as bytes (``raw``), which need no count of characters and
+    have the same hash.
     """
-    every = range(max_edits + 1)
-    lists = [[s for s in range(-k, k + 1) if abs(s) <= i and abs(s - d) <= k - i and (d or s)]
-             for k in every for d in every for i in every]
-    return F.array(*[F.array(*map(F.lit, x)).cast("array<int>") for x in lists])
+    at = f"if({i} <= k - {i}, 0, chars - size) + {start} + {shift} + 1"
+    return (f"if(plain, xxhash64(low, {i}, substring(raw, {at}, {stop} - {start})), "
+            f"xxhash64(low, {i}, substring(line, {at}, {stop} - {start})))")
+
+
+def with_range(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """The lines with their ``chars``, ``low`` (of their range), its ``size`` to cut and ``k`` edits."""
+    table = every.selectExpr("*", "cast(line as binary) as raw", "length(line) as chars").selectExpr(
+        "*", "octet_length(line) = chars as plain", f"{length_range('chars', max_edits)} as low")
+    return table.selectExpr("*", f"greatest(low, {min_chars}) as size",
+                            f"{range_edits('low', max_edits)} as k")
+
+
+def own_segments(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
+    """The lines with ``chars``, ``low`` and ``own``, the keys of their own segments."""
+    keys = [f"if({i} <= k, " + segment_key(
+        f"cast({i} * size div (k + 1) as int)", f"cast({i + 1} * size div (k + 1) as int)",
+        str(i), "0") + ", null)" for i in range(max_edits + 1)]
+    table = with_range(every, max_edits, min_chars)
+    return table.selectExpr(*every.columns, "chars", "low", f"array({', '.join(keys)}) as own")
+
+
+def shifts(max_edits: int) -> Column:
+    """At 2 * k: the (i, shift) at which to probe for lines of the same range, which have their own
+    segments in place; at 2 * k + 1: for lines of the range below."""
+    lists = [[(i, s) for i in range(k + 1) for s in range(-min(i, k - i), min(i, k - i) + 1)
+              if s or below] for k in range(max_edits + 1) for below in (0, 1)]
+    return F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("shift")) for i, s in x]).cast(
+        "array<struct<i:int,shift:int>>") for x in lists])
 
 
 def segments(
     every: DataFrame, max_edits: int, min_chars: int, probes: bool,
     low: int = 0, high: int = LONGEST,
 ) -> DataFrame:
-    """(node, segment) of the lines' own segments, or of the other places that they probe; of lines
-    listed with ``low`` to ``high`` characters."""
-    n = max_edits + 1
-    longer = F.sequence(F.lit(0), F.lit(max_edits if probes else 0))
-    table = every.select("node", "line", F.length("line").alias("chars")).filter(
-        F.col("chars").between(low, min(LONGEST, high + max_edits if probes else high)))
-    table = table.withColumn("longer", F.explode(longer))
-    table = table.withColumn("size", F.col("chars") - F.col("longer")).filter(
-        F.col("size").between(max(min_chars, low), high)).withColumn(
-        "k", allowed(F.col("size"), max_edits))
-    table = table.filter("longer <= k").withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.col("k")))).selectExpr(
+    """(node, chars, segment) of the lines' own segments, or of the other places that they probe; of
+    ranges that start at ``low`` to ``high`` characters."""
+    if not probes:
+        return own_segments(every, max_edits, min_chars).filter(F.col("low").between(low, high)).select(
+            "node", "chars", F.explode("own").alias("segment")).filter("segment is not null")
+    table = with_range(every.select("node", "line"), max_edits, min_chars).withColumnsRenamed(
+        {"low": "own_low", "k": "own_k"}).drop("size")
+    table = table.withColumn("below", F.expr(length_range("(own_low - 1)", max_edits)))
+    table = table.withColumn("low", F.explode(F.expr(
+        f"if(own_low > {min_chars} and chars - own_low < {range_edits('below', max_edits)}, "
+        "array(own_low, below), array(own_low))"))).filter(F.col("low").between(low, high))
+    table = table.selectExpr("*", f"greatest(low, {min_chars}) as size",
+                             f"{range_edits('low', max_edits)} as k")
+    table = table.withColumn("place", F.explode(F.get(
+        shifts(max_edits), F.expr("2 * k + if(low < own_low, 1, 0)")))).selectExpr(
+        "*", "place.i as i", "place.shift as shift").selectExpr(
         "*", "cast(i * size div (k + 1) as int) as start",
         "cast((i + 1) * size div (k + 1) as int) as stop")
-    if not probes:
-        return table.selectExpr("node", "xxhash64(size, i, substring("
-                                "line, start + 1, stop - start)) as segment")
-    # The stretch that holds all places of a segment is cut once from the line. Of one byte a character,
-    # places are cut as bytes, which need no count of characters and have the same hash.
-    table = table.withColumn("before", F.least("start", "k")).selectExpr(
-        "node", "chars", "size", "k", "longer", "i", "start", "stop", "before",
-        "substring(line, start - before + 1, before + stop - start + k) as part")
-    table = table.selectExpr("*", "cast(part as binary) as raw", "octet_length(part) = length(part) as plain")
-    table = table.withColumn("shift", F.explode(F.get(
-        shifts(max_edits), (F.col("k") * n + F.col("longer")) * n + F.col("i"))))
-    return table.filter("before + shift >= 0 and stop + shift <= chars").selectExpr(
-        "node", "if(plain, xxhash64(size, i, substring(raw, before + shift + 1, stop - start)), "
-        "xxhash64(size, i, substring(part, before + shift + 1, stop - start))) as segment")
+    return table.selectExpr("node", "chars", segment_key("start", "stop", "i", "shift") + " as segment")
 
 
 def word_bits(keys: int) -> int:
@@ -134,7 +172,7 @@ def dense(words: DataFrame, bits: int, name: str) -> DataFrame:
     zeros = words.sparkSession.range(1 << bits).select(F.col("id").alias("word"), F.lit(0).cast(
         "long").alias("bits"))
     every = words.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return written(every.groupBy(F.shiftright("word", ROW_BITS).alias("row")).agg(F.array_sort(
+    return written(every.groupBy(F.shiftright("word", ROW_BITS).alias("row")).agg(F.sort_array(
         F.collect_list(F.struct("word", "bits"))).alias("words")).select("row", "words.bits"), name)
 
 
@@ -153,10 +191,10 @@ def maybe_in(table: DataFrame, key: str, rows: DataFrame, bits: int) -> DataFram
 
 
 def length_rounds(nodes: DataFrame, max_edits: int) -> list[tuple[int, int, int]]:
-    """(low, high, segments): ranges of line lengths, each with ``ROUND_SEGMENTS`` segments at most
-    or of one length. There are ``LENGTHS`` lengths at most, the last of which is open."""
-    counts = nodes.groupBy(F.least("chars", F.lit(LENGTHS)).alias("chars")).agg(F.sum(
-        allowed(F.col("chars"), max_edits) + 1).alias("n")).collect()
+    """(low, high, segments): runs of length ranges, each with ``ROUND_SEGMENTS`` segments at most or
+    of one range."""
+    counts = nodes.groupBy("low").agg(F.count("*").alias("lines")).selectExpr(
+        "low", f"lines * ({range_edits('low', max_edits)} + 1) as n").collect()
     out: list[tuple[int, int, int]] = []
     for chars, n in sorted(map(tuple, counts)):
         if out and out[-1][2] + n <= ROUND_SEGMENTS:
@@ -169,12 +207,12 @@ def length_rounds(nodes: DataFrame, max_edits: int) -> list[tuple[int, int, int]
 
 
 def meeting_entries(
-    every: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
+    every: DataFrame, places: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
 ) -> DataFrame:
-    """(segment, node, found) where two lines meet; ``found`` for a line's own segments."""
+    """(segment, node, chars, found) where two lines meet; ``found`` for a line's own segments."""
     rounds = length_rounds(nodes, max_edits)
     if len(rounds) < 2:
-        return round_entries(every, max_edits, min_chars, *(rounds or [(0, LONGEST, 0)])[0])
+        return round_entries(every, places, max_edits, min_chars, *(rounds or [(0, LONGEST, 0)])[0])
     lows = F.array(*[F.lit(low) for low, _, _ in rounds])
     held = every.select("node", "line", F.size(F.filter(
         lows, lambda low: low <= F.length("line"))).alias("round"))
@@ -182,17 +220,18 @@ def meeting_entries(
     found = []
     for i, (low, high, n) in enumerate(rounds, 1):
         last = sum(low <= high + max_edits for low, _, _ in rounds)
-        found.append(round_entries(held.filter(F.col("round").between(i, last)), max_edits, min_chars,
-                                   low, high, n))
+        found.append(round_entries(held.filter(F.col("round").between(i, last)), places, max_edits,
+                                   min_chars, low, high, n))
     return reduce(DataFrame.unionByName, found)
 
 
 def round_entries(
-    every: DataFrame, max_edits: int, min_chars: int, low: int, high: int, n: int,
+    every: DataFrame, places: DataFrame, max_edits: int, min_chars: int, low: int, high: int, n: int,
 ) -> DataFrame:
-    """The entries of lines listed with ``low`` to ``high`` characters, which have ``n`` segments."""
+    """The entries of lines of ranges from ``low`` to ``high``, which have ``n`` segments."""
     bits = word_bits(n)
-    listed = segments(every, max_edits, min_chars, False, low, high)
+    listed = places.filter(F.col("low").between(low, high)).select(
+        "node", "chars", F.explode("own").alias("segment")).filter("segment is not null")
     several = F.min("node") < F.max("node")
     words = written(listed.groupBy("segment").agg(several.alias("several")).groupBy(
         word(F.col("segment"), bits).alias("word")).agg(
@@ -206,8 +245,8 @@ def round_entries(
     wanted = dense(either.unionByName(of_hits), bits, "line-wanted-bits")
     entries = maybe_in(listed, "segment", wanted, bits).withColumn("found", F.lit(True)).unionByName(
         hits.withColumn("found", F.lit(False)))
-    entries = written(entries.groupBy("segment", "node").agg(F.max("found").alias("found")),
-                      "line-entries")
+    entries = written(entries.groupBy("segment", "node").agg(
+        F.max("chars").alias("chars"), F.max("found").alias("found")), "line-entries")
     met = written(entries.groupBy("segment").agg(
         F.max("found").alias("any"), F.count("*").alias("n")).filter("any and n > 1").select(
         "segment"), "line-segments")
@@ -231,9 +270,27 @@ def alike(a: str, b: str, most: Column) -> Column:
     return F.expr(" + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(SKETCH))) <= 3 * most
 
 
+def pair_sketches(lines: DataFrame) -> DataFrame:
+    """(node, p0, ...): the pairs of neighbouring characters of each line that it has an odd number of
+    times, a bit for each, in ``SKETCH`` numbers of 64.
+
+    Unlike sets of words, the sketches of long lines do not fill up: bits differ only by pairs that
+    one line has more often than the other.
+    """
+    pairs = lines.selectExpr("node", "encode(line, 'UTF-32') as wide").selectExpr(
+        "node", "wide", "explode(sequence(0, greatest(octet_length(wide) div 4 - 2, 0))) as at").selectExpr(
+        "node", "xxhash64(substring(wide, cast(4 * at + 1 as int), 8)) as h").selectExpr(
+        "node", f"cast(shiftright(h, 6) & {SKETCH - 1} as int) as i",
+        "shiftleft(1L, cast(h & 63 as int)) as bit")
+    return pairs.groupBy("node").agg(*[F.expr(
+        f"bit_xor(if(i = {i}, bit, 0L))").alias(f"p{i}") for i in range(SKETCH)])
+
+
 def maybe_near() -> Column:
-    """Whether the words of line_a and line_b allow that they are near."""
-    return alike("sketch_a.words", "sketch_b.words", F.least("sketch_a.k", "sketch_b.k"))
+    """Whether the words and character pairs of line_a and line_b allow that they are near."""
+    most = F.least("sketch_a.k", "sketch_b.k")
+    pairs = F.expr(" + ".join(f"bit_count(sketch_a.p{i} ^ sketch_b.p{i})" for i in range(SKETCH)))
+    return (pairs <= 4 * most) & alike("sketch_a.words", "sketch_b.words", most)
 
 
 def near(a: Column, b: Column, max_edits: int) -> Column:
@@ -248,33 +305,39 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def linked_lines(
-    every: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
+    every: DataFrame, places: DataFrame, nodes: DataFrame, max_edits: int, min_chars: int,
 ) -> DataFrame:
     """(node, component) of the lines that are linked with another."""
-    first = meeting_entries(every, nodes, max_edits, min_chars)
+    first = meeting_entries(every, places, nodes, max_edits, min_chars)
     wanted = written(first.select("node").distinct(), "line-wanted")
     bits = word_bits(wanted.count())
     texts = maybe_in(every.select("node", "line"), "node", bitmap(wanted, bits, "line-node-bits"), bits)
     # Not a semi-join: Spark would do it before that with the bitmap, and shuffle the text of all lines.
-    lines = written(texts.join(wanted, "node").groupBy("node").agg(
-        F.first("line").alias("line")).withColumn("sketch", F.struct(allowed(
-            F.length("line"), max_edits).alias("k"), word_sketch(F.col("line")).alias("words"))),
-        "line-texts")
+    lines = written(texts.join(wanted, "node").groupBy("node").agg(F.first("line").alias("line")),
+                    "line-texts")
+    lines = written(lines.join(pair_sketches(lines), "node").select("node", "line", F.struct(
+        allowed(F.length("line"), max_edits).alias("k"), word_sketch(F.col("line")).alias("words"),
+        *[f"p{i}" for i in range(SKETCH)]).alias("sketch")), "line-sketches")
     sizes = written(first.groupBy("segment").agg(
         F.min(F.when(F.col("found"), F.col("node"))).alias("first"), F.count("*").alias("n")),
         "line-sizes")
 
     few = first.join(sizes.filter(f"n <= {CROWD}").select("segment"), "segment")
-    one = few.filter("found").select("segment", F.col("node").alias("a"))
-    two = few.select("segment", F.col("node").alias("b"), "found")
-    met = one.join(two, "segment").filter("a < b or (a != b and not found)").select("a", "b")
+    one = few.filter("found").select("segment", F.col("node").alias("a"), F.col("chars").alias("chars_a"))
+    two = few.select("segment", F.col("node").alias("b"), "found", F.col("chars").alias("chars_b"))
+    met = one.join(two, "segment").filter("a < b or (a != b and not found)")
     crowd = written(first.join(sizes.filter(f"n > {CROWD}"), "segment"), "line-crowds")
     star = crowd.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = met.filter(f"abs(chars_a - chars_b) <= {max_edits}").select("a", "b")
     pairs = written(met.unionByName(star).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    text = lambda n: lines.select(
-        F.col("node").alias(n), F.col("line").alias(f"line_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    edges = written(pairs.join(text("a"), "a").join(text("b"), "b").filter(maybe_near() & near(F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
+    sketch = lambda n: lines.select(F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}"))
+    text = lambda n: lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
+    # Texts are joined only to pairs whose sketches allow a link.
+    likely = written(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(maybe_near()).select(
+        "a", "b"), "line-likely")
+    edges = written(likely.join(text("a"), "a").join(text("b"), "b").filter(near(
+        F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
     found = components(edges)
     if crowd.isEmpty():
         return found
@@ -318,13 +381,14 @@ def dropped_lines(
     if not 1 <= max_edits < 32:
         raise ValueError("max_edits must be from 1 to 31")
     every = occurrences(docs, doc_id, text, min_chars)
-    nodes = written(every.groupBy("node", "check").agg(
-        F.min("id").alias("winner"), F.count("*").alias("n"), F.min(F.length("line")).alias("chars")),
-        "line-nodes")
-    linked = linked_lines(every, nodes, max_edits, min_chars)
+    # All that later steps need of a line but its text, so that texts are cut into lines three times only.
+    places = written(own_segments(every, max_edits, min_chars).drop("line"), "line-places")
+    nodes = written(places.groupBy("node", "check").agg(
+        F.min("id").alias("winner"), F.count("*").alias("n"), F.min("low").alias("low")), "line-nodes")
+    linked = linked_lines(every.select("node", "line"), places, nodes, max_edits, min_chars)
     classes = written(line_classes(nodes, linked), "line-classes")
 
-    hits = written(every.select("id", "of", "at", "node", "check").join(classes, ["node", "check"]),
+    hits = written(places.select("id", "of", "at", "node", "check").join(classes, ["node", "check"]),
                    "line-hits")
     first = F.min(F.struct("at", "of")).alias("first")
     kept = hits.filter("id = class_winner").groupBy("class", "id").agg(first).select(
