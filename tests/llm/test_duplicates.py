@@ -170,6 +170,63 @@ def test_word_sketches_pass_all_lines_within_the_edits(spark):
     assert sum(r.close for r in found if r.edits == 9) < 100
 
 
+def test_probes_are_few_and_find_every_segment(spark):
+    rng = random.Random(31)
+    signs, pairs = "abcdefgh é👍", []
+    for n in [24, 35, 36, 47, 48, 71, 72, 95, 96, 107, 108, 191, 192, 207, 208, 335, 4095, 4096] * 8:
+        a = b = "".join(rng.choice(signs) for _ in range(n))
+        for _ in range(max(1, min(4, n // 24))):
+            i = rng.randrange(len(b))
+            b = rng.choice([b[:i] + "x" + b[i:], b[:i] + "x" + b[i + 1:], b + "x"])
+        pairs.append((a, b))
+    table = lambda k: spark.createDataFrame(
+        [(i, p[k]) for i, p in enumerate(pairs)], "node long, line string")
+    keys = lambda k, probes: {
+        (r.node, r.segment) for r in lines.segments(table(k), 4, 24, probes).collect()}
+    met = {n for n, _ in keys(0, False) & (keys(1, False) | keys(1, True))}
+    assert met == set(range(len(pairs)))
+    # 44 for a line of 100 characters or more, when each length had segments of its own.
+    assert lines.segments(table(0), 4, 24, True).count() < 16 * len(pairs)
+
+
+def test_pair_sketches_pass_all_lines_within_the_edits(spark):
+    rng = random.Random(32)
+    words = ["".join(rng.choice("aeioust") for _ in range(rng.randint(4, 8))) for _ in range(300)]
+    texts, edits = [], []
+    for n in range(300):
+        own = [rng.choice(words) for _ in range(80)]
+        a = b = " ".join(own)
+        if n % 2:
+            for i in rng.sample(range(80), 2):
+                own[i] = "".join(rng.choice("bcdfgh") for _ in range(7))
+            b = " ".join(own)
+        else:
+            for _ in range(4):
+                b = edited(rng, b)
+        texts += [(2 * n, a), (2 * n + 1, b)]
+        edits.append(n % 2)
+    got = {r.node: r for r in lines.pair_sketches(spark.createDataFrame(
+        texts, "node long, line string")).collect()}
+    bits = lambda a, b, i: ((a[f"p{i}"] ^ b[f"p{i}"]) & (1 << 64) - 1).bit_count()
+    apart = [sum(bits(got[2 * n], got[2 * n + 1], i) for i in range(lines.SKETCH)) for n in range(300)]
+    assert all(x <= 16 for x, other in zip(apart, edits, strict=True) if not other)
+    assert sum(x <= 16 for x, other in zip(apart, edits, strict=True) if other) < 15
+
+
+def test_distances_of_what_is_left_between_equal_ends(spark):
+    rng = random.Random(33)
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("a\u00e9b", "a\u00e8b"), ("aaaa", "aaa"), ("\u00e9" * 40, "")]
+    for _ in range(300):
+        a = b = "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randint(1, 40)))
+        for _ in range(rng.randint(0, 6)):
+            b = edited(rng, b) if b else b
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    found = df.select("a", "b", lines.distance(F.col("a"), F.col("b"), 4).alias("got"),
+                      F.levenshtein("a", "b", 4).alias("want")).collect()
+    assert all(r.got == r.want for r in found) and {r.got for r in found} == {-1, 0, 1, 2, 3, 4}
+
+
 def test_texts_are_shuffled_only_where_lines_meet(spark, monkeypatch):
     plans, keep = [], lines.written
     def kept(table, name, **more):

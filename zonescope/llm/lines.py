@@ -17,7 +17,8 @@ Candidate pairs are verified with Spark's banded Levenshtein distance, where the
 neighbouring characters of two lines differ no more than by the edits: one edit takes and gives three words
 at most and four pairs, both together. In a segment where more than
 ``CROWD`` lines meet, all are compared with its first line; after that only lines that are still in
-different components are, in blocks of the crowd, and only links come out. Linked lines are one
+different components are, in blocks of the crowd, by their sketches; a pair that these allow is verified
+once, however many segments it meets in. Linked lines are one
 class. Of a class, the first line of the document with the smallest id stays.
 
 Defined results. Documents without an id keep all lines and count for nothing. Rows with equal ids
@@ -28,6 +29,7 @@ table gives no rows. Other columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,9 +48,9 @@ MAX_EDITS = 4
 CROWD = 16
 #: Lines of a crowd that a task compares with the others.
 BLOCK = 512
-#: Bitmaps have a word of 64 bits for each four keys, 2^22 words (32 MB) at most, in rows of 2^12 words;
-#: so a round has 2^24 segments, unless the lines of one length have more.
-KEYS_A_WORD, WORD_BITS, ROW_BITS = 4, 22, 12
+#: Bitmaps have a word of 64 bits for each four keys, 2^22 words (32 MB) at most, in rows of 2^4 words;
+#: so a round has 2^24 segments, unless the lines of one range of lengths have more.
+KEYS_A_WORD, WORD_BITS, ROW_BITS = 4, 22, 4
 ROUND_SEGMENTS = KEYS_A_WORD << WORD_BITS
 #: Numbers of 64 bits for the words of a line, and for its pairs of characters.
 SKETCH = 4
@@ -57,9 +59,10 @@ LONGEST = (1 << 31) - 1
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """(id, of, at, line, node, check) of the lines that are compared; ``of`` is a hash of the text."""
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).filter(F.col("id").isNotNull())
+    # The hash is taken before the lines are cut: else it would be taken of the whole text for each line.
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"),
+                        F.col(text).alias("text")).filter(F.col("id").isNotNull())
+    rows = texts.select("id", "of", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return rows.filter(F.length("line") >= min_chars).withColumns({
         "node": F.xxhash64("line"), "check": F.xxhash64("line", F.lit(1))})
 
@@ -111,11 +114,11 @@ def with_range(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
 
 def own_segments(every: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """The lines with ``chars``, ``low`` and ``own``, the keys of their own segments."""
-    keys = [f"if({i} <= k, " + segment_key(
-        f"cast({i} * size div (k + 1) as int)", f"cast({i + 1} * size div (k + 1) as int)",
-        str(i), "0") + ", null)" for i in range(max_edits + 1)]
+    key = segment_key("cast(i * size div (k + 1) as int)", "cast((i + 1) * size div (k + 1) as int)",
+                      "i", "0")
     table = with_range(every, max_edits, min_chars)
-    return table.selectExpr(*every.columns, "chars", "low", f"array({', '.join(keys)}) as own")
+    return table.selectExpr(*every.columns, "chars", "low",
+                            f"transform(sequence(0, k), i -> {key}) as own")
 
 
 def shifts(max_edits: int) -> Column:
@@ -135,7 +138,7 @@ def segments(
     ranges that start at ``low`` to ``high`` characters."""
     if not probes:
         return own_segments(every, max_edits, min_chars).filter(F.col("low").between(low, high)).select(
-            "node", "chars", F.explode("own").alias("segment")).filter("segment is not null")
+            "node", "chars", F.explode("own").alias("segment"))
     table = with_range(every.select("node", "line"), max_edits, min_chars).withColumnsRenamed(
         {"low": "own_low", "k": "own_k"}).drop("size")
     table = table.withColumn("below", F.expr(length_range("(own_low - 1)", max_edits)))
@@ -167,19 +170,26 @@ def mask(name: str) -> Column:
                              for i in range(4)))
 
 
-def dense(words: DataFrame, bits: int, name: str) -> DataFrame:
-    """(row, words) of a bitmap of 2^``bits`` words, given those (word, bits) that are not zero."""
-    zeros = words.sparkSession.range(1 << bits).select(F.col("id").alias("word"), F.lit(0).cast(
-        "long").alias("bits"))
-    every = words.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return written(every.groupBy(F.shiftright("word", ROW_BITS).alias("row")).agg(F.sort_array(
-        F.collect_list(F.struct("word", "bits"))).alias("words")).select("row", "words.bits"), name)
+def row_words(name: str) -> Column:
+    """The words of a row, of those (word, ``name``) that are its own; the others are zero."""
+    return F.array(*[F.expr(f"bit_or(if((word & {(1 << ROW_BITS) - 1}) = {i}, {name}, 0L))")
+                     for i in range(1 << ROW_BITS)])
+
+
+def in_rows(words: DataFrame) -> DataFrame:
+    """The words of a bitmap, dealt by ``row``, so that a row is put together where its words meet."""
+    return words.withColumn("row", F.shiftright("word", ROW_BITS)).repartition("row")
+
+
+def dense(words: DataFrame, name: str) -> DataFrame:
+    """(row, bits): the rows of a bitmap, given those (word, bits) that are not zero."""
+    return written(in_rows(words).groupBy("row").agg(row_words("bits").alias("bits")), name)
 
 
 def bitmap(keys: DataFrame, bits: int, name: str) -> DataFrame:
     """A bitmap over the keys of a table of one column."""
     key = keys.columns[0]
-    return dense(keys.select(word(F.col(key), bits).alias("word"), mask(key).alias("bits")), bits, name)
+    return dense(keys.select(word(F.col(key), bits).alias("word"), mask(key).alias("bits")), name)
 
 
 def maybe_in(table: DataFrame, key: str, rows: DataFrame, bits: int) -> DataFrame:
@@ -231,18 +241,19 @@ def round_entries(
     """The entries of lines of ranges from ``low`` to ``high``, which have ``n`` segments."""
     bits = word_bits(n)
     listed = places.filter(F.col("low").between(low, high)).select(
-        "node", "chars", F.explode("own").alias("segment")).filter("segment is not null")
+        "node", "chars", F.explode("own").alias("segment"))
     several = F.min("node") < F.max("node")
-    words = written(listed.groupBy("segment").agg(several.alias("several")).groupBy(
-        word(F.col("segment"), bits).alias("word")).agg(
-        F.bit_or(mask("segment")).alias("bits"),
-        F.bit_or(F.when(F.col("several"), mask("segment"))).alias("shared")), "line-words")
+    words = written(in_rows(listed.withColumn("word", word(F.col("segment"), bits))).groupBy(
+        "row", "word", "segment").agg(several.alias("several")).select(
+        "row", "word", mask("segment").alias("bits"),
+        F.expr("if(several, bits, 0L)").alias("shared")).groupBy("row").agg(
+        row_words("bits").alias("bits"), row_words("shared").alias("shared")), "line-words")
     probes = segments(every, max_edits, min_chars, True, low, high)
-    hits = written(maybe_in(probes, "segment", dense(
-        words.select("word", "bits"), bits, "line-bits"), bits), "line-probes")
+    hits = written(maybe_in(probes, "segment", words.select("row", "bits"), bits), "line-probes")
     of_hits = hits.select(word(F.col("segment"), bits).alias("word"), mask("segment").alias("bits"))
-    either = words.filter("shared is not null").select("word", F.col("shared").alias("bits"))
-    wanted = dense(either.unionByName(of_hits), bits, "line-wanted-bits")
+    shared = words.select("row", F.posexplode("shared").alias("i", "bits")).filter("bits != 0").select(
+        (F.shiftleft("row", ROW_BITS) + F.col("i")).alias("word"), "bits")
+    wanted = dense(shared.unionByName(of_hits), "line-wanted-bits")
     entries = maybe_in(listed, "segment", wanted, bits).withColumn("found", F.lit(True)).unionByName(
         hits.withColumn("found", F.lit(False)))
     entries = written(entries.groupBy("segment", "node").agg(
@@ -257,12 +268,12 @@ def word_sketch(line: Column) -> Column:
     """A bit for each word of a line, in ``SKETCH`` numbers of 64."""
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
-    def bits_of(i: int) -> Column:
+    def bits_of(hashes: Column, i: int) -> Column:
         one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(
             F.lit(63)).cast("int"))
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: F.when(
             F.shiftright(h, 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bits.bitwiseOR(one(h))).otherwise(bits))
-    return F.struct(*[bits_of(i).alias(f"s{i}") for i in range(SKETCH)])
+    return bound(hashes, lambda own: F.struct(*[bits_of(own, i).alias(f"s{i}") for i in range(SKETCH)]))
 
 
 def alike(a: str, b: str, most: Column) -> Column:
@@ -293,10 +304,38 @@ def maybe_near() -> Column:
     return (pairs <= 4 * most) & alike("sketch_a.words", "sketch_b.words", most)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def equal_chars(a: Column, b: Column, most: Column, start: Callable[[Column, Column, Column], Column]) -> Column:
+    """Characters, ``most`` at most, that two strings share from an end; ``start`` tells where in a
+    string so many more begin after those found. Powers of two are tried from the largest on."""
+    steps = F.transform(F.sequence(F.length(F.bin(most)) - 1, F.lit(0)), lambda i: F.call_function(
+        "shiftleft", F.lit(1), i))
+    same = lambda n, step: (
+        F.substring(a, start(a, n, step), step) == F.substring(b, start(b, n, step), step))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (n + step <= most) & same(n, step), n + step).otherwise(n))
+
+
+def distance(a: Column, b: Column, most: int) -> Column:
+    """Edits between two strings, -1 for more than ``most``; of what is left between their equal ends,
+    as the time of Spark's function grows with the product of the lengths."""
+    least = F.least(F.length(a), F.length(b))
+    head = equal_chars(a, b, least, lambda x, n, step: n + 1)
+
+    def tail(p: Column) -> Column:
+        return equal_chars(a, b, least - p, lambda x, n, step: F.length(x) - n - step + 1)
+    return bound(head, lambda p: bound(tail(p), lambda q: F.levenshtein(
+        F.substring(a, p + 1, F.length(a) - p - q), F.substring(b, p + 1, F.length(b) - p - q), most)))
+
+
 def near(a: Column, b: Column, max_edits: int) -> Column:
     """Whether two lines are as many edits apart as the shorter one may have, or fewer."""
-    apart = F.levenshtein(a, b, max_edits)
-    return (apart >= 0) & (apart <= allowed(F.least(F.length(a), F.length(b)), max_edits))
+    return bound(distance(a, b, max_edits), lambda apart: (apart >= 0) & (
+        apart <= allowed(F.least(F.length(a), F.length(b)), max_edits)))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -332,43 +371,51 @@ def linked_lines(
     pairs = written(met.unionByName(star).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     sketch = lambda n: lines.select(F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}"))
-    text = lambda n: lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
-    # Texts are joined only to pairs whose sketches allow a link.
     likely = written(pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(maybe_near()).select(
         "a", "b"), "line-likely")
-    edges = written(likely.join(text("a"), "a").join(text("b"), "b").filter(near(
-        F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b"), "line-edges")
+    edges = written(near_pairs(likely, lines, max_edits), "line-edges")
     found = components(edges)
     if crowd.isEmpty():
         return found
-    rest = written(crowd_edges(crowd, found, lines, max_edits), "line-crowd-edges")
+    likely = written(crowd_pairs(crowd, found, lines, max_edits).distinct(), "line-crowd-likely")
+    rest = written(near_pairs(likely, lines, max_edits), "line-crowd-edges")
     return components(edges.unionByName(rest))
 
 
-def crowd_edges(
+def near_pairs(likely: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """The pairs (a, b) of near lines; texts are joined only to pairs whose sketches allow a link."""
+    text = lambda n: lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}"))
+    return likely.join(text("a"), "a").join(text("b"), "b").filter(near(
+        F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
+
+
+def crowd_pairs(
     crowd: DataFrame, found: DataFrame, lines: DataFrame, max_edits: int,
 ) -> DataFrame:
-    """(a, b) links between lines of a crowd that are in different components."""
-    labelled = written(crowd.select("segment", "node", "found").join(
+    """(a, b) of lines of a crowd that are in different components and may be near by their sketches;
+    lines that meet in several segments come as often."""
+    labelled = written(crowd.select("segment", "node", "chars", "found").join(
         found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"),
-        "left").select("segment", "node", "found", F.coalesce("component", "node").alias("label")),
+        "left").select("segment", "node", "chars", "found", F.coalesce("component", "node").alias("label")),
         "line-crowd-labels")
     blocks = written(labelled.groupBy("segment").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select(
         "segment", "blocks"), "line-crowd-blocks")
-    members = written(labelled.join(blocks, "segment").join(lines, "node"), "line-crowd-members")
+    members = written(labelled.join(blocks, "segment").join(lines.select("node", "sketch"), "node"),
+                      "line-crowd-members")
     one = members.filter("found").select(
         "segment", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
-        F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("line").alias("line_a"),
+        F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("chars").alias("chars_a"),
         F.col("sketch").alias("sketch_a"))
     two = members.select(
         "segment", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("line").alias("line_b"),
+        F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("chars").alias("chars_b"),
         F.col("sketch").alias("sketch_b"), F.col("found").alias("found_b"))
     return one.join(two, (one["segment"] == two["segment"]) & (one["block"] == two["block"]) & (
-        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & maybe_near() & near(
-        F.col("line_a"), F.col("line_b"), max_edits)).select("a", "b")
+        F.col("label_a") != F.col("label_b")) & ((F.col("a") < F.col("b")) | ~F.col("found_b")) & (
+        F.abs(F.col("chars_a") - F.col("chars_b")) <= max_edits) & maybe_near()).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def dropped_lines(

@@ -101,8 +101,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     dropped = written(lines.dropped_lines(docs, max_edits=lines.MAX_EDITS).groupBy("id").agg(
         F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near")), "dropped")
-    counted = docs.select("doc_id", F.coalesce(
-        F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counted = docs.select("doc_id", F.coalesce(ends + 1, F.lit(0)).alias("n_lines"))
     count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return counted.join(dropped, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
